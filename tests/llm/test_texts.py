@@ -1,0 +1,201 @@
+"""Personal data, exact copies, shards, token files, BPE and packing against plain Python."""
+
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from tessera.llm import bpe, exact_dedup, packing, pii, queries, sharding, token_io
+from tessera.llm.encode import load_tokenizer
+
+SF = "/root/testdata/sf0.001"
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_luhn(s):
+    d = [int(c) for c in s][::-1]
+    return (sum(d[0::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+
+def plain_spans(t):
+    out = [("email", m.start(), m.end()) for m in EMAIL.finditer(t)]
+    out += [("ip", m.start(), m.end()) for m in IP.finditer(t) if all(int(p) <= 255 for p in m.group().split("."))]
+    for m in CARD.finditer(t):
+        digits = re.sub("[^0-9]", "", m.group())
+        if 14 <= len(digits) <= 19 and plain_luhn(digits):
+            out.append(("card", m.start(), m.end()))
+    out += [("phone", m.start(), m.end()) for m in PHONE.finditer(t) if 10 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+    return sorted(out, key=lambda s: (s[1], ["email", "ip", "card", "phone"].index(s[0])))
+
+
+def joined(spans):
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+def rows_of(spark, awkward):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    return docs, awkward
+
+
+def test_pii_digest_equals_plain_scan(spark, awkward, awkward_df):
+    docs, _ = rows_of(spark, awkward)
+    for pairs, got in ((docs, queries.queries()["op1_pii"](spark, SF).collect()), (awkward, pii.pii_digest(awkward_df).collect())):
+        assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in pairs)
+        want = sorted((str(i), hashlib.sha256(joined(plain_spans(t or "")).encode()).hexdigest()) for i, t in pairs)
+        assert sorted((str(r["doc_id"]), r["base_sha256"]) for r in got) == want
+        for r in got:
+            base = [s for s in r["spans"].split(",") if s.split(":")[0] in pii.KINDS[:4]]
+            assert hashlib.sha256(",".join(base).encode()).hexdigest() == r["base_sha256"]
+            assert r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] == len([s for s in base if s])
+
+
+def test_pii_added_kinds_context_and_redaction(spark, awkward_df, empty_df):
+    assert [s.kind for s in pii.find("IBAN DE89 3704 0044 0532 0130 00.")] == ["iban"]
+    assert not pii.find("IBAN DE88 3704 0044 0532 0130 00.")
+    assert [s.kind for s in pii.find("ssn 123-45-6789")] == ["ssn"]
+    assert not pii.find("123-45-6789")
+    assert pii.redact("to a@b.co now", pii.find("to a@b.co now")) == "to [EMAIL] now"
+    assert pii.redact_pii(awkward_df).columns == awkward_df.columns
+    assert pii.redact_pii(awkward_df).filter("text like '%@x-y%'").count() == 0
+    assert pii.pii_spans(awkward_df).filter("size(pii) > 0").count() >= 5
+    assert pii.pii_digest(empty_df).count() == 0
+
+
+def check_copies(pairs, got):
+    norm = [(i, re.sub(r"[\x20\x09-\x0D]+", " ", t or "")) for i, t in pairs]
+    groups = defaultdict(list)
+    for i, t in norm:
+        groups[t].append(i)
+    want = []
+    for i, t in norm:
+        ids = [x for x in groups[t] if x is not None]
+        want.append((str(i), str(min(ids) if ids else None), len(groups[t]), hashlib.sha256(t.encode()).hexdigest()))
+    assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["text_sha256"]) for r in got) == sorted(want)
+    kept = [r["text_sha256"] for r in got if r["kept"]]
+    assert len(kept) == len(set(kept)) == len(groups)
+    assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
+
+
+@pytest.mark.parametrize("bits", [1 << 10, exact_dedup.MAX_BITS])
+def test_exact_dedup(spark, awkward, awkward_df, empty_df, bits):
+    check_copies(awkward, exact_dedup.dedup_decisions(awkward_df, max_bits=bits).collect())
+    stay = exact_dedup.exact_dedup(awkward_df, max_bits=bits)
+    assert stay.columns == awkward_df.columns
+    texts = [re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "") for r in stay.collect()]
+    assert sorted(texts) == sorted({re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in awkward})
+    assert exact_dedup.dedup_decisions(empty_df).count() == 0
+    assert exact_dedup.exact_dedup(empty_df).count() == 0
+
+
+def test_exact_dedup_query(spark, awkward):
+    check_copies(rows_of(spark, awkward)[0], queries.queries()["op3_exact_dedup"](spark, SF).collect())
+
+
+def check_shards(pairs, got, shards=8):
+    assert sorted((str(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in pairs) == sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got)
+    slots, load = defaultdict(list), [0] * shards
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+        load[r["shard"]] += r["size"]
+        assert r["law"] == "bytes" and r["grown_shard"] is None
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    largest = max(r["size"] for r in got)
+    assert max(load) - min(load) <= 2 * largest + 4e-3 * sum(load) / shards
+
+
+def test_sharding(spark, awkward, awkward_df, empty_df):
+    check_shards(rows_of(spark, awkward)[0], queries.queries()["op6_sharding"](spark, SF).collect())
+    check_shards(awkward, sharding.shard(awkward_df).collect())
+    assert sharding.shard(empty_df).count() == 0
+
+
+def test_sharding_splits_a_hot_text(spark):
+    df = spark.range(4000).selectExpr("id as doc_id", "if(id % 3 = 0, 'same text', concat('text ', id)) as text")
+    got = sharding.shard(df, tasks=32).collect()
+    load = defaultdict(int)
+    for r in got:
+        load[r["shard"]] += r["size"]
+    assert max(load.values()) - min(load.values()) <= 40
+    whole = defaultdict(set)
+    for r in got:
+        whole[r["text_crc32"]].add(r["shard"])
+    assert sum(len(v) > 1 for v in whole.values()) == 1
+
+
+@pytest.mark.parametrize("bits", [1, 5, 8, 13, 16, 17, 32])
+def test_bit_packing_round_trip(bits, tmp_path):
+    import pyarrow.fs as pafs
+
+    rng = np.random.default_rng(bits)
+    ids = rng.integers(0, 1 << bits, 1000).astype(np.uint32)
+    counts = np.array([0, 10, 0, 700, 290])
+    fs = pafs.LocalFileSystem()
+    writer = token_io.PackedWriter(fs.open_output_stream(str(tmp_path / "x")), bits, 64)
+    writer.add([1, 2, None], ids[:10], counts[:3])
+    writer.add([4, 5], ids[10:], counts[3:])
+    writer.close()
+    with fs.open_input_file(str(tmp_path / "x")) as f:
+        reader = token_io.PackedReader(f)
+        assert reader.bits == bits and reader.counts.tolist() == counts.tolist() and reader.null.tolist() == [0, 0, 1, 0, 0]
+        assert np.array_equal(reader.slice(0, 1000), ids) and np.array_equal(reader.slice(63, 129), ids[63:129])
+        assert np.array_equal(np.concatenate([x for _, _, x in reader.documents(100)]), ids)
+
+
+def library_ids(texts, name, end=None):
+    found = load_tokenizer(name).encode_batch_fast(texts, add_special_tokens=False)
+    return [np.array(e.ids + ([] if end is None else [end]), "<u4") for e in found]
+
+
+def test_token_files(spark, awkward, awkward_df, empty_df):
+    for pairs, got in ((rows_of(spark, awkward)[0], queries.queries()["op8_token_files"](spark, SF).collect()), (awkward, token_io.token_files(awkward_df, queries.BYTE_BPE).collect())):
+        ids = library_ids([t or "" for _, t in pairs], queries.BYTE_BPE, 0)
+        assert sorted((str(i), len(x), zlib.crc32(x.tobytes())) for (i, _), x in zip(pairs, ids, strict=True)) == sorted((str(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in got)
+        at = 0
+        for r in sorted(got, key=lambda r: r["start"]):
+            assert r["start"] == at
+            at += r["n_tokens"]
+        order = [-1 if r["doc_id"] is None else r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
+        assert order == sorted(order)
+    assert token_io.token_files(empty_df, queries.BYTE_BPE).count() == 0
+
+
+def test_word_bpe_equals_the_library(spark, awkward):
+    pairs = rows_of(spark, awkward)[0]
+    ids = library_ids([t or "" for _, t in pairs], queries.WORD_BPE)
+    decode = load_tokenizer(queries.WORD_BPE).decode
+    want = sorted((i, len(x), hashlib.sha256(x.tobytes()).hexdigest(), hashlib.sha256(decode(x.tolist(), skip_special_tokens=False).encode()).hexdigest()) for (i, _), x in zip(pairs, ids, strict=True))
+    assert sorted(tuple(r) for r in queries.queries()["op9_bpe"](spark, SF).collect()) == want
+    texts = [t or "" for _, t in awkward]
+    got = list(bpe.word_encoder(queries.WORD_BPE).encode(texts))
+    assert np.array_equal(np.concatenate([g[0] for g in got]), np.concatenate(library_ids(texts, queries.WORD_BPE)))
+    assert [d for g in got for d in g[2]] == [decode(x.tolist(), skip_special_tokens=False).encode() for x in library_ids(texts, queries.WORD_BPE)]
+
+
+def test_merge_rounds_on_byte_vocabulary():
+    words = ["the", " aaaaaaaa", "ababababab", "x", " été", "abc" * 700]
+    ids, sizes = bpe.merge_table(queries.BYTE_BPE).encode(words)
+    assert np.split(ids, np.cumsum(sizes)[:-1])[5].tolist() == library_ids([words[5]], queries.BYTE_BPE)[0].tolist()
+    assert np.array_equal(ids, np.concatenate(library_ids(words, queries.BYTE_BPE)))
+
+
+def test_packing(spark, awkward, awkward_df, empty_df):
+    for pairs, got in ((rows_of(spark, awkward)[0], queries.queries()["op10_packing"](spark, SF).collect()), (awkward, packing.pack_documents(awkward_df, queries.BYTE_BPE).collect())):
+        ids = library_ids([t or "" for _, t in pairs], queries.BYTE_BPE, 0)
+        want = []
+        for (i, _), x in zip(pairs, ids, strict=True):
+            at = 0
+            sizes = [1024] * (len(x) // 1024) + [1 << b for b in range(9, -1, -1) if len(x) % 1024 >> b & 1]
+            for n in sizes:
+                want.append((str(i), at, n, zlib.crc32(x[at : at + n].tobytes()), len(x), 0))
+                at += n
+        assert sorted((str(r["doc_id"]), r["start"], r["length"], r["ids_crc32"], r["doc_tokens"], r["offset"]) for r in got) == sorted(want)
+        by_id = sorted(got, key=lambda r: r["sequence_id"])
+        assert [r["sequence_id"] for r in by_id] == list(range(len(got)))
+        assert [r["length"] for r in by_id] == sorted((r["length"] for r in got), reverse=True)
+    assert packing.pack_documents(empty_df, queries.BYTE_BPE).count() == 0
