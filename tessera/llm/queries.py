@@ -18,6 +18,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(read(spark, sf_dir, "documents"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.near_dedup import near_classes
+
+    return near_classes(read(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.exact_dedup import dedup_decisions
 
@@ -67,7 +73,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-_QUERIES = [op1_pii, op3_exact_dedup, op6_sharding, op8_token_files, op9_bpe, op10_packing]
+_QUERIES = [op1_pii, op2_near_dedup, op3_exact_dedup, op6_sharding, op8_token_files, op9_bpe, op10_packing]
 
 
 def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
