@@ -30,12 +30,24 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_decisions(read(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.sharding import shard
 
     return shard(read(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.url_filter import judge_urls
+
+    return judge_urls(read(spark, sf_dir, "pages"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.token_io import token_files
 
@@ -73,7 +85,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-_QUERIES = [op1_pii, op2_near_dedup, op3_exact_dedup, op6_sharding, op8_token_files, op9_bpe, op10_packing]
+_QUERIES = [op1_pii, op2_near_dedup, op3_exact_dedup, op5_toxicity, op6_sharding, op7_url_filter, op8_token_files, op9_bpe, op10_packing]
 
 
 def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
