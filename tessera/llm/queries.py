@@ -30,6 +30,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_decisions(read(spark, sf_dir, "documents"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.ann import nearest
+
+    return nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.toxicity import toxicity_scores
 
@@ -85,7 +91,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-_QUERIES = [op1_pii, op2_near_dedup, op3_exact_dedup, op5_toxicity, op6_sharding, op7_url_filter, op8_token_files, op9_bpe, op10_packing]
+_QUERIES = [op1_pii, op2_near_dedup, op3_exact_dedup, op4_neighbours, op5_toxicity, op6_sharding, op7_url_filter, op8_token_files, op9_bpe, op10_packing]
 
 
 def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -35,6 +35,8 @@ from tessera.llm.common import Scratch, text_of
 FIT_TOXIC, FIT_CLEAN = 6_000, 12_000
 THRESHOLD = 0.7
 BASE = 0.03
+#: Share of toxic documents among those with a beginning from which it can condemn a document by itself.
+SURE = 0.95
 SHORTEST, LONGEST = 4, 7
 #: Signs that stand for letters in disguised words (fixed values of the channel model).
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou"}
@@ -214,6 +216,8 @@ def fit(docs: DataFrame, labels: DataFrame, model: CharModel) -> dict[str, float
         p = (r["t"] + 0.5) / (r["n"] + 1)
         if doubt > -1.5:
             p = min(p, 0.2 + 0.1 * max(0.0, min(4.0, 2.5 - doubt)))
+        elif r["t"] < SURE * r["n"]:
+            p = min(p, 0.6)
         evidence[r["word"]] = p
     return evidence
 
