@@ -34,7 +34,7 @@ from tessera.llm.skew import Members, components, keyed_join
 
 SIGNATURE, BATCH = 100, 20
 BAND_MISS, PRUNE_MISS = 1e-5, 1e-6
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 BLOCK = 256
 
 
@@ -188,35 +188,53 @@ def _candidate_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
     return some.join(reps.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _leftover(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components inside the given buckets that survive pruning, by blocks.
+def _leftover(spread: DataFrame, leaders: DataFrame, own: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join different components inside the given buckets, found by comparing blocks.
 
-    A bucket of s members is cut into s / BLOCK blocks; a task compares two blocks at a time.
+    Of two members in different components at least one is outside the leader's component. So those
+    outside ("minor" members) are compared with all members: a task has one block of all members and
+    one block of minor ones. Pairs are pruned on signatures, verified on full sets, and skipped once
+    their ends are joined, so a task returns fewer links than it has members.
     """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tessera.llm.shingles import overlap
+
         for batch in batches:
-            for left, right in zip(batch["left"].to_pylist(), batch["right"].to_pylist(), strict=True):
-                a, b = ({k: [x[k] for x in side] for k in ("node", "root", "n", "sig")} for side in (left, right))
+            for minor, every in zip(batch["minor"].to_pylist(), batch["every"].to_pylist(), strict=True):
+                a, b = ({k: [x[k] for x in side] for k in ("node", "root", "n", "sig", "shingles")} for side in (minor, every))
                 sa, sb = (np.frombuffer(b"".join(x["sig"]), np.uint32).reshape(-1, SIGNATURE) for x in (a, b))
-                ra, rb, na, nb, ia, ib = (np.array(x[k], np.int64) for k in ("root", "n", "node") for x in (a, b))
-                i, j = np.nonzero(ra[:, None] != rb[None, :])
+                na, nb = np.array(a["n"], np.int64), np.array(b["n"], np.int64)
+                joined: dict[int, int] = {}
+
+                def find(x: int, joined=joined) -> int:
+                    while (y := joined.get(x, x)) != x:
+                        x = joined[x] = joined.get(y, y)
+                    return x
+
                 found = []
-                for s in range(0, len(i), 20_000):
-                    x, y = i[s : s + 20_000], j[s : s + 20_000]
-                    at = prune(sa[x], sb[y], na[x], nb[y], percent)
-                    found.append(np.stack([ia[x[at]], ib[y[at]]]))
-                if found:
-                    p = np.concatenate(found, axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(p.min(axis=0)), pa.array(p.max(axis=0))], names=["a", "b"])
-
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = keyed_join(members, sizes, "bucket").join(nodes.select("node", "n", "sig"), "node")
+                for i in range(len(na)):
+                    at = prune(np.broadcast_to(sa[i], sb.shape), sb, np.broadcast_to(na[i], nb.shape), nb, percent)
+                    left = np.frombuffer(a["shingles"][i], np.uint64)
+                    for j in at.tolist():
+                        x, y = find(a["root"][i]), find(b["root"][j])
+                        if x != y:
+                            right = np.frombuffer(b["shingles"][j], np.uint64)
+                            both = overlap(left, right)
+                            if 100 * both >= percent * (len(left) + len(right) - both):
+                                joined[x] = y
+                                found.append((a["node"][i], b["node"][j]))
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+
+    sizes = spread.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = keyed_join(spread, leaders.join(sizes, "bucket").select("bucket", F.col("leader.root").alias("main"), "blocks"), "bucket")
+    rows = rows.join(own, "node").join(sets, "node")
     rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(node, 7), blocks) as int)"))
-    one = rows.groupBy("bucket", "block", "blocks").agg(F.collect_list(F.struct("node", "root", "n", "sig")).alias("rows"))
-    left = one.select("bucket", F.explode(F.expr("sequence(block, blocks - 1)")).alias("other"), "block", F.col("rows").alias("left"))
-    right = one.select("bucket", F.col("block").alias("other"), F.col("rows").alias("right"))
-    return left.join(right, ["bucket", "other"]).select("left", "right").mapInArrow(blocks, "a long, b long").distinct()
+    member = F.struct("node", "root", "n", "sig", "shingles")
+    every = rows.groupBy("bucket", F.col("block").alias("at")).agg(F.collect_list(member).alias("every"))
+    minor = rows.filter("root <> main").groupBy("bucket", "block", "blocks").agg(F.collect_list(member).alias("minor"))
+    minor = minor.select("bucket", "minor", F.explode(F.expr("sequence(0, blocks - 1)")).alias("at"))
+    return minor.join(every, ["bucket", "at"]).select("minor", "every").mapInArrow(blocks, "a long, b long")
 
 
 def near_classes(df: DataFrame, width: int = 3, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -266,14 +284,11 @@ def _link(scratch: Scratch, members: DataFrame, own: DataFrame, sets: DataFrame,
             break
         if step < STAR_ROUNDS:
             pairs = keyed_join(spread, leaders, "bucket").filter("root <> leader.root")
-            pairs = pairs.select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct()
-        else:
-            open_ = keyed_join(spread, leaders.select("bucket"), "bucket")
-            pairs = _leftover(scratch.table(open_, "open"), own, percent)
-        pairs = scratch.table(pairs, f"pairs-{step}")
-        if step < STAR_ROUNDS:
+            pairs = scratch.table(pairs.select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct(), f"pairs-{step}")
             pairs = scratch.table(_pruned(pairs, own, percent), f"pruned-{step}")
-        found = scratch.table(_verified(pairs, sets, percent), f"links-{step}")
+            found = scratch.table(_verified(pairs, sets, percent), f"links-{step}")
+        else:
+            found = scratch.table(_leftover(spread, leaders, own, sets, percent), f"links-{step}")
         links = found if links is None else links.unionByName(found)
         if found.limit(1).count():
             labels = components(links, scratch, f"components-{step}")
