@@ -9,11 +9,13 @@ from tessera.functions.text import framed, same_text
 
 
 def entity_defects(entities: DataFrame) -> DataFrame:
-    """Once per repeated id: ``entity_corroborated`` if the second record has the first one's type and name, else ``entity_id_reused``."""
+    """Once per repeated id: ``entity_corroborated`` if the second record has the first one's type and name, else ``entity_id_reused``. An empty id is refused, once."""
     w = Window.partitionBy("id").orderBy("ord")
     two = entities.withColumn("_at", F.row_number().over(w)).filter("_at <= 2").groupBy("id").agg(F.count("*").alias("_n"), F.min_by(F.struct("type", "name"), "ord").alias("a"), F.max_by(F.struct("type", "name"), "ord").alias("b")).filter("_n = 2")
     same = same_text(F.col("a.type"), F.col("b.type")) & same_text(F.col("a.name"), F.col("b.name"))
-    return two.select(F.when(same, "entity_corroborated").otherwise("entity_id_reused").alias("kind"), "id", F.when(same, "report").otherwise("refuse").alias("severity"))
+    out = two.filter(F.col("id").cast("string") != "").select(F.when(same, "entity_corroborated").otherwise("entity_id_reused").alias("kind"), F.col("id").cast("string").alias("id"), F.when(same, "report").otherwise("refuse").alias("severity"))
+    blank = entities.filter(F.coalesce(F.col("id").cast("string"), F.lit("")) == "").limit(1)
+    return out.unionByName(blank.select(F.lit("entity_id_reused").alias("kind"), F.lit("").alias("id"), F.lit("refuse").alias("severity")))
 
 
 def chunk_defects(chunks: DataFrame) -> DataFrame:

@@ -252,7 +252,7 @@ def verify_counts(spark, d):
 
 
 @query("""WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) n FROM events), f AS (SELECT user_id, max(event_type) FILTER (n = 1) a, max(event_type) FILTER (n = 2) b FROM e GROUP BY 1)
-SELECT CASE WHEN a = b THEN 'entity_corroborated' ELSE 'entity_id_reused' END AS kind, user_id AS id, CASE WHEN a = b THEN 'report' ELSE 'refuse' END AS severity FROM f WHERE b IS NOT NULL""")
+SELECT CASE WHEN a = b THEN 'entity_corroborated' ELSE 'entity_id_reused' END AS kind, CAST(user_id AS VARCHAR) AS id, CASE WHEN a = b THEN 'report' ELSE 'refuse' END AS severity FROM f WHERE b IS NOT NULL""")
 def preflight_entities(spark, d):
     return load.entity_defects(table(spark, d, "events").select(F.col("user_id").alias("id"), F.lit("User").alias("type"), F.col("event_type").alias("name"), F.col("event_id").alias("ord")))
 
