@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,9 +47,11 @@ _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _SIZE = len(_LETTERS) + 1  # and the word edge, 0
 
 _WORD = re.compile(r"[^\W\d_]+")
-_PIECE = re.compile(r"\S+")
 _SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:([ .\-_*])[^\W_])(?:\1[^\W_])+(?![^\W_])")
-_ODD = re.compile(r"[^\W\d_][^\s]*[0-9@$!|+(€£¡*._\-][^\s]*[^\W\d_]|[0-9@$!|+€£¡*][^\s]*[^\W\d_]{2}|[^\W\d_]{2}[^\s]*[0-9@$]|([^\W\d_])\1\1", re.I)
+_INSIDE, _BEFORE, _AFTER = re.compile(r"[0-9@$!|+(€£¡*._\-]"), re.compile(r"[0-9@$!|+€£¡*]"), re.compile(r"[0-9@$]")
+_THRICE = re.compile(r"([^\W\d_])\1\1")
+#: Pieces remembered by a worker, and the longest of them.
+REMEMBERED, REMEMBERED_CHARS = 200_000, 40
 
 
 @cache
@@ -93,6 +96,7 @@ class CharModel:
         p3 = (three + 5 * p2[None]) / (three.sum(2, keepdims=True) + 5)
         self.table = np.log(p3).tolist()
         self.memo: dict[str, str] = {}
+        self.pieces: dict[str, tuple[str, ...]] = {}
 
     def decode(self, word: str) -> str:
         """The likeliest letters behind a disguised word: Viterbi over the last two letters."""
@@ -122,32 +126,53 @@ class CharModel:
             letters.append(_LETTERS[path[0] - 1])
             path = path[1]
         out = "".join(reversed(letters))
-        if len(self.memo) > 200_000:
-            self.memo.clear()
-        self.memo[word] = out
+        if len(word) <= REMEMBERED_CHARS:
+            if len(self.memo) >= REMEMBERED:
+                self.memo.clear()
+            self.memo[word] = out
         return out
 
 
-def disguised(text: str) -> Iterator[tuple[str, bool]]:
-    """(piece, spelled out) for parts of a lower-cased text that may hide a word."""
-    for m in _SPELLED.finditer(text):
-        yield m.group().replace(m.group(1), ""), True
-    for m in _PIECE.finditer(text):
-        piece = m.group()
-        if not piece.isalpha() and _ODD.search(piece) or len(piece) > 4 and _ODD.search(piece):
-            yield piece.strip(".,;:?\"')[]{}«»"), False
+def looks_odd(piece: str) -> bool:
+    """Whether a lower-cased piece without spaces may hide a word; time is linear in its length.
+
+    Odd are: a sign between letters, a sign before or a digit after two letters, a letter three times.
+    """
+    runs = [m.span() for m in _WORD.finditer(piece)]
+    if not runs:
+        return False
+    if _INSIDE.search(piece, runs[0][0] + 1, runs[-1][1] - 1) or _THRICE.search(piece):
+        return True
+    pairs = [r for r in runs if r[1] - r[0] > 1]
+    return bool(pairs) and bool(_BEFORE.search(piece, 0, pairs[-1][1] - 2) or _AFTER.search(piece, pairs[0][0] + 2))
+
+
+def piece_words(piece: str, model: CharModel) -> tuple[str, ...]:
+    """Words of at least SHORTEST letters in a piece without spaces, and the one that it may hide."""
+    if (known := model.pieces.get(piece)) is not None:
+        return known
+    words = [w for w in _WORD.findall(piece) if len(w) >= SHORTEST]
+    if (len(piece) > 4 or not piece.isalpha()) and looks_odd(piece):
+        found = model.decode(piece.strip(".,;:?\"')[]{}«»"))
+        if len(found) >= SHORTEST:
+            words.append(found)
+    out = tuple(words)
+    if len(piece) <= REMEMBERED_CHARS:
+        if len(model.pieces) >= REMEMBERED:
+            model.pieces.clear()
+        model.pieces[piece] = out
+    return out
 
 
 def restored_words(text: str, model: CharModel) -> set[str]:
     """Distinct words of at least SHORTEST letters, with those decoded from disguises."""
-    text = unicodedata.normalize("NFKC", text).lower().replace("​", "").replace("­", "")
-    words = {w for w in _WORD.findall(text) if len(w) >= SHORTEST}
-    for piece, spelled in disguised(text):
-        found = model.decode(piece)
-        if spelled:  # word edges are lost: every beginning counts
-            words.update(found[i : i + LONGEST] for i in range(max(1, len(found) - SHORTEST + 1)))
-        elif len(found) >= SHORTEST:
-            words.add(found)
+    text = unicodedata.normalize("NFKC", text).lower().replace("\u200b", "").replace("\u00ad", "")
+    words: set[str] = set()
+    for piece in set(text.split()):
+        words.update(piece_words(piece, model))
+    for m in _SPELLED.finditer(text):  # word edges are lost: every beginning counts
+        found = model.decode(m.group().replace(m.group(1), ""))
+        words.update(found[i : i + LONGEST] for i in range(max(1, len(found) - SHORTEST + 1)))
     return words
 
 
@@ -222,11 +247,25 @@ def fit(docs: DataFrame, labels: DataFrame, model: CharModel) -> dict[str, float
     return evidence
 
 
-def score_words(words: set[str], evidence: dict[str, float]) -> float:
-    hits = []
+def word_evidence(word: str, evidence: dict[str, float]) -> float:
+    """The strongest evidence of a word's beginnings and of the word itself; 0 if none."""
+    best = evidence.get(word, 0.0)
+    for n in range(SHORTEST, min(LONGEST, len(word)) + 1):
+        best = max(best, evidence.get(word[:n], 0.0))
+    return best
+
+
+def score_words(words: set[str], evidence: dict[str, float], memo: dict[str, float] | None = None) -> float:
+    """The score of a document with these words; ``memo`` keeps the evidence of words seen before."""
+    memo, hits = {} if memo is None else memo, []
     for w in words:
-        best = max((evidence.get(w[:n], 0.0) for n in range(SHORTEST, min(LONGEST, len(w)) + 1)), default=0.0)
-        best = max(best, evidence.get(w, 0.0))
+        best = memo.get(w)
+        if best is None:
+            best = word_evidence(w, evidence)
+            if len(w) <= REMEMBERED_CHARS:
+                if len(memo) >= REMEMBERED:
+                    memo.clear()
+                memo[w] = best
         if best:
             hits.append(best)
     if not hits:
@@ -247,11 +286,11 @@ class Scorer:
         shared = self.shared
 
         @F.pandas_udf("double")
-        def score(texts):
-            import pandas as pd
-
+        def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             model, evidence = shared.value
-            return pd.Series([score_words(restored_words(t, model), evidence) if t else BASE for t in texts], dtype=float)
+            memo: dict[str, float] = {}
+            for texts in batches:
+                yield pd.Series([score_words(restored_words(t, model), evidence, memo) if t else BASE for t in texts], dtype=float)
 
         return score(text)
 

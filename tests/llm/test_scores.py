@@ -74,3 +74,20 @@ def test_distrust_flows_against_links(spark):
     pages = [(1, "x://bad.net/es/1", ""), (2, "x://near.org/1", '<a href="http://bad.net/es/1">'), (3, "x://good.com/", '<a href="//fine.org/">'), (4, "x://fine.org/2", ""), (5, "x://far.org/", "<a href='http://near.org/'>"), (6, "x://alone.org/", '<a href="/in">')]
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "block", 6: "allow"}
+
+
+def test_odd_pieces_match_their_definition_and_take_linear_time():
+    import random
+    import re
+    import time
+
+    from tessera.llm.toxicity import looks_odd
+
+    plain = re.compile(r"[^\W\d_].*[0-9@$!|+(€£¡*._\-].*[^\W\d_]|[0-9@$!|+€£¡*].*[^\W\d_]{2}|[^\W\d_]{2}.*[0-9@$]|([^\W\d_])\1\1")
+    dice = random.Random(3)
+    for _ in range(20_000):
+        piece = "".join(dice.choice("aab3@.!_-é(x") for _ in range(dice.randint(1, 7)))
+        assert looks_odd(piece) == bool(plain.search(piece)), piece
+    began = time.perf_counter()
+    looks_odd("ab" * 500_000)
+    assert time.perf_counter() - began < 5
