@@ -7,8 +7,8 @@
 3. Candidates are compared batch by batch of the signature. After each batch the posterior of the
    similarity (uniform prior, so a Beta distribution) gives the chance that the pair reaches the
    threshold; below ``PRUNE_MISS`` the pair is dropped. Survivors are verified on their full sets.
-4. A band's bucket of any size is handled without all its pairs. In star rounds its members are compared
-   to one leader each time, which links most of a large group; buckets whose members all belong to one
+4. A band's bucket of any size is handled without all its pairs. In a star round its members are compared
+   to one leader, which links most of a large group; buckets whose members all belong to one
    component are done, as no link inside can change a component. What still spans several components is
    compared exactly, block by block.
 5. Links are joined to components in Spark.
@@ -34,7 +34,7 @@ from tessera.llm.skew import Members, components, keyed_join
 
 SIGNATURE, BATCH = 100, 20
 BAND_MISS, PRUNE_MISS = 1e-5, 1e-6
-STAR_ROUNDS = 3
+STAR_ROUNDS = 1
 BLOCK = 256
 
 
@@ -245,7 +245,9 @@ def near_classes(df: DataFrame, width: int = 3, percent: int = 85, doc_id: str =
     signed = scratch.table(_signed(docs, width), "signed")
     nodes = scratch.table(signed.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
     banded = scratch.table(_banded(nodes, percent), "banded")
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
+    # buckets of several bands that hold the same classes are one
+    who = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"who_{i}") for i in range(2)]
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("size"), *who).filter("size > 1").groupBy("size", "who_0", "who_1").agg(F.min("bucket").alias("bucket")).select("bucket")
     members = scratch.table(keyed_join(banded, shared, "bucket"), "members")
     labels = None
     if members.limit(1).count():
@@ -278,7 +280,9 @@ def _link(scratch: Scratch, members: DataFrame, own: DataFrame, sets: DataFrame,
             spread = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
         spread = scratch.table(spread.select("bucket", "node", "root"), f"spread-{step}")
         # the leader's root travels with it, so members of its component are left out
-        leaders = spread.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(step))).alias("leader")).filter("low <> high").select("bucket", "leader")
+        leaders = spread.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(step))).alias("leader"), F.count("*").alias("size"))
+        # the only pair of a bucket of two was compared in the first round
+        leaders = leaders.filter("low <> high" if step == 0 else "low <> high and size > 2").select("bucket", "leader")
         leaders = scratch.table(leaders, f"leaders-{step}")
         if not leaders.limit(1).count():
             break
