@@ -24,9 +24,9 @@ def keyed_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
         heavy = [r[0] for r in left.groupBy(key).count().filter(F.col("count") >= HEAVY * rows).select(key).collect()]
         heavy = [k for k in heavy if k is not None]
         if heavy:
-            names = F.broadcast(left.sparkSession.createDataFrame([(k,) for k in heavy], right.select(key).schema))
-            few = F.broadcast(right.join(names, key, "left_semi"))
-            return left.join(names, key, "left_semi").join(few, key, how).unionByName(left.join(names, key, "left_anti").join(right, key, how))
+            among = F.coalesce(F.col(key).isin(heavy), F.lit(False))
+            few = F.broadcast(right.filter(among))
+            return left.filter(among).join(few, key, how).unionByName(left.filter(~among).join(right, key, how))
     return left.join(right, key, how)
 
 
