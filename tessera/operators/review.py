@@ -24,10 +24,14 @@ def low_confidence(entities: DataFrame, least: float, targeted: DataFrame | None
 
 
 def footprint(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """id, sources, degree: distinct sources of a node's records, and ends of edges at it (a loop counts twice)."""
-    sources = entities.select("id", F.col("prov.source").alias("source")).distinct().groupBy("id").agg(F.count("source").alias("sources"))
-    ends = relations.select(F.explode(F.array("from_id", "to_id")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-    return sources.join(ends, "id", "left").select("id", "sources", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
+    """id, sources, degree: distinct sources of a node's records and edges, and ends of edges at it (a loop counts twice).
+
+    Ends that no entity claims have a footprint too; an empty or null source does not count.
+    """
+    records = entities.select("id", F.col("prov.source").alias("source"), F.lit(0).alias("ends"))
+    ends = relations.select(F.explode(F.array("from_id", "to_id")).alias("id"), F.col("prov.source").alias("source"), F.lit(1).alias("ends"))
+    each = records.unionByName(ends).groupBy("id", "source").agg(F.sum("ends").alias("ends"))
+    return each.groupBy("id").agg(F.count(F.when(F.col("source") != "", F.lit(1))).alias("sources"), F.sum("ends").alias("degree"))
 
 
 def reject(entities: DataFrame, relations: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import fold_key, identity, token_estimate
-from tessera.operators import load, recall, verify
-from tessera.sources.tabular import Mapping, RelationColumn, checked_rows, entities, referenced, relations
+from tessera.operators import load, merge, recall, review, verify
+from tessera.sources.tabular import Mapping, RelationColumn, checked_rows, entities, provenance, referenced, relations
 
 CUSTOMER = Mapping("Customer", "c_custkey", "c_name", {"c_mktsegment": "segment"}, (RelationColumn("c_nationkey", "LOCATED_IN", "Nation"),))
 SUPPLIER = Mapping("Supplier", "s_suppkey", "s_name", {}, (RelationColumn("s_nationkey", "LOCATED_IN", "Nation"),))
@@ -302,3 +302,66 @@ def token_estimates(spark, d):
 @query("SELECT page_id, lower(trim(regexp_replace(url, '\\s+', ' ', 'g'))) AS folded FROM pages")
 def folded_names(spark, d):
     return table(spark, d, "pages").select("page_id", fold_key(F.col("url")).alias("folded"))
+
+
+_TOUCH = f"(SELECT id, source, 0 AS ends FROM {_ENT} UNION ALL SELECT from_id, source, 1 FROM {_REL} UNION ALL SELECT to_id, source, 1 FROM {_REL})"
+
+
+@query(f"SELECT id, count(DISTINCT source) AS sources, CAST(sum(ends) AS BIGINT) AS degree FROM {_TOUCH} GROUP BY id")
+def review_footprint(spark, d):
+    return review.footprint(all_entities(spark, d), all_relations(spark, d))
+
+
+def _orders_as_customers(spark, d):
+    """Every order is one more record of its customer: many records an id, in the order of their keys."""
+    cells = F.to_json(F.struct(F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status")))
+    named = F.concat(F.lit("customer:"), "o_custkey")
+    return table(spark, d, "orders").select(named.alias("id"), F.lit("Customer").alias("type"), F.concat(F.lit("Order "), "o_orderkey").alias("name"), cells.alias("attributes"), provenance("orders").alias("prov"), F.col("o_orderkey").alias("ord"))
+
+
+@query("""SELECT 'customer:' || o_custkey AS id, 'Customer' AS type, 'Order ' || min(o_orderkey) AS name,
+'{"priority":"' || arg_min(o_orderpriority, o_orderkey) || '","status":"' || arg_min(o_orderstatus, o_orderkey) || '"}' AS attributes FROM orders GROUP BY o_custkey""")
+def merge_entities(spark, d):
+    return merge.merge_entities(_orders_as_customers(spark, d))[0].select("id", "type", "name", "attributes")
+
+
+@query("""WITH v AS (SELECT o_custkey, o_orderkey, 'priority' AS attr, o_orderpriority AS value FROM orders UNION ALL SELECT o_custkey, o_orderkey, 'status', o_orderstatus FROM orders),
+f AS (SELECT o_custkey, attr, arg_min(value, o_orderkey) AS kept FROM v GROUP BY ALL)
+SELECT DISTINCT 'customer:' || o_custkey AS subject, attr, '"' || kept || '"' AS kept_value, '"' || value || '"' AS other_value FROM v JOIN f USING (o_custkey, attr) WHERE value <> kept""")
+def merge_conflicts(spark, d):
+    return merge.merge_entities(_orders_as_customers(spark, d))[1].select("subject", "attr", F.col("left").alias("kept_value"), F.col("right").alias("other_value"))
+
+
+@query("""SELECT DISTINCT 'order:' || l_orderkey AS from_id, 'SUPPLIED_BY' AS type, 'supplier:' || l_suppkey AS to_id,
+'{"returnflag":"' || first_value(l_returnflag) OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber, l_partkey, l_returnflag) || '"}' AS attributes FROM lineitem""")
+def merge_relations(spark, d):
+    order = F.struct("l_linenumber", "l_partkey", "l_returnflag")
+    ends = (F.concat(F.lit("order:"), "l_orderkey").alias("from_id"), F.lit("SUPPLIED_BY").alias("type"), F.concat(F.lit("supplier:"), "l_suppkey").alias("to_id"))
+    cells = F.to_json(F.struct(F.col("l_returnflag").alias("returnflag")))
+    rows = table(spark, d, "lineitem").select(*ends, F.lit("").alias("key"), cells.alias("attributes"), provenance("lineitem").alias("prov"), order.alias("ord"))
+    return merge.merge_relations(rows).select("from_id", "type", "to_id", "attributes")
+
+
+@query("SELECT 'event:' || event_id AS subject, CAST((event_id % 100) AS DOUBLE) / 100 AS confidence FROM events WHERE event_id % 100 BETWEEN 1 AND 49")
+def review_low_confidence(spark, d):
+    sure = (F.col("event_id") % 100).cast("double") / 100
+    prov = F.struct(F.lit("events").alias("source"), F.lit("model").alias("producer"), sure.alias("confidence"))
+    return review.low_confidence(table(spark, d, "events").select(F.concat(F.lit("event:"), "event_id").alias("id"), prov.alias("prov")), 0.5).select("subject", "confidence")
+
+
+@query(f"SELECT from_id, type, to_id FROM {_REL} WHERE from_id NOT IN (SELECT 'supplier:' || s_suppkey FROM supplier WHERE s_nationkey < 5) AND 'nation:7' NOT IN (from_id, to_id)")
+def review_reject(spark, d):
+    gone = table(spark, d, "supplier").filter("s_nationkey < 5").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("id"))
+    gone = gone.unionByName(table(spark, d, "nation").filter("n_nationkey = 7").select(F.concat(F.lit("nation:"), "n_nationkey").alias("id")))
+    return review.reject(all_entities(spark, d), all_relations(spark, d), gone)[1].select("from_id", "type", "to_id")
+
+
+@query(f"""WITH m AS (SELECT 'customer:' || c_custkey AS id, 'customer:' || (c_custkey - c_custkey % 8) AS survivor FROM customer WHERE c_custkey % 8 <> 0 AND c_custkey > 8)
+SELECT DISTINCT coalesce(a.survivor, from_id) AS from_id, type, coalesce(b.survivor, to_id) AS to_id FROM {_REL} LEFT JOIN m a ON a.id = from_id LEFT JOIN m b ON b.id = to_id""")
+def review_merge_into(spark, d):
+    """Chains of up to seven customers become one."""
+    key = F.col("c_custkey")
+    merges = table(spark, d, "customer").filter((key % 8 != 0) & (key > 8)).select(F.concat(F.lit("customer:"), key).alias("id"), F.concat(F.lit("customer:"), key - 1).alias("into"))
+    nodes = all_entities(spark, d).withColumn("ord", F.struct("id", "name"))
+    edges = all_relations(spark, d).withColumn("ord", F.struct("from_id", "to_id"))
+    return review.merge_into(nodes, edges, merges)[1].select("from_id", "type", "to_id")

@@ -74,6 +74,12 @@ def test_reject_takes_edges_along_and_empties_chunks(spark):
     assert sorted(r.idx for r in review.surviving_chunks(chunks, nodes, kept).collect()) == [1, 3]
 
 
+def test_footprint_counts_sources_of_edges_too(spark):
+    nodes = entity(spark, ("a", "", "{}", prov("x"), 1), ("a", "", "{}", prov("y"), 2), ("b", "", "{}", prov(""), 3))
+    out = review.footprint(nodes, edge(spark, ("a", "R", "a", "{}", 1), ("a", "R", "c", "{}", 2)))
+    assert sorted((r.id, r.sources, r.degree) for r in out.collect()) == [("a", 3, 3), ("b", 0, 0), ("c", 1, 1)]
+
+
 def test_sniff():
     assert delimited.sniff(["a;b\n", '"x,;y";2\n']) == ";"
     assert delimited.sniff(["one\n", "two\n"]) == ","
