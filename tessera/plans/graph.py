@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import fold_key, identity, token_estimate
 from tessera.operators import load, merge, recall, review, verify
+from tessera.sources.html import html_text
 from tessera.sources.tabular import Mapping, RelationColumn, checked_rows, entities, provenance, referenced, relations
 
 CUSTOMER = Mapping("Customer", "c_custkey", "c_name", {"c_mktsegment": "segment"}, (RelationColumn("c_nationkey", "LOCATED_IN", "Nation"),))
@@ -365,3 +366,9 @@ def review_merge_into(spark, d):
     nodes = all_entities(spark, d).withColumn("ord", F.struct("id", "name"))
     edges = all_relations(spark, d).withColumn("ord", F.struct("from_id", "to_id"))
     return review.merge_into(nodes, edges, merges)[1].select("from_id", "type", "to_id")
+
+
+@query()
+def html_texts(spark, d):
+    """SQL cannot express it; tests compare it with texts worked out by hand."""
+    return html_text(table(spark, d, "pages"), "page_id", "html")

@@ -17,7 +17,7 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(graph.QUERIES))
+@pytest.mark.parametrize("name", sorted(graph.SQL))
 def test_query_equals_sql(spark, db, name):
     got = graph.QUERIES[name](spark, SF)
     want = db.execute(graph.SQL[name])
