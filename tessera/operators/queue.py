@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import fold_key, framed
+from tessera.functions.text import framed
 
 # Kinds of items in queue order, and what authored rules may say.
 KINDS = ["conflict", "violation", "guess", "low_confidence", "duplicate"]
@@ -132,12 +132,3 @@ def stamped(findings: DataFrame, resolved: DataFrame) -> DataFrame:
     rows = findings.join(who, "item_id", "left")
     both = F.when(F.coalesce("reviewed_by", F.lit("")) == "", F.col("_by")).otherwise(F.concat_ws(", ", "reviewed_by", "_by"))
     return rows.withColumn("reviewed_by", F.when(F.col("_by").isNull(), F.col("reviewed_by")).otherwise(both)).drop("_by")
-
-
-def unanswered(duplicates: DataFrame, text: str = "") -> DataFrame:
-    """Duplicate questions whose subject or names hold the text, in any case; an empty text means all."""
-    wanted = fold_key(F.lit(text))
-    hit = F.lit(False)
-    for c in ("subject", "detail"):
-        hit = hit | F.contains(F.lower(F.coalesce(c, F.lit(""))), wanted)
-    return duplicates.filter(hit).orderBy("subject", "detail")

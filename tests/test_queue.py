@@ -57,3 +57,9 @@ def test_authored_rules(spark):
     named = spark.createDataFrame([("a", "x"), ("b", None), ("a", "x")], "name string, told string")
     one, two = queue.rule_set(named).first(), queue.rule_set(named.orderBy(F.desc("name"))).first()
     assert one == two and len(one.rule_set) == 16 and one.n == 2
+
+
+def test_reopened(spark):
+    before = spark.createDataFrame([("k", "a")], "kind string, subject string")
+    after = spark.createDataFrame([("k", "a"), ("k", "b")], "kind string, subject string")
+    assert [r.subject for r in queue.reopened(before, after).collect()] == ["b"]
