@@ -5,11 +5,13 @@ smallest distance and the graph is a proper neighbour graph whatever the norms.
 groups and from groups of equal sign patterns of random projections (large groups are cut, so a crowd of
 alike vectors stays in several tasks), with exact neighbours inside each group. Then rounds of
 NN-descent: every node brings its neighbours and those whose neighbour it is together, and each of them
-is offered the others: neighbours of neighbours, by Spark joins. Reverse lists are cut to the
-nearest ``DEGREE``, as NN-descent does; that bounds work per node, not results.
+is offered the others: neighbours of neighbours, by Spark joins. They go on until less than ``STILL`` of all
+list entries change. Reverse lists are cut to the nearest ``DEGREE``, as NN-descent does; that bounds
+work per node, not results.
 
 Search: a query begins at its own node, expands its nearest unexpanded nodes in each round by joins to the
-graph, keeps the ``BEAM`` nearest, and ends when its nearest ones are all expanded. Equal vectors
+graph, keeps the ``BEAM`` nearest, and ends when its nearest ones are all expanded; rounds go on while any
+query has an open one. Equal vectors
 are one node; results are widened to all ids of a node that can matter, and scored in double precision.
 
 Left out: null vectors, those with null or non-finite components, zero vectors and vectors of another
@@ -30,7 +32,9 @@ from tessera.llm.common import Scratch
 from tessera.llm.skew import keyed_join
 
 TREES, GROUP, DEGREE, KEEP = 20, 1500, 24, 32
-ROUNDS, EXPAND, BEAM, HOPS = 2, 12, 48, 4
+EXPAND, BEAM = 12, 48
+#: Share of list entries changed by a round below which NN-descent has converged.
+STILL = 0.005
 _LISTS = "node long, near array<long>, sim array<float>"
 
 
@@ -133,8 +137,18 @@ def _descend(graph: DataFrame, points: DataFrame, width: int) -> DataFrame:
     return _merge(graph.unionByName(offers), KEEP)
 
 
-def build_graph(vectors: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """node, near, sim: the neighbour lists of distinct vectors (columns node, vec)."""
+def _changed(graph: DataFrame, before: DataFrame) -> float:
+    """Share of the list entries that were not there before."""
+    both = graph.select("node", "near").join(before.select("node", F.col("near").alias("was")), "node")
+    sums = both.agg(F.sum(F.size(F.array_except("near", "was"))).alias("new"), F.sum(F.size("near")).alias("all")).first()
+    return (sums["new"] or 0) / max(1, sums["all"] or 0)
+
+
+def build_graph(vectors: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, near, sim: the neighbour lists of distinct vectors (columns node, vec).
+
+    Lists only get nearer, so the rounds end.
+    """
     stats = vectors.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("width"), F.max(F.expr("aggregate(vec, 0D, (s, x) -> s + x * x)")).alias("most")).first()
     n, width, most = stats["n"], (stats["width"] or 0) + 1, stats["most"] or 1.0
 
@@ -148,9 +162,12 @@ def build_graph(vectors: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> D
 
     points = scratch.table(vectors.select("node", "vec").mapInArrow(point, "node long, point binary"), "points")
     graph = scratch.table(_start(points, width, n), "graph-0")
-    for i in range(1, rounds + 1 if n > 2 * GROUP else 1):
-        graph = scratch.table(_descend(graph, points, width), f"graph-{i}")
-        scratch.drop(f"graph-{i - 1}")
+    step, moving = 0, n > 2 * GROUP
+    while moving:
+        step += 1
+        before, graph = graph, scratch.table(_descend(graph, points, width), f"graph-{step}")
+        moving = _changed(graph, before) >= STILL
+        scratch.drop(f"graph-{step - 1}")
     return graph
 
 
@@ -163,8 +180,8 @@ def search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, scratch: Sc
     q = queries.select("query", F.col("vec").alias("qvec"))
     start = queries.select("query", "node").join(graph.select("node", "near"), "node", "left")
     fresh = start.select("query", F.explode(F.concat(F.array("node"), F.coalesce("near", F.array().cast("array<long>")))).alias("node"))
-    beam = None
-    for hop in range(HOPS):
+    beam, hop = None, 0
+    while True:
         fresh = scratch.table(fresh.distinct(), f"fresh-{hop}")
         scored = keyed_join(fresh, vectors.select("node", "vec"), "node").join(q, "query").select("query", "node", _dot("qvec", "vec").alias("score"), F.lit(False).alias("done"))
         every = scored if beam is None else beam.unionByName(scored)
@@ -176,10 +193,14 @@ def search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, scratch: Sc
         every = scratch.table(every, f"beam-{hop}")
         beam = every.select("query", "node", "score", (F.col("done") | F.col("now")).alias("done"))
         go = every.filter("now")
-        if hop + 1 == HOPS or not go.limit(1).count():
+        if hop:
+            for old in ("fresh", "beam", "go"):
+                scratch.drop(f"{old}-{hop - 1}")
+        if not go.limit(1).count():
             break
         go = scratch.table(go.select("query", "node"), f"go-{hop}")
         fresh = keyed_join(go, graph.select("node", "near"), "node").select("query", F.explode("near").alias("node")).distinct().join(beam.select("query", "node"), ["query", "node"], "left_anti")
+        hop += 1
     return beam.select("query", "node")
 
 

@@ -5,6 +5,7 @@ import re
 import numpy as np
 
 from tessera.llm import ann, queries, toxicity, url_filter
+from tessera.llm.common import Scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -91,3 +92,27 @@ def test_odd_pieces_match_their_definition_and_take_linear_time():
     began = time.perf_counter()
     looks_odd("ab" * 500_000)
     assert time.perf_counter() - began < 5
+
+
+def test_descent_goes_on_until_lists_stand_still(spark, monkeypatch):
+    """From a start in which a vector meets few others; one more round then changes next to nothing."""
+    monkeypatch.setattr(ann, "GROUP", 10)
+    monkeypatch.setattr(ann, "TREES", 1)
+    x = np.random.default_rng(0).standard_normal((1200, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    made, descend = [], ann._descend
+    monkeypatch.setattr(ann, "_descend", lambda *a: made.append(a) or descend(*a))
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "node long, vec array<double>")
+    graph = {r["node"]: set(r["near"]) for r in ann.build_graph(vectors, Scratch(spark, "test")).collect()}
+    scratch = Scratch(spark, "test")
+    last = scratch.table(spark.createDataFrame([(n, sorted(v, key=lambda j: -(x[n] @ x[j])), sorted((float(x[n] @ x[j]) for j in v), reverse=True)) for n, v in graph.items()], ann._LISTS), "last")
+    after = {r["node"]: set(r["near"]) for r in descend(last, *made[-1][1:]).collect()}
+    assert sum(len(after[n] - graph[n]) for n in graph) < 0.01 * sum(map(len, graph.values()))
+
+
+def test_search_goes_on_while_a_node_is_open(spark):
+    n = 9
+    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(n)], "node long, vec array<double>")
+    graph = spark.createDataFrame([(i, [min(n - 1, i + 1)]) for i in range(n)], "node long, near array<long>")
+    queries = spark.createDataFrame([(0, 0, [0.0, 1.0])], "query long, node long, vec array<double>")
+    assert {r["node"] for r in ann.search(queries, vectors, graph, Scratch(spark, "test"), 3).collect()} == set(range(n))
