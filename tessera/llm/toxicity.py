@@ -10,7 +10,8 @@ don't make evidence. A beginning is evidence when so many toxic documents would
 among all beginnings tried. A document's score is that of its strongest evidence, and rises with more.
 
 The fit uses at most ``FIT_TOXIC`` toxic and ``FIT_CLEAN`` clean labelled rows (those of least hash);
-everything else covers all documents and their whole texts.
+everything else covers all documents and their whole texts. Each sampled row stands for the labelled rows
+of its class per sampled one, so shares are those of all labelled rows whatever the limits cut.
 
 Nulls, ties and repeated rows: a null or empty text has the base score. Labels with nulls are left out;
 a document with several labels counts as toxic if one says so. Without labels, all have the base score.
@@ -211,6 +212,8 @@ def fit(docs: DataFrame, labels: DataFrame, model: CharModel) -> dict[str, float
     scratch = Scratch(spark, "toxicity")
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null")
     rows = rows.filter((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3) != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    eligible = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    of_toxic, of_clean = (max(1.0, eligible.get(y, 0) / n) for y, n in ((1, FIT_TOXIC), (0, FIT_CLEAN)))
     some = [rows.filter(f"toxic = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, FIT_TOXIC), (0, FIT_CLEAN))]
     some = scratch.table(some[0].unionByName(some[1]), "chosen")
     shared = spark.sparkContext.broadcast(model)
@@ -234,14 +237,17 @@ def fit(docs: DataFrame, labels: DataFrame, model: CharModel) -> dict[str, float
     counts = chosen.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).filter("n >= 3")
     tried = counts.count()
     share = n_toxic / (n_toxic + n_clean)
+    true_share = of_toxic * n_toxic / (of_toxic * n_toxic + of_clean * n_clean)
     evidence = {}
     # a subset of the bounded sample's words: those that are mostly in toxic documents
-    for r in counts.filter(f"t >= 3 and t > n * {0.5 + share / 2}").collect():
+    for r in counts.filter(f"t >= 3 and t * {of_toxic} > (t * {of_toxic} + (n - t) * {of_clean}) * {0.5 + true_share / 2}").collect():
+        # chance is judged on the rows as drawn, shares on what they stand for
         doubt = _tail(r["t"], r["n"], share) + math.log10(tried)
-        p = (r["t"] + 0.5) / (r["n"] + 1)
+        toxic, clean = of_toxic * r["t"], of_clean * (r["n"] - r["t"])
+        p = (toxic + of_toxic / 2) / (toxic + clean + (of_toxic + of_clean) / 2)
         if doubt > -1.5:
             p = min(p, 0.2 + 0.1 * max(0.0, min(4.0, 2.5 - doubt)))
-        elif r["t"] < SURE * r["n"]:
+        elif toxic < SURE * (toxic + clean):
             p = min(p, 0.6)
         evidence[r["word"]] = p
     return evidence

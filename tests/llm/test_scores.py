@@ -116,3 +116,19 @@ def test_search_goes_on_while_a_node_is_open(spark):
     graph = spark.createDataFrame([(i, [min(n - 1, i + 1)]) for i in range(n)], "node long, near array<long>")
     queries = spark.createDataFrame([(0, 0, [0.0, 1.0])], "query long, node long, vec array<double>")
     assert {r["node"] for r in ann.search(queries, vectors, graph, Scratch(spark, "test"), 3).collect()} == set(range(n))
+
+
+def test_shares_of_evidence_do_not_depend_on_the_sample(spark, monkeypatch):
+    """A word in all toxic and 1 of 100 clean documents, one of which is sampled: a third of its documents are clean."""
+    dice = np.random.default_rng(4)
+    vocabulary = ["".join(chr(97 + c) for c in dice.integers(0, 26, 6)) for _ in range(3000)]
+    words = [" ".join(dice.choice(vocabulary, 12)) for _ in range(2040)]
+    toxic = [i % 51 == 0 for i in range(len(words))]
+    rows = [(i, f"grumble {w}" if toxic[i] or i % 102 == 23 else w) for i, w in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(y)) for i, y in enumerate(toxic)], "doc_id long, toxic int")
+    model = toxicity.corpus_model(docs)
+    whole = toxicity.fit(docs, labels, model)
+    monkeypatch.setattr(toxicity, "FIT_CLEAN", 100)
+    few = toxicity.fit(docs, labels, model)
+    assert max(whole.get("grumble", 0), few.get("grumble", 0)) < toxicity.THRESHOLD
