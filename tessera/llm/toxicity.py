@@ -40,6 +40,8 @@ BASE = 0.03
 #: Share of toxic documents among those with a beginning from which it can condemn a document by itself.
 SURE = 0.95
 SHORTEST, LONGEST = 4, 7
+#: Whole words from this length on are evidence, though they have no beginning of their own.
+WHOLE = 2
 #: Signs that stand for letters in disguised words (fixed values of the channel model).
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou"}
 #: Log-probabilities of the channel.
@@ -51,6 +53,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:([ .\-_*])[^\W_])(?:\1[^\W_])+(?![^\W_])")
 _INSIDE, _BEFORE, _AFTER = re.compile(r"[0-9@$!|+(€£¡*._\-]"), re.compile(r"[0-9@$!|+€£¡*]"), re.compile(r"[0-9@$]")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
+_TWICE, _LETTER, _SIGN = re.compile(r"([^\W\d_])\1"), re.compile(r"[^\W\d_]"), re.compile(f"[{re.escape(''.join(LOOKS_LIKE))}]")
 #: Pieces remembered by a worker, and the longest of them.
 REMEMBERED, REMEMBERED_CHARS = 200_000, 40
 
@@ -148,14 +151,19 @@ def looks_odd(piece: str) -> bool:
     return bool(pairs) and bool(_BEFORE.search(piece, 0, pairs[-1][1] - 2) or _AFTER.search(piece, pairs[0][0] + 2))
 
 
+def may_hide(piece: str) -> bool:
+    """Whether a piece goes through the lattice: odd ones, a doubled letter, or a look-alike sign with a letter."""
+    return bool(_TWICE.search(piece) or (_SIGN.search(piece) and _LETTER.search(piece))) or looks_odd(piece)
+
+
 def piece_words(piece: str, model: CharModel) -> tuple[str, ...]:
-    """Words of at least SHORTEST letters in a piece without spaces, and the one that it may hide."""
+    """Words of at least WHOLE letters in a piece without spaces, and the one that it may hide."""
     if (known := model.pieces.get(piece)) is not None:
         return known
-    words = [w for w in _WORD.findall(piece) if len(w) >= SHORTEST]
-    if (len(piece) > 4 or not piece.isalpha()) and looks_odd(piece):
+    words = [w for w in _WORD.findall(piece) if len(w) >= WHOLE]
+    if may_hide(piece):
         found = model.decode(piece.strip(".,;:?\"')[]{}«»"))
-        if len(found) >= SHORTEST:
+        if len(found) >= WHOLE:
             words.append(found)
     out = tuple(words)
     if len(piece) <= REMEMBERED_CHARS:
@@ -166,7 +174,7 @@ def piece_words(piece: str, model: CharModel) -> tuple[str, ...]:
 
 
 def restored_words(text: str, model: CharModel) -> set[str]:
-    """Distinct words of at least SHORTEST letters, with those decoded from disguises."""
+    """Distinct words of at least WHOLE letters, with those decoded from disguises."""
     text = unicodedata.normalize("NFKC", text).lower().replace("\u200b", "").replace("\u00ad", "")
     words: set[str] = set()
     for piece in set(text.split()):

@@ -132,3 +132,10 @@ def test_shares_of_evidence_do_not_depend_on_the_sample(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "FIT_CLEAN", 100)
     few = toxicity.fit(docs, labels, model)
     assert max(whole.get("grumble", 0), few.get("grumble", 0)) < toxicity.THRESHOLD
+
+
+def test_doubled_letters_and_words_of_one_letter_and_signs_are_decoded():
+    counts = toxicity.count_trigrams(["the moron and the idiot said stupid shit to an ass of some idiot and moron"] * 50)
+    model = toxicity.CharModel(counts)
+    for text, word in (("so stuupid", "stupid"), ("a mooron here", "moron"), ("that 5h1+ again", "shit"), ("1d1o+", "idiot"), ("an a$$", "ass"), ("an ass", "ass")):
+        assert word in toxicity.restored_words(text, model), text
