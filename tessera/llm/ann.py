@@ -1,15 +1,14 @@
 """Approximate nearest neighbours by NN-descent and greedy graph search; nearness is the inner product.
 
-Graph: vectors get one more component that makes all norms equal, so the largest inner product is the
-smallest distance and the graph is a proper neighbour graph whatever the norms. It starts from random
-groups and from groups of equal sign patterns of random projections (large groups are cut, so a crowd of
+Graph: a node's list holds the nodes of largest inner product with it. It starts from random
+groups and from groups of equal sign patterns of random projections of the centred directions, whatever the norms (large groups are cut, so a crowd of
 alike vectors stays in several tasks), with exact neighbours inside each group. Then rounds of
 NN-descent: every node brings its neighbours and those whose neighbour it is together, and each of them
 is offered the others: neighbours of neighbours, by Spark joins. They go on until less than ``STILL`` of all
 list entries change. Reverse lists are cut to the nearest ``DEGREE``, as NN-descent does; that bounds
 work per node, not results.
 
-Search: a query begins at its own node, expands its nearest unexpanded nodes in each round by joins to the
+Search: a query begins at its own node and the ``BEAM`` longest vectors, expands its nearest unexpanded nodes in each round by joins to the
 graph, keeps the ``BEAM`` nearest, and ends when its nearest ones are all expanded; rounds go on while any
 query has an open one. Equal vectors
 are one node; results are widened to all ids of a node that can matter, and scored in double precision.
@@ -50,7 +49,9 @@ def valid_vectors(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
 
 
 def _matrix(rows, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(rows), np.float16).reshape(-1, width).astype(np.float32)
+    """Vectors from their norm (a float) and direction (half floats)."""
+    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, 4 + 2 * width)
+    return raw[:, 4:].copy().view(np.float16).astype(np.float32) * raw[:, :4].copy().view(np.float32)
 
 
 def _best(sims: np.ndarray, keep: int) -> np.ndarray:
@@ -93,7 +94,7 @@ def _merge(offers: DataFrame, keep: int) -> DataFrame:
     return offers.groupBy("node").agg(F.collect_list("near").alias("near"), F.collect_list("sim").alias("sim")).mapInArrow(merge, _LISTS)
 
 
-def _start(points: DataFrame, width: int, n: int) -> DataFrame:
+def _start(points: DataFrame, width: int, n: int, centre: np.ndarray) -> DataFrame:
     """Lists from one random grouping and TREES groupings by signs of random projections."""
     bits = max(0, int(np.log2(max(1, n / GROUP))))
 
@@ -103,7 +104,8 @@ def _start(points: DataFrame, width: int, n: int) -> DataFrame:
         for batch in batches:
             if len(batch):
                 nodes = batch.column(0).to_numpy()
-                signs = _matrix(batch.column(1).to_pylist(), width) @ planes > 0
+                x = _matrix(batch.column(1).to_pylist(), width)
+                signs = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30) - centre) @ planes > 0
                 trees = [nodes % max(1, n // GROUP)]
                 trees += [(signs[:, t * bits : (t + 1) * bits] @ weights) * TREES + t + (1 << 40) for t in range(TREES)] if bits else []
                 for t in trees:
@@ -150,18 +152,21 @@ def build_graph(vectors: DataFrame, scratch: Scratch) -> DataFrame:
     Lists only get nearer, so the rounds end.
     """
     stats = vectors.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("width"), F.max(F.expr("aggregate(vec, 0D, (s, x) -> s + x * x)")).alias("most")).first()
-    n, width, most = stats["n"], (stats["width"] or 0) + 1, stats["most"] or 1.0
+    n, width, most = stats["n"], stats["width"] or 0, stats["most"] or 1.0
 
     def point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 x = np.array(batch.column(1).to_pylist(), np.float64)
-                rest = np.sqrt(np.maximum(0.0, most - (x * x).sum(1)))
-                scaled = (np.column_stack([x, rest]) / np.sqrt(most)).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in scaled], pa.binary())], names=["node", "point"])
+                norm = np.sqrt((x * x).sum(1))
+                units, norms = (x / norm[:, None]).astype(np.float16), (norm / np.sqrt(most)).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.tobytes() + u.tobytes() for m, u in zip(norms, units, strict=True)], pa.binary())], names=["node", "point"])
 
     points = scratch.table(vectors.select("node", "vec").mapInArrow(point, "node long, point binary"), "points")
-    graph = scratch.table(_start(points, width, n), "graph-0")
+    unit = vectors.select(F.expr("transform(vec, x -> x / sqrt(aggregate(vec, 0D, (s, y) -> s + y * y)))").alias("unit"))
+    means = unit.select(F.posexplode("unit").alias("at", "x")).groupBy("at").agg(F.avg("x").alias("x")).collect()
+    centre = np.array([m["x"] for m in sorted(means)], np.float32)
+    graph = scratch.table(_start(points, width, n, centre), "graph-0")
     step, moving = 0, n > 2 * GROUP
     while moving:
         step += 1
@@ -180,6 +185,9 @@ def search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, scratch: Sc
     q = queries.select("query", F.col("vec").alias("qvec"))
     start = queries.select("query", "node").join(graph.select("node", "near"), "node", "left")
     fresh = start.select("query", F.explode(F.concat(F.array("node"), F.coalesce("near", F.array().cast("array<long>")))).alias("node"))
+    # lists of long vectors lead to those of large inner product; a constant number of them
+    longest = vectors.select("node", _dot("vec", "vec").alias("size")).orderBy(F.desc("size"), "node").limit(BEAM).select("node")
+    fresh = fresh.unionByName(queries.select("query").crossJoin(F.broadcast(longest)))
     beam, hop = None, 0
     while True:
         fresh = scratch.table(fresh.distinct(), f"fresh-{hop}")

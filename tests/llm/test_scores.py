@@ -139,3 +139,20 @@ def test_doubled_letters_and_words_of_one_letter_and_signs_are_decoded():
     model = toxicity.CharModel(counts)
     for text, word in (("so stuupid", "stupid"), ("a mooron here", "moron"), ("that 5h1+ again", "shit"), ("1d1o+", "idiot"), ("an a$$", "ass"), ("an ass", "ass")):
         assert word in toxicity.restored_words(text, model), text
+
+
+def test_neighbours_of_unequal_norms_and_an_outlier(spark, monkeypatch):
+    monkeypatch.setattr(ann, "GROUP", 100)
+    dice = np.random.default_rng(5)
+    x = dice.standard_normal((1500, 16)) * np.exp(dice.standard_normal((1500, 1)))
+    x[7] *= 100 * np.linalg.norm(x, axis=1).mean() / np.linalg.norm(x[7])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    shares = []
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        shares.append(len(got[q] & set(np.argpartition(-s, 20)[:20].tolist())) / 20)
+    assert np.mean(shares) >= 0.95, np.mean(shares)
