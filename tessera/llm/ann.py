@@ -1,21 +1,28 @@
 """Approximate nearest neighbours by NN-descent and greedy graph search; nearness is the inner product.
 
-Graph: a node's list holds the nodes of largest inner product with it. It starts from random
-groups and from groups of equal sign patterns of random projections of the centred directions, whatever the norms (large groups are cut, so a crowd of
-alike vectors stays in several tasks), with exact neighbours inside each group. Then rounds of
-NN-descent: every node brings its neighbours and those whose neighbour it is together, and each of them
-is offered the others: neighbours of neighbours, by Spark joins. They go on until less than ``STILL`` of all
-list entries change. Reverse lists are cut to the nearest ``DEGREE``, as NN-descent does; that bounds
-work per node, not results.
-
-Search: a query begins at its own node and the ``BEAM`` longest vectors, expands its nearest unexpanded nodes in each round by joins to the
-graph, keeps the ``BEAM`` nearest, and ends when its nearest ones are all expanded; rounds go on while any
-query has an open one. Equal vectors
-are one node; results are widened to all ids of a node that can matter, and scored in double precision.
+Graph: a node's list holds ``KEEP`` nodes of large inner product with it. Lists start from one random
+grouping and ``TREES`` groupings by sign patterns of random projections, each of about ``LEAF`` nodes at
+every table size; large groups are cut, so a crowd of alike vectors stays in several tasks. Then rounds of
+NN-descent: every node brings together neighbours and reverse neighbours, a sample of those new since the
+last round and a sample of the others, and offers each of them the new ones that beat the end of its list:
+neighbours of neighbours, by Spark joins. A pair is looked at again only if one of the two is new. Rounds
+go on until less than ``STILL`` of all list entries change.
+
+Points travel as one byte per component of what is left of the vector without its part along the mean direction, with a
+scale and the length of that part, so neither a common offset nor uneven norms cost precision. Offers are merged inside a task before they shuffle,
+which keeps the groups of popular (long) vectors small.
+
+Search: each distinct query vector begins with its own list and the ``LONGEST`` longest vectors, expands
+the nearest unexpanded nodes of its beam in each hop by joins to the graph, and is done when the nearer half of
+its beam is expanded; hops go on while any query has an open node. Found nodes are scored in double
+precision on the original vectors and widened to all ids of a node that can matter.
 
 Left out: null vectors, those with null or non-finite components, zero vectors and vectors of another
-length than the most frequent one. Ties go to the smaller vec_id; a null vec_id takes no part. Rows that
-repeat a vec_id are distinct candidates only if their vectors differ. An empty table gives no rows. Other columns are ignored.
+length than the most frequent one (the smaller of two). Equal vectors share a node (named by a 64-bit hash of the vector:
+the chance that any two of a billion different ones share it is about 3 %, of a million 3e-8). Ties go to the smaller
+vec_id; a null vec_id takes no part. A vec_id on several different vectors asks once, with one of them, and
+is found once, at its best score. Vectors shorter than about 1e-19 of the largest component count as equally
+far while lists are made. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,206 +31,322 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from tessera.llm.common import Scratch
 from tessera.llm.skew import keyed_join
 
-TREES, GROUP, DEGREE, KEEP = 20, 1500, 24, 32
-EXPAND, BEAM = 12, 48
+TREES, LEAF, KEEP, SAMPLE = 5, 100, 40, 16
+BEAM, EXPAND, LONGEST = 96, 16, 48
 #: Share of list entries changed by a round below which NN-descent has converged.
-STILL = 0.005
-_LISTS = "node long, near array<long>, sim array<float>"
+STILL = 0.01
+#: Offers that a task merges at once.
+BUFFER = 300_000
+_OFFERS = "node long, near array<long>, sim array<float>"
+_GRAPH = "node long, point binary, near array<long>, sim array<float>, new array<boolean>, gained int"
+_STATE = "node long, point binary, beam array<long>, score array<float>, done array<boolean>, go array<long>"
+
+
+def distinct_vectors(df: DataFrame, vec_id: str, vector: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(ids: vec_id, node), (vectors: node, vec) of the rows that take part."""
+    kind = df.schema[vector].dataType.simpleString()
+    own = df[vector] if kind in ("array<float>", "array<double>") else df[vector].cast("array<double>")
+    rows = df.select(df[vec_id].cast("long").alias("vec_id"), own.alias("vec")).filter("vec_id is not null and size(vec) > 0")
+    fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
+    rows = rows.filter(fine).withColumn("vec", F.transform("vec", lambda x: x + F.lit(0).cast("float")))  # no negative zero
+    usual = rows.groupBy(F.size("vec").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").limit(1)
+    rows = rows.join(F.broadcast(usual.select("width")), F.size("vec") == F.col("width")).select("vec_id", F.xxhash64("vec").alias("node"), "vec")
+    ids = scratch.table(rows.select("vec_id", "node").distinct(), "ids")
+    return ids, scratch.table(rows.groupBy("node").agg(F.first("vec").alias("vec")), "vectors")
 
 
-def valid_vectors(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """vec_id, vec (doubles), node: equal vectors share a node."""
-    v = F.col("vec")
-    rows = df.select(df[vec_id].cast("long").alias("vec_id"), df[vector].cast("array<double>").alias("vec")).filter("vec_id is not null and vec is not null and size(vec) > 0")
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = rows.filter(fine)
-    usual = rows.groupBy(F.size("vec").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").limit(1)
-    rows = rows.join(F.broadcast(usual.select("width")), F.size("vec") == F.col("width")).drop("width")
-    return rows.withColumn("node", F.xxhash64(F.transform("vec", lambda x: x + 0.0))).dropDuplicates(["vec_id", "node"])
+class Coder:
+    """Points of one byte per component; small enough to go with every task: one vector and three numbers."""
+
+    def __init__(self, vectors: DataFrame) -> None:
+        stats = vectors.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("width"), F.max(F.array_max(F.transform("vec", lambda x: F.abs(x.cast("double"))))).alias("largest")).first()
+        self.n, self.width, self.largest = stats["n"], stats["width"] or 0, stats["largest"] or 1.0
+        width, scaled = self.width, self.scaled
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(width)
+            for batch in batches:
+                if len(batch):
+                    total += _units(scaled(batch.column(0))).sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array(total)], names=["at", "x"])
+
+        mean = vectors.select("vec").mapInArrow(sums, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
+        self.mean = np.array([m["x"] for m in sorted(mean)]) / max(1, self.n)
+        self.heading = self.mean / max(float(np.linalg.norm(self.mean)), 1e-30)
+
+    def scaled(self, column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) / self.largest
+
+    def code(self, x: np.ndarray) -> list[bytes]:
+        along = x @ self.heading
+        rest = x - along[:, None] * self.heading
+        scale = np.maximum(np.abs(rest).max(1) / 127, 1e-37)
+        head = np.stack([scale, along], 1).astype("<f4").view(np.uint8)
+        return [p.tobytes() for p in np.concatenate([head, np.rint(rest / scale[:, None]).astype(np.int8).view(np.uint8)], 1)]
+
+    def points(self, coded: pa.Array) -> np.ndarray:
+        """What is left without the mean direction, and the part along it as the last component: inner products are kept."""
+        raw = np.frombuffer(b"".join(coded.to_pylist()), np.uint8).reshape(len(coded), 8 + self.width)
+        head = raw[:, :8].copy().view("<f4")
+        return np.concatenate([raw[:, 8:].view(np.int8) * head[:, :1], head[:, 1:]], 1)
 
+    def signs(self, coded: pa.Array, planes: np.ndarray) -> np.ndarray:
+        points = self.points(coded).astype(np.float64)
+        return (_units(points[:, :-1] + points[:, -1:] * self.heading) - self.mean) @ planes > 0
 
-def _matrix(rows, width: int) -> np.ndarray:
-    """Vectors from their norm (a float) and direction (half floats)."""
-    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, 4 + 2 * width)
-    return raw[:, 4:].copy().view(np.float16).astype(np.float32) * raw[:, :4].copy().view(np.float32)
 
+def _units(x: np.ndarray) -> np.ndarray:
+    x = x / np.maximum(np.abs(x).max(1, keepdims=True), 1e-300)
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
 
-def _best(sims: np.ndarray, keep: int) -> np.ndarray:
-    """Columns of the ``keep`` largest of each row, largest first."""
-    keep = min(keep, sims.shape[1])
-    at = np.argpartition(-sims, keep - 1, axis=1)[:, :keep]
-    return np.take_along_axis(at, np.argsort(-np.take_along_axis(sims, at, 1), axis=1, kind="stable"), 1)
 
+def _nearest_of_each(node: np.ndarray, near: np.ndarray, sim: np.ndarray, prefer: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(indices of the KEEP nearest distinct entries of each node, in order; their nodes). Of equal entries the preferred stays."""
+    order = np.lexsort((near, node)) if prefer is None else np.lexsort((~prefer, near, node))
+    order = order[np.concatenate([[True], (np.diff(node[order]) != 0) | (np.diff(near[order]) != 0)])] if len(order) else order
+    order = order[np.lexsort((near[order], -sim[order], node[order]))]
+    begins = np.flatnonzero(np.diff(node[order], prepend=node[order][:1] - 1))
+    rank = np.arange(len(order)) - np.repeat(begins, np.diff(begins, append=len(order)))
+    order = order[rank < KEEP]
+    return order, node[order]
 
-def _offer(nodes: np.ndarray, points: np.ndarray, keep: int, block: int = 1024):
-    """Each node's nearest others inside one group."""
-    for i in range(0, len(nodes), block):
-        sims = points[i : i + block] @ points.T
-        sims[nodes[i : i + block, None] == nodes[None, :]] = -np.inf
-        at = _best(sims, keep)
-        for n, row, s in zip(nodes[i : i + block].tolist(), at, sims, strict=True):
-            row = row[s[row] > -np.inf]
-            yield n, nodes[row], s[row]
 
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values))
 
-def _lists(found) -> pa.RecordBatch:
-    found = list(found)
-    return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.list_(pa.float32()))], names=["node", "near", "sim"])
 
+class _Offers:
+    """Offers of one task, merged to at most KEEP per node before they leave it."""
 
-def _merge(offers: DataFrame, keep: int) -> DataFrame:
-    """One list per node: the nearest of all lists that it was offered."""
+    def __init__(self) -> None:
+        self.parts, self.size = [], 0
+
+    def add(self, node: np.ndarray, near: np.ndarray, sim: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append((node, near, sim.astype(np.float32)))
+        self.size += len(node)
+        if self.size > BUFFER:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            node, near, sim = (np.concatenate(p) for p in zip(*self.parts, strict=True))
+            order, at = _nearest_of_each(node, near, sim)
+            nodes, sizes = np.unique(at, return_counts=True)
+            self.parts, self.size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), _lists(near[order], sizes), _lists(sim[order], sizes)], names=["node", "near", "sim"])
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """One list per node from its old one (with its point) and all offers; ``gained``: entries that it did not have."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for node, near, sim in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                ids, sims = np.array([x for y in near for x in y], np.int64), np.array([x for y in sim for x in y], np.float32)
-                ids, first = np.unique(ids, return_index=True)
-                sims = sims[first]
-                at = np.lexsort((ids, -sims))[:keep]
-                found.append((node, ids[at], sims[at]))
-            yield _lists(found)
+            if not len(batch):
+                continue
+            near = batch["near"].flatten().to_numpy()
+            sim, new, offer = (batch[c].flatten().to_numpy(zero_copy_only=False) for c in ("sim", "new", "offer"))
+            row = np.repeat(np.arange(len(batch)), np.diff(batch["near"].offsets.to_numpy()))
+            order, at = _nearest_of_each(row, near, sim, ~offer)
+            sizes = np.bincount(at, minlength=len(batch))
+            gained = np.bincount(at, offer[order], minlength=len(batch)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["point"], _lists(near[order], sizes), _lists(sim[order], sizes), _lists((new | offer)[order], sizes), pa.array(gained)], names=["node", "point", "near", "sim", "new", "gained"])
+
+    one = rows.groupBy("node").agg(F.first("point", ignorenulls=True).alias("point"), F.collect_list(F.struct("near", "sim", "new", "offer")).alias("g"))
+    flat = [F.flatten(f"g.{c}").alias(c) for c in ("near", "sim", "new", "offer")]
+    return one.select("node", "point", *flat).mapInArrow(merge, _GRAPH)
 
-    return offers.groupBy("node").agg(F.collect_list("near").alias("near"), F.collect_list("sim").alias("sim")).mapInArrow(merge, _LISTS)
 
+def _offered(offers: DataFrame) -> DataFrame:
+    flags = [F.transform("near", lambda _: F.lit(True)).alias(c) for c in ("new", "offer")]
+    return offers.select("node", F.lit(None).cast("binary").alias("point"), "near", "sim", *flags)
 
-def _start(points: DataFrame, width: int, n: int, centre: np.ndarray) -> DataFrame:
-    """Lists from one random grouping and TREES groupings by signs of random projections."""
-    bits = max(0, int(np.log2(max(1, n / GROUP))))
+
+def _start(points: DataFrame, coder: Coder) -> DataFrame:
+    """Lists from one random grouping and TREES groupings by signs of random projections of the centred directions."""
+    n, width = coder.n, coder.width
+    bits = max(0, int(np.ceil(np.log2(max(1, n / LEAF)))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = np.random.default_rng(7).standard_normal((width, TREES * max(1, bits))).astype(np.float32)
+        planes = np.random.default_rng(7).standard_normal((width, TREES * max(1, bits)))
         weights = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
             if len(batch):
-                nodes = batch.column(0).to_numpy()
-                x = _matrix(batch.column(1).to_pylist(), width)
-                signs = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30) - centre) @ planes > 0
-                trees = [nodes % max(1, n // GROUP)]
-                trees += [(signs[:, t * bits : (t + 1) * bits] @ weights) * TREES + t + (1 << 40) for t in range(TREES)] if bits else []
-                for t in trees:
-                    yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64)), batch.column(0), batch.column(1)], names=["grp", "node", "point"])
+                signs = coder.signs(batch.column(1), planes)
+                groups = [batch.column(0).to_numpy() % max(1, n // LEAF)]
+                groups += [(signs[:, t * bits : (t + 1) * bits] @ weights) * TREES + t + (1 << 50) for t in range(TREES)] if bits else []
+                for g in groups:
+                    yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), batch.column(0), batch.column(1)], names=["grp", "node", "point"])
 
-    def near(rows: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_lists(_offer(rows["node"].to_numpy(), _matrix(rows["point"].to_pylist(), width), KEEP - 8))])
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        offers = _Offers()
+        for batch in batches:
+            for nodes, coded in zip(batch["nodes"], batch["points"], strict=True):
+                nodes, x = nodes.values.to_numpy(), coder.points(coded.values)
+                if len(nodes) > 1:
+                    sims = x @ x.T
+                    np.fill_diagonal(sims, -np.inf)
+                    most = min(KEEP // 2, len(nodes) - 1)
+                    at = np.argpartition(-sims, most - 1, axis=1)[:, :most]
+                    yield from offers.add(np.repeat(nodes, most), nodes[at].ravel(), np.take_along_axis(sims, at, 1).ravel())
+        yield from offers.flush()
 
     rows = points.mapInArrow(place, "grp long, node long, point binary")
-    sizes = rows.groupBy("grp").agg(F.ceil(F.count("*") / (4 * GROUP)).cast("int").alias("parts"))
-    rows = keyed_join(rows, sizes, "grp", rows=n * (TREES + 1))
-    rows = rows.withColumn("part", F.expr("cast(pmod(xxhash64(node, grp), parts) as int)"))
-    return _merge(rows.groupBy("grp", "part").applyInArrow(near, _LISTS), KEEP)
+    sizes = rows.groupBy("grp").agg(F.ceil(F.count("*") / (4 * LEAF)).cast("int").alias("parts"))
+    rows = keyed_join(rows, sizes, "grp", rows=n * (TREES + 1)).withColumn("part", F.expr("pmod(xxhash64(node, grp), parts)"))
+    groups = rows.groupBy("grp", "part").agg(F.collect_list(F.struct("node", "point")).alias("g")).select(F.col("g.node").alias("nodes"), F.col("g.point").alias("points"))
+    none = [F.array().cast(f"array<{c}>").alias(a) for a, c in (("near", "bigint"), ("sim", "float"), ("new", "boolean"), ("offer", "boolean"))]
+    return _merged(points.select("node", "point", *none).unionByName(_offered(groups.mapInArrow(meet, _OFFERS))))
 
 
-def _descend(graph: DataFrame, points: DataFrame, width: int) -> DataFrame:
+def _descend(graph: DataFrame, coder: Coder, scratch: Scratch, step: int) -> DataFrame:
     """One round of NN-descent: lists merged with offers from neighbours of neighbours."""
-    pairs = graph.select("node", F.posexplode(F.slice("near", 1, DEGREE)).alias("rank", "other"), F.col("sim"))
-    pairs = pairs.select("node", "other", F.expr("sim[rank]").alias("sim"))
-    nearest = F.row_number().over(Window.partitionBy("other").orderBy(F.desc("sim"), "node"))
-    back = pairs.withColumn("place", nearest).filter(F.col("place") <= DEGREE).select(F.col("other").alias("node"), F.col("node").alias("other"))
-    around = pairs.select("node", "other").unionByName(back).unionByName(graph.select("node", F.col("node").alias("other"))).distinct()
-    around = around.withColumnRenamed("node", "hub").withColumnRenamed("other", "node").join(points, "node")
+    entry = F.arrays_zip("near", "new")
+    lists = graph.withColumns({
+        "fresh": F.slice(F.filter(entry, lambda e: e["new"]), 1, SAMPLE)["near"],
+        "known": F.slice(F.filter(entry, lambda e: ~e["new"]), 1, SAMPLE)["near"],
+    })
+    there = lists.select(F.col("node").alias("hub"), F.explode(F.concat(F.transform("fresh", lambda x: F.struct(x.alias("node"), F.lit(True).alias("fresh"))), F.transform("known", lambda x: F.struct(x.alias("node"), F.lit(False).alias("fresh"))))).alias("e")).select("hub", "e.*")
+    # reverse neighbours, at most SAMPLE of each kind; the limit is applied in every task before the shuffle
+    turn = F.row_number().over(Window.partitionBy("node", "fresh").orderBy(F.xxhash64("hub", F.lit(step)), "hub"))
+    back = there.withColumn("turn", turn).filter(F.col("turn") <= SAMPLE).select(F.col("node").alias("hub"), F.col("hub").alias("node"), "fresh")
+    around = there.unionByName(back).groupBy("hub").agg(F.collect_list(F.struct("node", "fresh")).alias("m")).filter(F.exists("m", lambda m: m["fresh"]))
+    around = around.select("hub", F.explode(F.concat("m", F.array(F.struct(F.col("hub").alias("node"), F.lit(False).alias("fresh"))))).alias("m")).select("hub", "m.*")
+    around = scratch.table(around, f"around-{step}")
+    last = F.when(F.size("near") >= KEEP, F.element_at("sim", -1)).otherwise(F.lit(float("-inf"))).cast("float")
+    met = keyed_join(around, graph.select("node", "point", last.alias("last")), "node")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        offers = _Offers()
         for batch in batches:
-            for nodes, vectors in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield _lists(_offer(np.array(nodes, np.int64), _matrix(vectors, width), DEGREE // 2))
-
-    offers = around.groupBy("hub").agg(F.collect_list("node").alias("nodes"), F.collect_list("point").alias("points")).select("nodes", "points").mapInArrow(meet, _LISTS)
-    return _merge(graph.unionByName(offers), KEEP)
-
-
-def _changed(graph: DataFrame, before: DataFrame) -> float:
-    """Share of the list entries that were not there before."""
-    both = graph.select("node", "near").join(before.select("node", F.col("near").alias("was")), "node")
-    sums = both.agg(F.sum(F.size(F.array_except("near", "was"))).alias("new"), F.sum(F.size("near")).alias("all")).first()
-    return (sums["new"] or 0) / max(1, sums["all"] or 0)
-
-
-def build_graph(vectors: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, near, sim: the neighbour lists of distinct vectors (columns node, vec).
-
-    Lists only get nearer, so the rounds end.
-    """
-    stats = vectors.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("width"), F.max(F.expr("aggregate(vec, 0D, (s, x) -> s + x * x)")).alias("most")).first()
-    n, width, most = stats["n"], stats["width"] or 0, stats["most"] or 1.0
+            flat = batch["g"].flatten()
+            nodes, fresh, last = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
+            points = coder.points(flat.field(2))
+            begins = np.cumsum([0, *batch["g"].value_lengths().to_pylist()]).tolist()
+            for i, j in zip(begins, begins[1:], strict=False):
+                # of one met twice the fresh entry counts
+                order = np.lexsort((~fresh[i:j], nodes[i:j])) + i
+                order = order[np.diff(nodes[order], prepend=nodes[order[0]] - 1) != 0]
+                a, b = order[fresh[order]], order[~fresh[order]]
+                both = np.concatenate([a, b])
+                sims = points[a] @ points[both].T
+                sims[np.arange(len(a)), np.arange(len(a))] = -np.inf
+                x, y = np.nonzero(sims > last[a][:, None])
+                yield from offers.add(nodes[a][x], nodes[both][y], sims[x, y])
+                sims = sims[:, len(a) :]
+                x, y = np.nonzero(sims > last[b][None, :])
+                yield from offers.add(nodes[b][y], nodes[a][x], sims[x, y])
+        yield from offers.flush()
+
+    offers = met.groupBy("hub").agg(F.collect_list(F.struct("node", "fresh", "point", "last")).alias("g")).select("g").mapInArrow(meet, _OFFERS)
+    aged = F.transform("near", lambda x, i: F.get("new", i) & ~F.array_contains("fresh", x))
+    old = lists.select("node", "point", "near", "sim", aged.alias("new"), F.transform("near", lambda _: F.lit(False)).alias("offer"))
+    return _merged(old.unionByName(_offered(offers)))
+
+
+def build_graph(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, Coder]:
+    """node, point, near, sim: the neighbour lists of distinct vectors (columns node, vec). Lists only get nearer, so the rounds end."""
+    coder = Coder(vectors)
 
     def point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                x = np.array(batch.column(1).to_pylist(), np.float64)
-                norm = np.sqrt((x * x).sum(1))
-                units, norms = (x / norm[:, None]).astype(np.float16), (norm / np.sqrt(most)).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.tobytes() + u.tobytes() for m, u in zip(norms, units, strict=True)], pa.binary())], names=["node", "point"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coder.code(coder.scaled(batch.column(1))), pa.binary())], names=["node", "point"])
 
     points = scratch.table(vectors.select("node", "vec").mapInArrow(point, "node long, point binary"), "points")
-    unit = vectors.select(F.expr("transform(vec, x -> x / sqrt(aggregate(vec, 0D, (s, y) -> s + y * y)))").alias("unit"))
-    means = unit.select(F.posexplode("unit").alias("at", "x")).groupBy("at").agg(F.avg("x").alias("x")).collect()
-    centre = np.array([m["x"] for m in sorted(means)], np.float32)
-    graph = scratch.table(_start(points, width, n, centre), "graph-0")
-    step, moving = 0, n > 2 * GROUP
-    while moving:
+    graph, step = scratch.table(_start(points, coder), "graph-0"), 0
+    while True:
         step += 1
-        before, graph = graph, scratch.table(_descend(graph, points, width), f"graph-{step}")
-        moving = _changed(graph, before) >= STILL
+        graph = scratch.table(_descend(graph, coder, scratch, step), f"graph-{step}")
         scratch.drop(f"graph-{step - 1}")
-    return graph
+        scratch.drop(f"around-{step}")
+        moved = graph.agg(F.sum("gained").alias("gained"), F.sum(F.size("near")).alias("all")).first()
+        if (moved["gained"] or 0) <= STILL * (moved["all"] or 0):
+            scratch.drop("points")
+            return graph.select("node", "point", "near", "sim"), coder
 
 
-def _dot(a: str, b: str):
-    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0D, (s, x) -> s + x)")
+def _turn(beam: np.ndarray, score: np.ndarray, done: np.ndarray, k: int) -> tuple:
+    """The BEAM nearest, with those to expand now marked as done."""
+    at = np.lexsort((beam, -score))[: max(BEAM, 3 * k)]
+    beam, score, done = beam[at], score[at], done[at].copy()
+    go = np.flatnonzero(~done[: max(k + 4, BEAM // 2)])[:EXPAND]
+    done[go] = True
+    return beam, score, done, beam[go]
 
 
-def search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, scratch: Scratch, k: int) -> DataFrame:
-    """query, node: nodes found near each query (columns query, node of start, vec)."""
-    q = queries.select("query", F.col("vec").alias("qvec"))
-    start = queries.select("query", "node").join(graph.select("node", "near"), "node", "left")
-    fresh = start.select("query", F.explode(F.concat(F.array("node"), F.coalesce("near", F.array().cast("array<long>")))).alias("node"))
+def _states(nodes: list, points: pa.Array, found: list[tuple]) -> pa.RecordBatch:
+    beams = [pa.array([f[i] for f in found], pa.list_(kind)) for i, kind in enumerate((pa.int64(), pa.float32(), pa.bool_(), pa.int64()))]
+    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), points, *beams], names=["node", "point", "beam", "score", "done", "go"])
+
+
+def search(queries: DataFrame, graph: DataFrame, coder: Coder, vectors: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """query, node: nodes found near each query node (column node of ``queries``, distinct)."""
     # lists of long vectors lead to those of large inner product; a constant number of them
-    longest = vectors.select("node", _dot("vec", "vec").alias("size")).orderBy(F.desc("size"), "node").limit(BEAM).select("node")
-    fresh = fresh.unionByName(queries.select("query").crossJoin(F.broadcast(longest)))
-    beam, hop = None, 0
-    while True:
-        fresh = scratch.table(fresh.distinct(), f"fresh-{hop}")
-        scored = keyed_join(fresh, vectors.select("node", "vec"), "node").join(q, "query").select("query", "node", _dot("qvec", "vec").alias("score"), F.lit(False).alias("done"))
-        every = scored if beam is None else beam.unionByName(scored)
-        best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-        every = every.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= BEAM)
-        # of the nearest k + 4, those not yet expanded, nearest first
-        open_ = Window.partitionBy("query").orderBy("done", "place")
-        every = every.withColumn("turn", F.row_number().over(open_)).withColumn("now", ~F.col("done") & (F.col("turn") <= EXPAND) & (F.col("place") <= k + 4))
-        every = scratch.table(every, f"beam-{hop}")
-        beam = every.select("query", "node", "score", (F.col("done") | F.col("now")).alias("done"))
-        go = every.filter("now")
-        if hop:
-            for old in ("fresh", "beam", "go"):
-                scratch.drop(f"{old}-{hop - 1}")
-        if not go.limit(1).count():
-            break
-        go = scratch.table(go.select("query", "node"), f"go-{hop}")
-        fresh = keyed_join(go, graph.select("node", "near"), "node").select("query", F.explode("near").alias("node")).distinct().join(beam.select("query", "node"), ["query", "node"], "left_anti")
+    size = F.aggregate(F.transform("vec", lambda x: (x.cast("double") / coder.largest) ** 2), F.lit(0.0), lambda s, x: s + x)
+    longest = vectors.orderBy(F.desc(size), "node").limit(LONGEST).select("node").join(graph.select("node", "point"), "node").toArrow()
+    hubs = longest["node"].to_numpy()
+    hub_points = coder.points(longest["point"].combine_chunks()) if len(hubs) else None
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                sims, found = coder.points(batch["point"]) @ hub_points.T, []
+                for node, near, sim, far in zip(batch["node"].to_pylist(), batch["near"].to_pylist(), batch["sim"].to_pylist(), sims, strict=True):
+                    beam = np.array([*near, *hubs], np.int64)
+                    _, first = np.unique(beam, return_index=True)
+                    first = first[beam[first] != node]
+                    score = np.concatenate([np.array(sim, np.float32), far]).astype(np.float32)
+                    found.append(_turn(beam[first], score[first], np.zeros(len(first), bool), k))
+                yield _states(batch["node"].to_pylist(), batch["point"], found)
+
+    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for i, point in enumerate(batch["point"]):
+                beam, score, done = (batch[c][i].values.to_numpy(zero_copy_only=False) for c in ("beam", "score", "done"))
+                met = batch["met"][i]
+                if met.is_valid and len(met.values):
+                    sims = coder.points(met.values.field(1)) @ coder.points(pa.array([point.as_py()]))[0]
+                    beam, score = np.concatenate([beam, met.values.field(0).to_numpy()]), np.concatenate([score, sims.astype(np.float32)])
+                    done = np.concatenate([done, np.zeros(len(sims), bool)])
+                found.append(_turn(beam, score, done, k))
+            yield _states(batch["node"].to_pylist(), batch["point"], found)
+
+    begun = graph.join(queries.select("node"), "node", "left_semi")
+    state, hop = scratch.table(begun.mapInArrow(begin, _STATE), "search-0"), 0
+    while state.filter("size(go) > 0").limit(1).count():
+        go = state.select(F.col("node").alias("query"), F.explode("go").alias("node"))
+        near = go.join(graph.select("node", "near"), "node").groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+        new = near.join(state.select(F.col("node").alias("query"), "beam"), "query").select("query", F.explode(F.array_except("near", F.concat("beam", F.array("query")))).alias("node"))
+        met = new.join(graph.select("node", "point"), "node").groupBy(F.col("query").alias("node")).agg(F.collect_list(F.struct("node", "point")).alias("met"))
         hop += 1
-    return beam.select("query", "node")
+        state = scratch.table(state.join(met, "node", "left").mapInArrow(go_on, _STATE), f"search-{hop}")
+        scratch.drop(f"search-{hop - 1}")
+    found = F.concat(F.slice("beam", 1, max(2 * k + 8, BEAM // 2)), F.array("node"))
+    return state.select(F.col("node").alias("query"), F.explode(found).alias("node"))
 
 
 def nearest(df: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found for each row whose id is divisible by ``every``."""
     scratch = Scratch(df.sparkSession, "ann")
-    rows = scratch.table(valid_vectors(df, vec_id, vector), "rows")
-    vectors = scratch.table(rows.groupBy("node").agg(F.first("vec").alias("vec")), "vectors")
-    graph = build_graph(vectors, scratch)
-    queries = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query"), "node", "vec")
-    found = scratch.table(search(queries, vectors, graph, scratch, k), "found")
+    ids, vectors = distinct_vectors(df, vec_id, vector, scratch)
+    asked = scratch.table(ids.filter(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("node").alias("node")), "asked")
+    graph, coder = build_graph(vectors, scratch)
+    found = scratch.table(search(asked.select("node").distinct(), graph, coder, vectors, scratch, k), "found")
+    dot = F.aggregate(F.zip_with("query_vec", "vec", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    scored = found.join(vectors, "node").join(vectors.select(F.col("node").alias("query"), F.col("vec").alias("query_vec")), "query").select("query", "node", dot.alias("score"))
     # of each node only the k + 1 smallest ids can be among a query's k nearest; salted, then merged
-    part = rows.groupBy("node", F.expr("pmod(xxhash64(vec_id), 64)").alias("salt")).agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
-    ids = part.groupBy("node").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
-    wide = keyed_join(found, vectors.join(ids, "node"), "node").join(queries.select("query", F.col("vec").alias("qvec")), "query")
-    wide = wide.select("query", _dot("qvec", "vec").alias("score"), F.explode("ids").alias("vec_id")).filter("query <> vec_id")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
-    return wide.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    part = ids.groupBy("node", F.expr("pmod(xxhash64(vec_id), 64)").alias("salt")).agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
+    some = part.groupBy("node").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
+    wide = scored.join(some, "node").select("query", F.explode("ids").alias("vec_id"), "score").groupBy("query", "vec_id").agg(F.max("score").alias("score"))
+    row = F.struct((-F.col("score")).alias("far"), "vec_id", "score")
+    best = wide.groupBy(F.col("query").alias("node")).agg(F.slice(F.array_sort(F.collect_list(row)), 1, k + 1).alias("best"))
+    lists = keyed_join(asked, best, "node").select("query_id", F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k).alias("best"))
+    return lists.select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "b.vec_id", "b.score")

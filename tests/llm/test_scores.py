@@ -1,34 +1,14 @@
-"""Neighbours, toxicity, URL verdicts and the pipeline."""
+"""Toxicity and URL verdicts."""
 
 import re
 
 import numpy as np
 
-from tessera.llm import ann, queries, toxicity, url_filter
-from tessera.llm.common import Scratch
+from tessera.llm import queries, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_neighbours_equal_brute_force_on_a_small_table(spark, tmp_path):
-    got = queries.queries()["op4_neighbours"](spark, SF).collect()
-    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
-    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
-    for q in [i for i in ids if i % 20 == 0]:
-        s = x @ x[ids == q][0]
-        s[ids == q] = -np.inf
-        want = ids[np.lexsort((ids, -s))[:20]].tolist()
-        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
-
-
-def test_neighbours_leave_out_bad_vectors_and_keep_ties(spark, awkward_df):
-    nan = float("nan")
-    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [None, 1.0]), (7, [1.0]), (8, [-1.0, 0.0]), (None, [1.0, 1.0])]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, node string")
-    assert [(r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(df).orderBy("rank").collect()] == [(1, 1, 2.0), (2, 2, 2.0), (3, 8, -1.0)]
-    assert ann.nearest(df.limit(0)).count() == 0
-
-
 def test_decoder_restores_disguises():
     counts = toxicity.count_trigrams(["the idiot and the clown said stupid things to some idiot"] * 50)
     model = toxicity.CharModel(counts)
@@ -94,30 +74,6 @@ def test_odd_pieces_match_their_definition_and_take_linear_time():
     assert time.perf_counter() - began < 5
 
 
-def test_descent_goes_on_until_lists_stand_still(spark, monkeypatch):
-    """From a start in which a vector meets few others; one more round then changes next to nothing."""
-    monkeypatch.setattr(ann, "GROUP", 10)
-    monkeypatch.setattr(ann, "TREES", 1)
-    x = np.random.default_rng(0).standard_normal((1200, 24))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    made, descend = [], ann._descend
-    monkeypatch.setattr(ann, "_descend", lambda *a: made.append(a) or descend(*a))
-    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "node long, vec array<double>")
-    graph = {r["node"]: set(r["near"]) for r in ann.build_graph(vectors, Scratch(spark, "test")).collect()}
-    scratch = Scratch(spark, "test")
-    last = scratch.table(spark.createDataFrame([(n, sorted(v, key=lambda j: -(x[n] @ x[j])), sorted((float(x[n] @ x[j]) for j in v), reverse=True)) for n, v in graph.items()], ann._LISTS), "last")
-    after = {r["node"]: set(r["near"]) for r in descend(last, *made[-1][1:]).collect()}
-    assert sum(len(after[n] - graph[n]) for n in graph) < 0.01 * sum(map(len, graph.values()))
-
-
-def test_search_goes_on_while_a_node_is_open(spark):
-    n = 9
-    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(n)], "node long, vec array<double>")
-    graph = spark.createDataFrame([(i, [min(n - 1, i + 1)]) for i in range(n)], "node long, near array<long>")
-    queries = spark.createDataFrame([(0, 0, [0.0, 1.0])], "query long, node long, vec array<double>")
-    assert {r["node"] for r in ann.search(queries, vectors, graph, Scratch(spark, "test"), 3).collect()} == set(range(n))
-
-
 def test_shares_of_evidence_do_not_depend_on_the_sample(spark, monkeypatch):
     """A word in all toxic and 1 of 100 clean documents, one of which is sampled: a third of its documents are clean."""
     dice = np.random.default_rng(4)
@@ -139,20 +95,3 @@ def test_doubled_letters_and_words_of_one_letter_and_signs_are_decoded():
     model = toxicity.CharModel(counts)
     for text, word in (("so stuupid", "stupid"), ("a mooron here", "moron"), ("that 5h1+ again", "shit"), ("1d1o+", "idiot"), ("an a$$", "ass"), ("an ass", "ass")):
         assert word in toxicity.restored_words(text, model), text
-
-
-def test_neighbours_of_unequal_norms_and_an_outlier(spark, monkeypatch):
-    monkeypatch.setattr(ann, "GROUP", 100)
-    dice = np.random.default_rng(5)
-    x = dice.standard_normal((1500, 16)) * np.exp(dice.standard_normal((1500, 1)))
-    x[7] *= 100 * np.linalg.norm(x, axis=1).mean() / np.linalg.norm(x[7])
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
-    got = {}
-    for r in ann.nearest(df).collect():
-        got.setdefault(r["query_id"], set()).add(r["vec_id"])
-    shares = []
-    for q in range(0, len(x), 20):
-        s = x @ x[q]
-        s[q] = -np.inf
-        shares.append(len(got[q] & set(np.argpartition(-s, 20)[:20].tolist())) / 20)
-    assert np.mean(shares) >= 0.95, np.mean(shares)
