@@ -143,29 +143,76 @@ class _Offers:
             yield pa.RecordBatch.from_arrays([pa.array(nodes), _lists(near[order], sizes), _lists(sim[order], sizes)], names=["node", "near", "sim"])
 
 
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of rows sorted by their first column, cut so that the rows of a key are in one of them."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if cut or (rest and rest[-1].column(0)[-1].as_py() != keys[-1]):
+            yield pa.concat_batches([*rest, batch.slice(0, cut)])
+            rest = []
+        rest.append(batch.slice(cut))
+    if rest:
+        yield pa.concat_batches(rest)
+
+
+def _together(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a key side by side in one task, for ``_whole_keys``."""
+    return rows.repartition(key).sortWithinPartitions(key)
+
+
 def _merged(rows: DataFrame) -> DataFrame:
-    """One list per node from its old one (with its point) and all offers; ``gained``: entries that it did not have."""
+    """One list per node from its old one (the row with its point) and all offers; ``gained``: entries that it did not have.
+
+    Entries of the old list that the round has sampled as new count as known from now on.
+    """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            near = batch["near"].flatten().to_numpy()
-            sim, new, offer = (batch[c].flatten().to_numpy(zero_copy_only=False) for c in ("sim", "new", "offer"))
-            row = np.repeat(np.arange(len(batch)), np.diff(batch["near"].offsets.to_numpy()))
-            order, at = _nearest_of_each(row, near, sim, ~offer)
-            sizes = np.bincount(at, minlength=len(batch))
-            gained = np.bincount(at, offer[order], minlength=len(batch)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch["node"], batch["point"], _lists(near[order], sizes), _lists(sim[order], sizes), _lists((new | offer)[order], sizes), pa.array(gained)], names=["node", "point", "near", "sim", "new", "gained"])
+        for batch in _whole_keys(batches):
+            nodes, row = np.unique(batch["node"].to_numpy(), return_inverse=True)
+            point = batch["point"].filter(batch["point"].is_valid())  # one for each node, in order
+            sizes = batch["near"].value_lengths().to_numpy()
+            near, sim = batch["near"].flatten().to_numpy(), batch["sim"].flatten().to_numpy()
+            offer = np.repeat(batch["new"].is_null().to_numpy(zero_copy_only=False), sizes)
+            new = offer.copy()
+            new[~offer] = _aged(batch["new"].drop_null())
+            order, at = _nearest_of_each(np.repeat(row, sizes), near, sim, ~offer)
+            sizes = np.bincount(at, minlength=len(nodes))
+            gained = np.bincount(at, offer[order], minlength=len(nodes)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), point, _lists(near[order], sizes), _lists(sim[order], sizes), _lists(new[order], sizes), pa.array(gained)], names=["node", "point", "near", "sim", "new", "gained"])
+
+    return _together(rows, "node").mapInArrow(merge, _GRAPH)
+
+
+def _flags(new: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of each entry, whether it is new, its place among those of its kind in its row)."""
+    sizes = new.value_lengths().to_numpy()
+    row, flag = np.repeat(np.arange(len(sizes)), sizes), new.flatten().to_numpy(zero_copy_only=False)
+    upto, begin = np.cumsum(flag) - flag, np.repeat(np.cumsum(sizes) - sizes, sizes)
+    news = upto - (upto[begin] if len(upto) else 0)
+    return row, flag, np.where(flag, news, np.arange(len(row)) - begin - news)
+
 
-    one = rows.groupBy("node").agg(F.first("point", ignorenulls=True).alias("point"), F.collect_list(F.struct("near", "sim", "new", "offer")).alias("g"))
-    flat = [F.flatten(f"g.{c}").alias(c) for c in ("near", "sim", "new", "offer")]
-    return one.select("node", "point", *flat).mapInArrow(merge, _GRAPH)
+def _aged(new: pa.ListArray) -> np.ndarray:
+    _, flag, place = _flags(new)
+    return flag & (place >= SAMPLE)
 
 
 def _offered(offers: DataFrame) -> DataFrame:
-    flags = [F.transform("near", lambda _: F.lit(True)).alias(c) for c in ("new", "offer")]
-    return offers.select("node", F.lit(None).cast("binary").alias("point"), "near", "sim", *flags)
+    return offers.select("node", F.lit(None).cast("binary").alias("point"), "near", "sim", F.lit(None).cast("array<boolean>").alias("new"))
+
+
+def _sampled(hub: np.ndarray, node: np.ndarray, fresh: np.ndarray, most: int, step: int) -> np.ndarray:
+    """Indices of at most ``most`` entries per hub and kind, by a hash of the round; sorted by hub."""
+    with np.errstate(over="ignore"):
+        dice = (node.view(np.uint64) ^ np.uint64(step * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xD1342543DE82EF95)
+    order = np.lexsort((dice, fresh, hub))
+    first = np.concatenate([[True], (np.diff(hub[order]) != 0) | (np.diff(fresh[order].view(np.int8)) != 0)]) if len(order) else np.zeros(0, bool)
+    begins = np.flatnonzero(first)
+    return order[np.arange(len(order)) - np.repeat(begins, np.diff(begins, append=len(order))) < most]
 
 
 def _start(points: DataFrame, coder: Coder) -> DataFrame:
@@ -201,53 +248,82 @@ def _start(points: DataFrame, coder: Coder) -> DataFrame:
     sizes = rows.groupBy("grp").agg(F.ceil(F.count("*") / (4 * LEAF)).cast("int").alias("parts"))
     rows = keyed_join(rows, sizes, "grp", rows=n * (TREES + 1)).withColumn("part", F.expr("pmod(xxhash64(node, grp), parts)"))
     groups = rows.groupBy("grp", "part").agg(F.collect_list(F.struct("node", "point")).alias("g")).select(F.col("g.node").alias("nodes"), F.col("g.point").alias("points"))
-    none = [F.array().cast(f"array<{c}>").alias(a) for a, c in (("near", "bigint"), ("sim", "float"), ("new", "boolean"), ("offer", "boolean"))]
+    none = [F.array().cast(f"array<{c}>").alias(a) for a, c in (("near", "bigint"), ("sim", "float"), ("new", "boolean"))]
     return _merged(points.select("node", "point", *none).unionByName(_offered(groups.mapInArrow(meet, _OFFERS))))
 
 
 def _descend(graph: DataFrame, coder: Coder, scratch: Scratch, step: int) -> DataFrame:
     """One round of NN-descent: lists merged with offers from neighbours of neighbours."""
-    entry = F.arrays_zip("near", "new")
-    lists = graph.withColumns({
-        "fresh": F.slice(F.filter(entry, lambda e: e["new"]), 1, SAMPLE)["near"],
-        "known": F.slice(F.filter(entry, lambda e: ~e["new"]), 1, SAMPLE)["near"],
-    })
-    there = lists.select(F.col("node").alias("hub"), F.explode(F.concat(F.transform("fresh", lambda x: F.struct(x.alias("node"), F.lit(True).alias("fresh"))), F.transform("known", lambda x: F.struct(x.alias("node"), F.lit(False).alias("fresh"))))).alias("e")).select("hub", "e.*")
-    # reverse neighbours, at most SAMPLE of each kind; the limit is applied in every task before the shuffle
-    turn = F.row_number().over(Window.partitionBy("node", "fresh").orderBy(F.xxhash64("hub", F.lit(step)), "hub"))
-    back = there.withColumn("turn", turn).filter(F.col("turn") <= SAMPLE).select(F.col("node").alias("hub"), F.col("hub").alias("node"), "fresh")
-    around = there.unionByName(back).groupBy("hub").agg(F.collect_list(F.struct("node", "fresh")).alias("m")).filter(F.exists("m", lambda m: m["fresh"]))
-    around = around.select("hub", F.explode(F.concat("m", F.array(F.struct(F.col("hub").alias("node"), F.lit(False).alias("fresh"))))).alias("m")).select("hub", "m.*")
-    around = scratch.table(around, f"around-{step}")
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a node's own neighbours as they are; reverse neighbours limited in every task before they shuffle
+        parts, size = [], 0
+
+        def rows(own: bool, hub: np.ndarray, node: np.ndarray, fresh: np.ndarray) -> pa.RecordBatch:
+            hubs, sizes = np.unique(hub, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(hubs), pa.array(np.full(len(hubs), own)), _lists(node, sizes), _lists(fresh, sizes)], names=["hub", "own", "nodes", "fresh"])
+
+        def back() -> pa.RecordBatch:
+            hub, node, fresh = (np.concatenate(p) for p in zip(*parts, strict=True))
+            at = _sampled(hub, node, fresh, SAMPLE, step)
+            return rows(False, hub[at], node[at], fresh[at])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            row, flag, place = _flags(batch["new"])
+            at = np.flatnonzero(place < SAMPLE)
+            hub, node, fresh = batch["node"].to_numpy()[row[at]], batch["near"].flatten().to_numpy()[at], flag[at]
+            order = np.argsort(hub, kind="stable")
+            yield rows(True, hub[order], node[order], fresh[order])
+            parts.append((node, hub, fresh))
+            size += len(hub)
+            if size > BUFFER:
+                yield back()
+                parts, size = [], 0
+        if parts:
+            yield back()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_keys(batches):
+            sizes = batch["nodes"].value_lengths().to_numpy()
+            hub, own = np.repeat(batch["hub"].to_numpy(), sizes), np.repeat(batch["own"].to_numpy(zero_copy_only=False), sizes)
+            node, fresh = batch["nodes"].flatten().to_numpy(), batch["fresh"].flatten().to_numpy(zero_copy_only=False)
+            mine, back = np.flatnonzero(own), np.flatnonzero(~own)
+            back = back[_sampled(hub[back], node[back], fresh[back], SAMPLE, step)]
+            hubs = np.unique(hub)
+            hub, node, fresh = (np.concatenate(x) for x in ((hub[mine], hub[back], hubs), (node[mine], node[back], hubs), (fresh[mine], fresh[back], np.zeros(len(hubs), bool))))
+            # of one met twice the fresh entry counts; a hub without fresh ones has nothing to offer
+            order = np.lexsort((~fresh, node, hub))
+            order = order[np.concatenate([[True], (np.diff(hub[order]) != 0) | (np.diff(node[order]) != 0)])]
+            order = order[np.isin(hub[order], hub[fresh])]
+            yield pa.RecordBatch.from_arrays([pa.array(hub[order]), pa.array(node[order]), pa.array(fresh[order])], names=["hub", "node", "fresh"])
+
+    around = graph.select("node", "near", "new").mapInArrow(sample, "hub long, own boolean, nodes array<long>, fresh array<boolean>")
+    around = scratch.table(_together(around, "hub").mapInArrow(gather, "hub long, node long, fresh boolean"), f"around-{step}")
     last = F.when(F.size("near") >= KEEP, F.element_at("sim", -1)).otherwise(F.lit(float("-inf"))).cast("float")
-    met = keyed_join(around, graph.select("node", "point", last.alias("last")), "node")
+    met = keyed_join(around, graph.select("node", "point", last.alias("last")), "node").select("hub", "node", "fresh", "point", "last")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offers = _Offers()
-        for batch in batches:
-            flat = batch["g"].flatten()
-            nodes, fresh, last = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
-            points = coder.points(flat.field(2))
-            begins = np.cumsum([0, *batch["g"].value_lengths().to_pylist()]).tolist()
-            for i, j in zip(begins, begins[1:], strict=False):
-                # of one met twice the fresh entry counts
-                order = np.lexsort((~fresh[i:j], nodes[i:j])) + i
-                order = order[np.diff(nodes[order], prepend=nodes[order[0]] - 1) != 0]
-                a, b = order[fresh[order]], order[~fresh[order]]
-                both = np.concatenate([a, b])
-                sims = points[a] @ points[both].T
+        for batch in _whole_keys(batches):
+            hubs, nodes, fresh, last = (batch[c].to_numpy(zero_copy_only=False) for c in ("hub", "node", "fresh", "last"))
+            points = coder.points(batch["point"])
+            begins = np.flatnonzero(np.diff(hubs, prepend=hubs[0] - 1)).tolist()
+            for i, j in zip(begins, [*begins[1:], len(hubs)], strict=True):
+                order = np.argsort(~fresh[i:j], kind="stable") + i
+                a, b = (k := order[: int(fresh[i:j].sum())]), order[len(k) :]
+                sims = points[a] @ points[order].T
                 sims[np.arange(len(a)), np.arange(len(a))] = -np.inf
                 x, y = np.nonzero(sims > last[a][:, None])
-                yield from offers.add(nodes[a][x], nodes[both][y], sims[x, y])
+                yield from offers.add(nodes[a][x], nodes[order][y], sims[x, y])
                 sims = sims[:, len(a) :]
                 x, y = np.nonzero(sims > last[b][None, :])
                 yield from offers.add(nodes[b][y], nodes[a][x], sims[x, y])
         yield from offers.flush()
 
-    offers = met.groupBy("hub").agg(F.collect_list(F.struct("node", "fresh", "point", "last")).alias("g")).select("g").mapInArrow(meet, _OFFERS)
-    aged = F.transform("near", lambda x, i: F.get("new", i) & ~F.array_contains("fresh", x))
-    old = lists.select("node", "point", "near", "sim", aged.alias("new"), F.transform("near", lambda _: F.lit(False)).alias("offer"))
-    return _merged(old.unionByName(_offered(offers)))
+    offers = _together(met, "hub").mapInArrow(meet, _OFFERS)
+    return _merged(graph.select("node", "point", "near", "sim", "new").unionByName(_offered(offers)))
 
 
 def build_graph(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, Coder]:
