@@ -4,17 +4,25 @@ The symbols of many words lie in one flat array. In each round the adjacent pair
 words are looked up by binary search over sorted pair keys, every word takes its pair of lowest rank,
 all occurrences of that pair in the word merge at once (left to right where they overlap), and words
 without a known pair leave the array.
+
+Nulls, empty and long texts: a null or empty text has no ids and decodes to the empty text; a text of any length is encoded
+whole, in a run by itself. Each row is encoded by itself, so repeated rows and ids, null ids among them, come back as
+they are. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
+from tessera.llm.common import text_of
 from tessera.llm.encode import Store, chunks, vocabulary_path
 from tessera.llm.flat import BREAK, SPACE, Flat, gather
 
@@ -144,8 +152,7 @@ class WordEncoder:
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         names = {i: s for s, i in self.table.vocabulary.items()} | {i: s for s, i in self.special.items()}
         self.names = [names.get(i, "").encode() for i in range(max(names) + 1)]
-        self.store = Store(self.table.encode)
-        self.decoded: list[bytes] = []
+        self.store = Store(self.table.encode, self._decoded)
 
     @staticmethod
     def normalise(text: str) -> str:
@@ -175,12 +182,7 @@ class WordEncoder:
         lengths, hashes = flat.hashes(starts)
         kind = flat.kind[starts]
         word = np.flatnonzero((kind != SPACE) & (kind != BREAK))
-        if len(self.store.keys) > 0 and len(self.decoded) > len(self.store.offsets):
-            self.decoded = []
         slots = self.store.slots(flat.text, starts[word], lengths[word], hashes[word])
-        if len(self.decoded) > len(self.store.offsets):
-            self.decoded = []
-        self._decode_new()
         # one entry per word, special token or end of text, in order
         close = np.array(closing, np.int64)
         at_break = np.flatnonzero(kind == BREAK)
@@ -196,23 +198,38 @@ class WordEncoder:
         # decoded: slot of each entry; specials count down from -2, ends of texts are -1
         entry = np.concatenate([slots, np.where(close >= 0, -2 - close, -1)])[order].tolist()
         decoded, begin = [], 0
-        store, names = self.decoded, self.names
+        store, names = self.store.described, self.names
         for e in ends.tolist():
             decoded.append(b" ".join([store[s] if s >= 0 else names[-2 - s] for s in entry[begin:e]]))
             begin = e + 1
         return ids, counts, decoded
 
-    def _decode_new(self) -> None:
-        """Decoded bytes of the words that the store has gained."""
-        names, known = self.names, len(self.decoded)
-        offsets, sizes = self.store.offsets[known:].tolist(), self.store.lengths[known:].tolist()
-        if offsets:
-            base = offsets[0]
-            ids = self.store.ids[base:].tolist()
-            self.decoded += [b" ".join([names[i] for i in ids[o - base : o - base + n]]) for o, n in zip(offsets, sizes, strict=True)]
+    def _decoded(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """Decoded bytes of each of the words whose ids these are."""
+        names, ids, ends = self.names, ids.tolist(), np.cumsum(sizes).tolist()
+        return [b" ".join([names[i] for i in ids[a:b]]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
 @cache
 def word_encoder(vocabulary: str) -> WordEncoder:
     """One encoder, with its store, per worker process."""
     return WordEncoder(vocabulary)
+
+
+def word_bpe(df: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = word_encoder(vocabulary)
+        for batch in batches:
+            begin = 0
+            for ids, counts, decoded in encoder.encode(batch.column(1).to_pylist()):
+                data = memoryview(ids.astype("<u4").tobytes())
+                ends = (counts.cumsum() * 4).tolist()
+                hashes = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip([0, *ends], ends, strict=False)]
+                texts = [hashlib.sha256(d).hexdigest() for d in decoded]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(counts)), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                begin += len(counts)
+
+    rows = df.select(df[doc_id].cast("long").alias("doc_id"), text_of(df, text).alias("text"))
+    return rows.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

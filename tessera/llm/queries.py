@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import ensure_importable, read, text_of
+from tessera.llm.common import ensure_importable, read
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -61,28 +60,9 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import pyarrow as pa
+    from tessera.llm.bpe import word_bpe
 
-    docs = read(spark, sf_dir, "documents")
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
-        from tessera.llm.bpe import word_encoder
-
-        encoder = word_encoder(WORD_BPE)
-        for batch in batches:
-            begin = 0
-            for ids, counts, decoded in encoder.encode(batch.column(1).to_pylist()):
-                data = memoryview(ids.astype("<u4").tobytes())
-                ends = (counts.cumsum() * 4).tolist()
-                hashes = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip([0, *ends], ends, strict=False)]
-                texts = [hashlib.sha256(d).hexdigest() for d in decoded]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(counts)), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                begin += len(counts)
-
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs, "text").alias("text"))
-    return rows.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return word_bpe(read(spark, sf_dir, "documents"), WORD_BPE)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
