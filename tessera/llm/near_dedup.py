@@ -9,14 +9,17 @@
    threshold; below ``PRUNE_MISS`` the pair is dropped. Survivors are verified on their full sets.
 4. A band's bucket of any size is handled without all its pairs. In a star round its members are compared
    to one leader, which links most of a large group; buckets whose members all belong to one
-   component are done, as no link inside can change a component. What still spans several components is
-   compared exactly, block by block.
+   component are done, as no link inside can change a component. Star rounds with new leaders go on (at most
+   ``STAR_ROUNDS``) while what spans several components holds more than ``PAIRS`` pairs a member; the rest is compared exactly,
+   block by block. Blocks and Arrow batches are bounded by bytes, so long texts make more blocks, not larger ones.
 5. Links are joined to components in Spark.
 
 Nulls, ties and repeated rows: a null or blank text has an empty set and is linked with nothing.
 Documents with equal sets are linked. Rows that repeat a doc_id are each classified by their own text; a null
-doc_id is only a component's name if no other is there. An empty table gives no rows. Other columns
-are ignored by ``near_classes`` and kept by ``near_dedup``.
+doc_id is only a component's name if no other is there. A text of any length has its whole set. An empty table gives no
+rows. Other columns are ignored by ``near_classes`` and kept by ``near_dedup``, which drops rows by doc_id and text together: of rows that
+repeat a doc_id only those whose own text is a copy go. Rows equal in both stay together, as do copies none of which has a doc_id.
+Shingles and sets are compared by 64-bit hashes: two different sets of a billion share a fingerprint with a chance of about 3 %.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, fresh, text_of
@@ -34,8 +37,9 @@ from tessera.llm.skew import Members, components, keyed_join
 
 SIGNATURE, BATCH = 100, 20
 BAND_MISS, PRUNE_MISS = 1e-5, 1e-6
-STAR_ROUNDS = 1
-BLOCK = 256
+STAR_ROUNDS, PAIRS = 3, 1000
+#: Bytes of sets and signatures in one block of the exact comparison; a larger set is a block by itself.
+BLOCK_BYTES = 300_000
 
 
 def band_rows(percent: int) -> int:
@@ -83,6 +87,11 @@ def _fingerprint(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).astype(np.int64))
 
 
+def _mark(doc_id: Column, text: Column) -> Column:
+    """Names a row by its id and text."""
+    return F.xxhash64(doc_id, text)
+
+
 def _signed(docs: DataFrame, width: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessera.llm.shingles import shingle_sets, signatures
@@ -107,9 +116,9 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
                     flush()
                     pending = 0
             flush()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out["n"], pa.int64()), pa.array(out["node"], pa.int64()), pa.array(out["sig"], pa.binary())], names=["doc_id", "n", "node", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out["n"], pa.int64()), pa.array(out["node"], pa.int64()), pa.array(out["sig"], pa.binary())], names=["doc_id", "mark", "n", "node", "sig"])
 
-    return docs.mapInArrow(scan, "doc_id long, n long, node long, sig binary")
+    return docs.withColumn("mark", _mark(F.col("doc_id"), F.col("text"))).mapInArrow(scan, "doc_id long, mark long, n long, node long, sig binary")
 
 
 def _banded(nodes: DataFrame, percent: int) -> DataFrame:
@@ -130,9 +139,9 @@ def _banded(nodes: DataFrame, percent: int) -> DataFrame:
                     for k in range(rows):
                         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, b * rows + k])
                     keys[:, b] = h
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), count))], names=["bucket", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), *(pa.array(np.repeat(batch.column(i).to_numpy(), count)) for i in (0, 2))], names=["bucket", "node", "n"])
 
-    return nodes.select("node", "sig").mapInArrow(bands, "bucket long, node long")
+    return nodes.select("node", "sig", "n").mapInArrow(bands, "bucket long, node long, n long")
 
 
 def _pruned(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -179,12 +188,13 @@ def _candidate_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
         from tessera.llm.shingles import shingle_sets
 
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts = batch.column(0).filter(wanted.test(*batch.columns[1:])).to_pylist()
             for i in range(0, len(texts), 200):
                 sets = [s for s in shingle_sets(texts[i : i + 200], width) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 
-    some = docs.filter(wanted.may_hold(F.col("doc_id"))).select("text").mapInArrow(scan, "node long, shingles binary")
+    # the filter is asked inside the scan, so a task has one Python worker
+    some = docs.select("text", *wanted.place(F.col("doc_id"))).mapInArrow(scan, "node long, shingles binary")
     return some.join(reps.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -226,8 +236,8 @@ def _leftover(spread: DataFrame, leaders: DataFrame, own: DataFrame, sets: DataF
                                 found.append((a["node"][i], b["node"][j]))
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
-    sizes = spread.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = keyed_join(spread, leaders.join(sizes, "bucket").select("bucket", F.col("leader.root").alias("main"), "blocks"), "bucket")
+    blocks_of = F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("blocks")
+    rows = keyed_join(spread.select("bucket", "node", "root"), leaders.select("bucket", F.col("leader.root").alias("main"), blocks_of), "bucket")
     rows = rows.join(own, "node").join(sets, "node")
     rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(node, 7), blocks) as int)"))
     member = F.struct("node", "root", "n", "sig", "shingles")
@@ -239,6 +249,11 @@ def _leftover(spread: DataFrame, leaders: DataFrame, own: DataFrame, sets: DataF
 
 def near_classes(df: DataFrame, width: int = 3, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``df``: doc_id, n_shingles, component_id, kept."""
+    return _classes(df, width, percent, doc_id, text).drop("mark")
+
+
+def _classes(df: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """Rows of ``near_classes`` with their mark."""
     spark = df.sparkSession
     scratch = Scratch(spark, "near-dedup")
     docs = df.select(df[doc_id].cast("long").alias("doc_id"), text_of(df, text).alias("text"))
@@ -265,28 +280,31 @@ def near_classes(df: DataFrame, width: int = 3, percent: int = 85, doc_id: str =
     roots = scratch.table(roots, "roots")
     firsts = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
     names = scratch.table(keyed_join(roots, firsts, "root").select("node", "component_id"), "names")
-    real = keyed_join(signed.filter("n > 0").select("doc_id", "n", "node"), names, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    blank = signed.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    real = keyed_join(signed.filter("n > 0").select("doc_id", "mark", "n", "node"), names, "node").select("doc_id", "mark", F.col("n").alias("n_shingles"), "component_id")
+    blank = signed.filter("n = 0").select("doc_id", "mark", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return real.unionByName(blank).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _link(scratch: Scratch, members: DataFrame, own: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, root) of all linked candidate classes."""
-    links, labels = None, None
-    for step in range(STAR_ROUNDS + 1):
+    links, labels, step, last = None, None, 0, STAR_ROUNDS == 0
+    while True:
         if labels is None:
             spread = members.withColumn("root", F.col("node"))
         else:
             spread = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        spread = scratch.table(spread.select("bucket", "node", "root"), f"spread-{step}")
+        spread = scratch.table(spread.select("bucket", "node", "n", "root"), f"spread-{step}")
         # the leader's root travels with it, so members of its component are left out
-        leaders = spread.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(step))).alias("leader"), F.count("*").alias("size"))
+        leaders = spread.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(step))).alias("leader"), F.count("*").alias("size"), F.sum(F.col("n") * 8 + 4 * SIGNATURE).alias("bytes"))
         # the only pair of a bucket of two was compared in the first round
-        leaders = leaders.filter("low <> high" if step == 0 else "low <> high and size > 2").select("bucket", "leader")
+        leaders = leaders.filter("low <> high" if step == 0 else "low <> high and size > 2").select("bucket", "leader", "bytes")
         leaders = scratch.table(leaders, f"leaders-{step}")
         if not leaders.limit(1).count():
             break
-        if step < STAR_ROUNDS:
+        if step:
+            scratch.drop(f"spread-{step - 1}")
+            last = step >= STAR_ROUNDS or _pairs_a_member(spread) <= PAIRS
+        if not last:
             pairs = keyed_join(spread, leaders, "bucket").filter("root <> leader.root")
             pairs = scratch.table(pairs.select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct(), f"pairs-{step}")
             pairs = scratch.table(_pruned(pairs, own, percent), f"pruned-{step}")
@@ -296,18 +314,32 @@ def _link(scratch: Scratch, members: DataFrame, own: DataFrame, sets: DataFrame,
         links = found if links is None else links.unionByName(found)
         if found.limit(1).count():
             labels = components(links, scratch, f"components-{step}")
+        step += 1
+        if last:
+            break
+    for name in ("sets", "own", "members", "reps"):
+        scratch.drop(name)
     return labels
 
 
+def _pairs_a_member(spread: DataFrame) -> float:
+    """Pairs that the exact comparison would look at, over the members of all buckets."""
+    roots = spread.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    buckets = roots.groupBy("bucket").agg(F.sum("n").alias("size"), F.max("n").alias("top"))
+    total = buckets.agg(F.sum((F.col("size") - F.col("top")) * F.col("size")).alias("pairs"), F.sum("size").alias("size")).first()
+    return (total["pairs"] or 0) / max(1, total["size"] or 0)
+
+
 def near_dedup(df: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with their columns: of each component the document of smallest id.
 
-    Rows whose id cannot be among the dropped ones (a Bloom filter tells) don't shuffle.
+    Rows that cannot be among the dropped ones (a Bloom filter tells) don't shuffle.
     """
-    dropped = near_classes(df, width, percent, doc_id, text).filter("not kept and doc_id is not null").select("doc_id")
-    dropped = Scratch(df.sparkSession, "near-dropped").table(dropped.distinct(), "ids")
-    flag, key = fresh(df, "may_drop", "drop_id")
-    rows = df.withColumn(flag, Members(dropped, "doc_id").may_hold(df[doc_id].cast("long")))
-    gone = dropped.select(F.col("doc_id").alias(key))
-    stay = rows.filter(F.col(flag)).join(gone, F.col(doc_id) == F.col(key), "left_anti")
+    scratch = Scratch(df.sparkSession, "near-dropped")
+    dropped = scratch.table(_classes(df, width, percent, doc_id, text).filter("not kept").select("mark").distinct(), "marks")
+    flag, mark, key = fresh(df, "may_drop", "mark", "drop_mark")
+    rows = df.withColumn(mark, _mark(df[doc_id].cast("long"), text_of(df, text)))
+    rows = rows.withColumn(flag, Members(dropped, "mark").may_hold(F.col(mark)))
+    gone = dropped.select(F.col("mark").alias(key))
+    stay = rows.filter(F.col(flag)).join(gone, F.col(mark) == F.col(key), "left_anti")
     return rows.filter(~F.col(flag)).unionByName(stay).select(*df.columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,54 +15,67 @@ HEAVY = 1e-3
 FEW = 10_000
 
 
-def keyed_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int | None = None) -> DataFrame:
+def heavy_keys(left: DataFrame, key: str, rows: int | None = None) -> list:
+    """Keys with a share of HEAVY of the rows or more; none where a plain join is even enough."""
+    rows = left.count() if rows is None else rows
+    if rows < FEW:
+        return []
+    found = left.groupBy(key).count().filter(F.col("count") >= HEAVY * rows).select(key).collect()
+    return [r[0] for r in found if r[0] is not None]
+
+
+def keyed_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int | None = None, heavy: list | None = None) -> DataFrame:
     """``left`` joined to ``right`` on ``key``, which is unique in ``right``. ``left`` is read more than once.
 
     Rows of heavy keys meet a broadcast of those few right rows, all others are joined by shuffle.
     """
-    rows = left.count() if rows is None else rows
-    if rows >= FEW:
-        heavy = [r[0] for r in left.groupBy(key).count().filter(F.col("count") >= HEAVY * rows).select(key).collect()]
-        heavy = [k for k in heavy if k is not None]
-        if heavy:
-            among = F.coalesce(F.col(key).isin(heavy), F.lit(False))
-            few = F.broadcast(right.filter(among))
-            return left.filter(among).join(few, key, how).unionByName(left.filter(~among).join(right, key, how))
-    return left.join(right, key, how)
+    heavy = heavy_keys(left, key, rows) if heavy is None else heavy
+    if not heavy:
+        return left.join(right, key, how)
+    among = F.coalesce(F.col(key).isin(heavy), F.lit(False))
+    few = F.broadcast(right.filter(among))
+    return left.filter(among).join(few, key, how).unionByName(left.filter(~among).join(right, key, how))
+
+
+def word_and_mask(key: Column, words: int) -> list[Column]:
+    """A key's place in a blocked Bloom filter: one 64-bit word (of a power of two) and four bits in it."""
+    bits = F.xxhash64(key, F.lit(1))
+    mask = F.lit(0).cast("long")
+    for i in range(4):
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(bits, 6 * i).bitwiseAND(F.lit(63)).cast("int"))
+        mask = mask.bitwiseOR(one)
+    return [F.xxhash64(key, F.lit(0)).bitwiseAND(F.lit(words - 1)).alias("word"), mask.alias("mask")]
+
+
+def filter_words(rows: int, bits_per_row: int, max_bits: int) -> int:
+    """Words of a filter: a power of two, at least 16 and at most ``max_bits`` bits."""
+    return 1 << max(4, min(max_bits.bit_length() - 7, int(rows * bits_per_row).bit_length() - 6))
 
 
 class Members:
     """A Bloom filter over a column, broadcast: at most ``max_bits`` bits, so false hits grow instead of its size."""
 
-    HASHES = 4
-
     def __init__(self, df: DataFrame, column: str, max_bits: int = 1 << 28) -> None:
-        rows = df.count()
-        self.bits = 1 << max(10, min(max_bits.bit_length() - 1, int(rows * 16).bit_length()))
-        where = df.select(F.explode(F.array(*self._positions(F.col(column)))).alias("p"))
-        words = where.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("m")).toArrow()
-        bitset = np.zeros(self.bits // 64, np.int64)
-        bitset[words["w"].to_numpy()] = words["m"].to_numpy()
+        self.words = filter_words(df.count(), 16, max_bits)
+        found = df.select(*word_and_mask(F.col(column), self.words)).groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+        bitset = np.zeros(self.words, np.int64)
+        bitset[found["word"].to_numpy()] = found["mask"].to_numpy()
         self.bitset = df.sparkSession.sparkContext.broadcast(bitset.tobytes())
 
-    def _positions(self, key: Column) -> list[Column]:
-        return [F.xxhash64(key, F.lit(i)).bitwiseAND(F.lit(self.bits - 1)) for i in range(self.HASHES)]
+    def place(self, key: Column) -> list[Column]:
+        return word_and_mask(key, self.words)
 
-    def may_hold(self, key: Column) -> Column:
-        bitset = self.bitset
-
-        @F.pandas_udf("boolean")
-        def test(*positions):
-            import pandas as pd
+    def test(self, word: pa.Array, mask: pa.Array) -> pa.Array:
+        """Inside a task: whether all bits of each row are set."""
+        mask = mask.to_numpy()
+        return pa.array(np.frombuffer(self.bitset.value, np.int64)[word.to_numpy()] & mask == mask)
 
-            words = np.frombuffer(bitset.value, np.uint64)
-            hit = np.ones(len(positions[0]), bool)
-            for p in positions:
-                at = p.to_numpy().astype(np.int64)
-                hit &= (words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-            return pd.Series(hit)
+    def may_hold(self, key: Column) -> Column:
+        @F.arrow_udf("boolean")
+        def test(word: pa.Array, mask: pa.Array) -> pa.Array:
+            return self.test(word, mask)
 
-        return test(*self._positions(key))
+        return test(*self.place(key))
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:

@@ -63,11 +63,12 @@ def test_bounds():
     assert len(near_dedup.prune(a, a[::-1], n, n, 85)) == 0
 
 
-@pytest.mark.parametrize("star_rounds", [near_dedup.STAR_ROUNDS, 0])
-def test_chains_and_groups(spark, awkward_df, awkward, monkeypatch, star_rounds):
-    """Star rounds, and with none of them the exact comparison by blocks alone, find the same components."""
+@pytest.mark.parametrize(("star_rounds", "pairs"), [(near_dedup.STAR_ROUNDS, near_dedup.PAIRS), (near_dedup.STAR_ROUNDS, 0), (0, 0)])
+def test_chains_and_groups(spark, awkward_df, awkward, monkeypatch, star_rounds, pairs):
+    """Few star rounds, as many as there may be, and none (the exact comparison by blocks alone) find the same components."""
     monkeypatch.setattr(near_dedup, "STAR_ROUNDS", star_rounds)
-    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "PAIRS", pairs)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 20_000)
     rng = random.Random(1)
     words = [f"w{i}" for i in range(400)]
     base, texts = rng.choices(words, k=120), []
@@ -100,3 +101,11 @@ def test_awkward_rows_and_filter(spark, awkward, awkward_df, empty_df):
 def test_query(spark):
     pairs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert result(queries.queries()["op2_near_dedup"](spark, SF)) == plain_components(pairs, 3, 85)
+
+
+def test_filter_drops_by_id_and_text(spark):
+    """Of rows that repeat a doc_id only the copy goes; a row without a doc_id goes if its group has one."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (2, a), (2, b), (None, a), (3, None), (None, "")]
+    stay = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in stay) == sorted([("1", a), ("2", b), ("3", None), ("None", "")], key=lambda r: (r[0], str(r[1])))
