@@ -9,10 +9,11 @@ host's share of distrust exceeds ``threshold``; hosts without any evidence are a
 
 Links are aggregated to weighted host edges before anything is joined, and ranks are tables over hosts
 that are written to the shared folder every few rounds. What has no outgoing edge returns its score to
-nobody: scores are compared per host, so their sum doesn't matter.
+nobody: scores are compared per host, so their sum doesn't matter. Rounds go on until the scores stand still.
 
 Nulls, ties and repeated rows: a null url, or one without ``://``, has an empty host and path, no rule,
-no links, and is allowed. Null html has no links. Links to the same host and relative links are not
+no links, and is allowed. Null or empty html has no links; a page of any length is read whole. Links are absolute ``href`` and
+``src`` values. Links to the same host and relative links are not
 edges. Repeated pages count twice. An empty table gives no rows. Other columns are ignored.
 """
 
@@ -22,11 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch
-from tessera.llm.skew import keyed_join
+from tessera.llm.skew import heavy_keys, keyed_join
 
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-DAMPING, ROUNDS, EACH = 0.85, 12, 4
+DAMPING, EACH, TOLERANCE = 0.85, 4, 1e-3
 THRESHOLD = 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -51,29 +52,42 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """src, dst, weight: links between different hosts, counted before the shuffle."""
-    links = F.expr(f"""regexp_extract_all(coalesce(`{html}`, ''), '(?i)\\\\bhref\\\\s*=\\\\s*["\\']?\\\\s*((?:https?:)?//[^"\\'\\\\s>]+)', 1)""")
+    links = F.expr(f"""regexp_extract_all(coalesce(`{html}`, ''), '(?i)\\\\b(?:href|src)\\\\s*=\\\\s*["\\']?\\\\s*((?:https?:)?//[^"\\'\\\\s>]+)', 1)""")
     rows = pages.select(host_of(pages[url]).alias("src"), F.explode(links).alias("link"))
     target = host_of(F.when(F.col("link").startswith("//"), F.concat(F.lit("x:"), "link")).otherwise(F.col("link")))
     return rows.select("src", target.alias("dst")).filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
 def _propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFrame:
-    """(side, host, score): trust along the edges from allowed seeds, distrust against them from blocked ones."""
-    two = edges.select(F.lit("allow").alias("side"), F.col("src").alias("a"), F.col("dst").alias("b"), "weight").unionByName(edges.select(F.lit("block").alias("side"), F.col("dst").alias("a"), F.col("src").alias("b"), "weight"))
-    out = two.groupBy("side", "a").agg(F.sum("weight").alias("total"))
-    flow = two.join(out, ["side", "a"]).select(F.concat_ws(" ", "side", "a").alias("node"), "side", "b", (F.col("weight") / F.col("total")).alias("share"))
-    flow = scratch.table(flow, "flow")
-    links = flow.count()
-    ranks = seeds
+    """(side, host, score): trust along the edges from allowed seeds, distrust against them from blocked ones.
+
+    Rounds go on until ``EACH`` more of them move less than ``TOLERANCE`` of the scores and reach no further host.
+    """
+    node = lambda side, host: F.concat_ws(" ", F.lit(side), host).alias("node")
+    two = edges.select(node("allow", "src"), F.lit("allow").alias("side"), F.col("dst").alias("to"), "weight").unionByName(edges.select(node("block", "dst"), F.lit("block").alias("side"), F.col("src").alias("to"), "weight"))
+    links = two.count()
     if not links:
-        return ranks
-    for step in range(1, ROUNDS + 1):
-        here = ranks.select(F.concat_ws(" ", "side", "host").alias("node"), "score")
-        moved = keyed_join(flow, here, "node", rows=links if step % EACH == 1 else 0).select("side", F.col("b").alias("host"), (F.lit(DAMPING) * F.col("share") * F.col("score")).alias("score"))
-        ranks = moved.unionByName(seeds.select("side", "host", ((1 - DAMPING) * F.col("score")).alias("score"))).groupBy("side", "host").agg(F.sum("score").alias("score"))
-        if step % EACH == 0:
-            ranks = scratch.table(ranks, f"ranks-{step}")
-    return ranks
+        return seeds
+    # which nodes are hubs doesn't change with the rounds
+    heavy = heavy_keys(two, "node", links)
+    out = two.groupBy("node").agg(F.sum("weight").alias("total"))
+    flow = keyed_join(two, out, "node", heavy=heavy).select("node", "side", "to", (F.col("weight") / F.col("total")).alias("share"))
+    flow = scratch.table(flow, "flow")
+    ranks, step = seeds, 0
+    while True:
+        before = ranks
+        for _ in range(EACH):
+            here = ranks.select(F.concat_ws(" ", "side", "host").alias("node"), "score")
+            moved = keyed_join(flow, here, "node", heavy=heavy).select("side", F.col("to").alias("host"), (F.lit(DAMPING) * F.col("share") * F.col("score")).alias("score"))
+            ranks = moved.unionByName(seeds.select("side", "host", ((1 - DAMPING) * F.col("score")).alias("score"))).groupBy("side", "host").agg(F.sum("score").alias("score"))
+        step += EACH
+        ranks = scratch.table(ranks, f"ranks-{step}")
+        both = ranks.join(before.withColumnRenamed("score", "was"), ["side", "host"], "left")
+        change = both.agg(F.sum(F.abs(F.col("score") - F.coalesce("was", F.lit(0.0)))).alias("moved"), F.count_if(F.col("was").isNull()).alias("new")).first()
+        if step > EACH:
+            scratch.drop(f"ranks-{step - EACH}")
+        if not change["new"] and (change["moved"] or 0) <= TOLERANCE:
+            return ranks
 
 
 def judge_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
