@@ -16,28 +16,36 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: UTF-8 bytes of text in one Arrow batch are bounded by this many rows; long documents are cut by
-#: the operators themselves.
-ARROW_ROWS = 2000
+#: Rows and bytes of one Arrow batch; a longer row is a batch by itself.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 _own_folder: dict[str, str] = {}
 
 
 def ensure_importable(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver found it."""
+    """Let Python workers import this package wherever the driver found it, and bound Arrow batches by bytes.
+
+    Results are lazy and Spark reads the two limits when they are planned, so they are set for the session, but only
+    where its user left them unset.
+    """
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "").split(os.pathsep) + os.environ.get("PYTHONPATH", "").split(os.pathsep)
     if root not in have:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, env.get("PYTHONPATH", "").split(os.pathsep))])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    own = spark.conf.getAll
+    for key, value in ARROW.items():
+        if key not in own:
+            spark.conf.set(key, value)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one of our own only where it is unset."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset, a temporary one of our own if all runs on this machine."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
         _own_folder[app] = Path(tempfile.mkdtemp(prefix="tessera-")).as_uri()

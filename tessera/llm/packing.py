@@ -5,7 +5,8 @@ length, none above the sequence length. Pieces of equal length share a bucket, a
 sequence of its own: no sequence crosses documents and none needs padding. Sequence ids number the
 buckets' pieces from the longest bucket to the shortest without gaps.
 
-Nulls, empty and long texts: a null or empty text has the end id alone and gives one piece of length 1.
+Nulls, empty and long texts: a null or empty text has the end id alone and gives one piece of length 1; a text of any length is
+encoded whole. A null doc_id is kept.
 Rows with the same doc_id are packed each by itself. An empty table gives no rows; other columns are ignored.
 """
 
@@ -16,12 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, text_of
 
 SEQUENCE = 1024
+#: Partitions whose counts are summed before the driver sees them, and the most counts that are broadcast (else they are joined by shuffle).
+BLOCK, SENT = 1024, 200_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, place long"
 
 
@@ -45,7 +48,7 @@ def pack_documents(df: DataFrame, vocabulary: str, *, longest: int = SEQUENCE, e
     """Pieces with their sequence: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket.
 
     ``longest`` is a power of two. Texts don't move between tasks; only the small piece rows are
-    written, and per (partition, bucket) counts give every piece its number.
+    written, and per (partition, bucket) counts give every piece its number. The driver gets 11 sums per ``BLOCK`` partitions.
     """
     if longest & (longest - 1):
         raise ValueError("the sequence length must be a power of two")
@@ -79,13 +82,20 @@ def pack_documents(df: DataFrame, vocabulary: str, *, longest: int = SEQUENCE, e
                 begin += len(counts)
 
     rows = df.select(df[doc_id].cast("long").alias("doc_id"), text_of(df, text).alias("text")).mapInArrow(pieces, SCHEMA)
-    rows = Scratch(spark, "packing").table(rows, "pieces")
-    # one count per partition and bucket: bounded by 11 times the number of input partitions
-    counts = sorted((-r["length"], r["part"], r["n"]) for r in rows.groupBy("length", "part").agg(F.count("*").alias("n")).collect())
-    firsts, at = [], 0
-    for minus, part, n in counts:
-        firsts.append((-minus, part, at))
+    scratch = Scratch(spark, "packing")
+    rows = scratch.table(rows, "pieces")
+    # where each partition's pieces of a bucket begin: sums over blocks of partitions, then within each block
+    counts = rows.groupBy("length", "part").agg(F.count("*").alias("n")).withColumn("block", F.expr(f"part div {BLOCK}"))
+    counts = scratch.table(counts, "counts")
+    blocks = sorted((-r["length"], r["block"], r["n"]) for r in counts.groupBy("length", "block").agg(F.sum("n").alias("n")).collect())
+    bases, at = [], 0
+    for minus, block, n in blocks:
+        bases.append((-minus, block, at))
         at += n
-    firsts = spark.createDataFrame(firsts, "length long, part long, first long")
-    return rows.join(F.broadcast(firsts), ["length", "part"]).select(
+    bases = spark.createDataFrame(bases, "length long, block long, base long")
+    before = F.sum("n").over(Window.partitionBy("length", "block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    firsts = counts.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(bases), ["length", "block"]).select("length", "part", (F.col("base") + F.col("before")).alias("first"))
+    if counts.count() <= SENT:
+        firsts = F.broadcast(firsts)
+    return rows.join(firsts, ["length", "part"]).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("place")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.log2("length").cast("int").alias("bucket"))

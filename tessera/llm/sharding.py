@@ -12,12 +12,13 @@ are ordered, and cut, by the hash of doc_id. Shard edges fall between groups of
 group is too large for that. Slots need no further pass: the counts below each splitter are known.
 
 Law: ``bytes``. Sizes differ by the tolerance (a thousandth of a shard) and at most one row's bytes.
-Nulls, ties and repeated rows: a null text has size 1 and the checksum of the empty text; a null doc_id
-is a key like any other; repeated rows share a key and stay together. An empty table gives no rows.
+Nulls, empty and long texts, ties and repeated rows: a null or empty text has size 1 and the checksum of the empty text; a null doc_id
+is a key like any other; repeated rows share a key and stay together; a text of any length is hashed whole and counts with all its bytes. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -27,8 +28,11 @@ from tessera.llm.common import Scratch
 
 FIRST_BITS, NEXT_BITS = 12, 6
 TOLERANCE = 1e-3
-#: Ranges that tasks are cut into: at least this many, and no more rows than that in each.
-TASKS, TASK_ROWS = 256, 250_000
+#: Ranges that tasks are cut into: at least and at most so many, in between of so many rows each. The most bounds what the
+#: driver and every task see of the splitters; larger tables make larger ranges, which a task sorts with spilling.
+TASKS, MOST_TASKS, TASK_ROWS = 256, 4096, 250_000
+#: A text with more task splitters inside its rows than this gets a table of its own over the hash of doc_id.
+SPLIT, SPLIT_BITS = 16, 8
 
 
 @dataclass(frozen=True)
@@ -93,7 +97,7 @@ def find_splitters(keys: DataFrame, shards: int, tolerance: float, tasks: int, t
     end = Edge(1 << 63, -(1 << 63), sum(x[2] for x in first), sum(x[3] for x in first))
     if not end.rows:
         return [], [], end
-    tasks = max(tasks, -(-end.rows // task_rows))
+    tasks = max(tasks, min(MOST_TASKS, -(-end.rows // task_rows)))
     wanted = [("bytes", end.bytes * j / shards, tolerance * end.bytes / shards) for j in range(1, shards)]
     wanted += [("rows", end.rows * j / tasks, 0.1 * end.rows / tasks) for j in range(1, tasks)]
     done: dict[int, Edge] = {}
@@ -135,6 +139,19 @@ def find_splitters(keys: DataFrame, shards: int, tolerance: float, tasks: int, t
     return [done[t] for t in range(shards - 1)], [done[t] for t in range(shards - 1, len(wanted))], end
 
 
+def _cells(edges: list[tuple[int, int, int]], cell_of, cells: range, first: int = 0) -> list[tuple[int, int, list]]:
+    """(cell, number of the last edge at or below the cell's first key, the cell's other edges) of every cell."""
+    by_cell: dict[int, list] = {}
+    for e in edges:
+        by_cell.setdefault(cell_of(e), []).append(e)
+    out = []
+    for cell in cells:
+        within = by_cell.get(cell, [])
+        out.append((cell, first, within))
+        first = within[-1][2] if within else first
+    return out
+
+
 def shard(df: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text", tolerance: float = TOLERANCE, tasks: int = TASKS, task_rows: int = TASK_ROWS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row; slots count from 0 in each shard."""
     spark = df.sparkSession
@@ -149,22 +166,21 @@ def shard(df: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "t
     for e in edges:
         s = max(i for i, x in enumerate(shard_edges) if (x.a, x.b) <= (e.a, e.b))
         cuts.append((s, e.rows - shard_edges[s].rows))
-    # rows find their edge through the first bits of their key: a table of at most 2**FIRST_BITS rows
-    width = 64 - FIRST_BITS
-    table, i = [], 0
-    for cell in range(-(1 << (FIRST_BITS - 1)), 1 << (FIRST_BITS - 1)):
-        within = []
-        while i + 1 < len(edges) and (edges[i + 1].a, edges[i + 1].b) <= (cell << width, -(1 << 63)):
-            i += 1
-        j = i
-        while j + 1 < len(edges) and edges[j + 1].a >> width == cell:
-            j += 1
-            within.append((edges[j].a, edges[j].b))
-        table.append((cell, i, within))
-    cells = spark.createDataFrame(table, "cell long, first int, within array<struct<a:long,b:long>>")
+    # rows find the last edge not above them through the first bits of their key: a table of at most 2**FIRST_BITS rows.
+    # A hot text has many edges of one ``a``: there the table has the last one only, and a second table has them by bits of ``b``
+    many = {a for a, n in Counter(e.a for e in edges).items() if n > SPLIT}
+    listed = [(e.a, e.b, k) for k, e in enumerate(edges)]
+    alone = [x for i, x in enumerate(listed) if x[0] not in many or i + 1 == len(listed) or listed[i + 1][0] != x[0]]
+    width, narrow = 64 - FIRST_BITS, 64 - SPLIT_BITS
+    cells = spark.createDataFrame(_cells(alone, lambda x: x[0] >> width, range(-(1 << (FIRST_BITS - 1)), 1 << (FIRST_BITS - 1))), "cell long, first int, within array<struct<a:long,b:long,k:int>>")
+    split = [(a, *row) for a in sorted(many) for row in _cells([(x[1], 0, x[2]) for x in listed if x[0] == a], lambda x: x[0] >> narrow, range(-(1 << (SPLIT_BITS - 1)), 1 << (SPLIT_BITS - 1)), max([x[2] for x in listed if x[0] < a], default=0))]
+    split = spark.createDataFrame(split, "a long, part long, first_in int, within_in array<struct<a:long,b:long,k:int>>")
     places = spark.createDataFrame([(k, s, slot) for k, (s, slot) in enumerate(cuts)], "task int, shard int, base long")
-    rows = keys.withColumn("cell", F.shiftright("a", width)).join(F.broadcast(cells), "cell")
-    rows = rows.withColumn("task", F.expr("first + size(filter(within, e -> e.a < a or (e.a = a and e.b <= b)))"))
+    rows = keys.withColumn("cell", F.shiftright("a", width)).withColumn("part", F.shiftright("b", narrow))
+    rows = rows.join(F.broadcast(cells), "cell").join(F.broadcast(split), ["a", "part"], "left")
+    last = "coalesce(array_max(transform(filter({0}, e -> {2}), e -> e.k)), {1})"
+    inside, outside = last.format("within_in", "first_in", "e.a <= b"), last.format("within", "first", "e.a < a or (e.a = a and e.b <= b)")
+    rows = rows.withColumn("task", F.expr(f"if(first_in is not null, {inside}, {outside})"))
     rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("task").orderBy("a", "b", "doc_id")) - 1)
     rows = rows.join(F.broadcast(places), "task")
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("at")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -44,6 +44,8 @@ SHORTEST, LONGEST = 4, 7
 WHOLE = 2
 #: Signs that stand for letters in disguised words (fixed values of the channel model).
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou"}
+#: Letters of other scripts that look like a Latin one (fixed values); they count as disguise only beside Latin letters.
+OTHER_SCRIPTS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "в": "b", "к": "k", "м": "m", "н": "h", "т": "t", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x"}
 #: Log-probabilities of the channel.
 KEEP, CHANGE, DROP_REPEAT, DROP_SIGN = 0.0, -1.0, -0.7, -0.5
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -54,8 +56,9 @@ _SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:([ .\-_*])[^\W_])(?:\1[^\W_])+(?![^\
 _INSIDE, _BEFORE, _AFTER = re.compile(r"[0-9@$!|+(€£¡*._\-]"), re.compile(r"[0-9@$!|+€£¡*]"), re.compile(r"[0-9@$]")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 _TWICE, _LETTER, _SIGN = re.compile(r"([^\W\d_])\1"), re.compile(r"[^\W\d_]"), re.compile(f"[{re.escape(''.join(LOOKS_LIKE))}]")
+_LATIN, _OTHER = re.compile("[a-z]"), re.compile(f"[{''.join(OTHER_SCRIPTS)}]")
 #: Pieces remembered by a worker, and the longest of them.
-REMEMBERED, REMEMBERED_CHARS = 200_000, 40
+REMEMBERED, REMEMBERED_CHARS = 50_000, 40
 
 
 @cache
@@ -102,6 +105,11 @@ class CharModel:
         self.memo: dict[str, str] = {}
         self.pieces: dict[str, tuple[str, ...]] = {}
 
+    def forget(self) -> None:
+        """Give back what a task remembered; workers live on for other stages."""
+        self.memo.clear()
+        self.pieces.clear()
+
     def decode(self, word: str) -> str:
         """The likeliest letters behind a disguised word: Viterbi over the last two letters."""
         if word in self.memo:
@@ -110,7 +118,7 @@ class CharModel:
         before = ""
         for c in word:
             c = chr(o) if (o := ord(c)) not in _plain() else _plain()[o]
-            options = [(_LETTERS.index(c) + 1, KEEP)] if c in _LETTERS else [(_LETTERS.index(x) + 1, CHANGE) for x in LOOKS_LIKE.get(c, "")]
+            options = [(_LETTERS.index(c) + 1, KEEP)] if c in _LETTERS else [(_LETTERS.index(x) + 1, CHANGE) for x in LOOKS_LIKE.get(c) or OTHER_SCRIPTS.get(c, "")]
             drop = DROP_REPEAT if c == before and options else None if options and c not in "!|+(*" else DROP_SIGN
             after: dict[tuple[int, int], tuple[float, object]] = {}
             for (a, b), (score, path) in states.items():
@@ -152,8 +160,8 @@ def looks_odd(piece: str) -> bool:
 
 
 def may_hide(piece: str) -> bool:
-    """Whether a piece goes through the lattice: odd ones, a doubled letter, or a look-alike sign with a letter."""
-    return bool(_TWICE.search(piece) or (_SIGN.search(piece) and _LETTER.search(piece))) or looks_odd(piece)
+    """Whether a piece goes through the lattice: odd ones, a doubled letter, a look-alike sign with a letter, scripts mixed."""
+    return bool(_TWICE.search(piece) or (_LATIN.search(piece) and _OTHER.search(piece)) or (_SIGN.search(piece) and _LETTER.search(piece))) or looks_odd(piece)
 
 
 def piece_words(piece: str, model: CharModel) -> tuple[str, ...]:
@@ -234,6 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: CharModel) -> dict[str, float
             least = [int(s[0].astype(np.int64)) if len(s) else 0 for s in shingle_sets(texts)]
             words = [sorted(beginnings(restored_words(t, shared.value))) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(least, pa.int64()), pa.array(words, pa.list_(pa.string()))], names=["toxic", "least", "words"])
+        shared.value.forget()
 
     # the chosen rows are few (see the two limits), so they are sent to the documents
     chosen = docs.join(F.broadcast(some), "doc_id").select("toxic", "text").mapInArrow(features, "toxic int, least long, words array<string>")
@@ -305,6 +314,7 @@ class Scorer:
             memo: dict[str, float] = {}
             for texts in batches:
                 yield pd.Series([score_words(restored_words(t, model), evidence, memo) if t else BASE for t in texts], dtype=float)
+            model.forget()
 
         return score(text)
 

@@ -93,5 +93,37 @@ def test_shares_of_evidence_do_not_depend_on_the_sample(spark, monkeypatch):
 def test_doubled_letters_and_words_of_one_letter_and_signs_are_decoded():
     counts = toxicity.count_trigrams(["the moron and the idiot said stupid shit to an ass of some idiot and moron"] * 50)
     model = toxicity.CharModel(counts)
-    for text, word in (("so stuupid", "stupid"), ("a mooron here", "moron"), ("that 5h1+ again", "shit"), ("1d1o+", "idiot"), ("an a$$", "ass"), ("an ass", "ass")):
+    for text, word in (("so stuupid", "stupid"), ("a mooron here", "moron"), ("that 5h1+ again", "shit"), ("1d1o+", "idiot"), ("an a$$", "ass"), ("an ass", "ass"), ("so ѕtυріd", "stupid"), ("mоrоn", "moron")):
         assert word in toxicity.restored_words(text, model), text
+
+
+def test_distrust_equals_plain_page_rank(spark):
+    """A graph with hubs, chains and rings: shares of distrust equal those of plain iterations without an end."""
+    dice = np.random.default_rng(9)
+    hosts = [f"h{i}.org" for i in range(60)] + [f"good{i}.com" for i in range(5)] + [f"bad{i}.net" for i in range(5)]
+    n, pages = len(hosts), []
+    weight = np.zeros((n, n))
+    for i in range(n):
+        links = [0] * 3 + dice.integers(0, n, 3).tolist() if i < 40 else [(i + 1) % n, 0]
+        links = [j for j in links if j != i]
+        for j in links:
+            weight[i, j] += 1
+        path = "/es/1" if hosts[i].startswith("bad") else "/"
+        pages.append((i, f"http://{hosts[i]}{path}", "".join(f'<a href="https://{hosts[j].upper()}/x?y">' if k % 2 else f"<img src='//{hosts[j]}/i.png'>" for k, j in enumerate(links))))
+
+    def ranks(w, seeds):
+        share = w / np.maximum(w.sum(1, keepdims=True), 1)
+        start = np.zeros(n)
+        start[seeds] = 1 / len(seeds)
+        r = start
+        for _ in range(300):
+            r = 0.15 * start + 0.85 * r @ share
+        return r
+
+    good, bad = ranks(weight, list(range(60, 65))), ranks(weight.T, list(range(65, 70)))
+    want = bad / np.maximum(good + bad, 1e-300)
+    got = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert max(abs(got[i]["distrust"] - want[i]) for i in range(n)) < 0.02
+    sure = [i for i in range(60) if abs(want[i] - 0.5) > 0.02]
+    assert len(sure) > 50 and 5 < sum(want[i] > 0.5 for i in sure) < 55
+    assert all(got[i]["verdict"] == ("block" if want[i] > 0.5 else "allow") for i in sure)
