@@ -19,7 +19,7 @@ from tessera.llm.flat import BREAK, Flat, gather
 #: Distinct tokens that a worker keeps before it starts anew (about 50 bytes each).
 STORE_TOKENS = 300_000
 #: Characters encoded at once.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 250_000
 #: Distinct tokens given to the library as one text.
 JOIN = 64
 

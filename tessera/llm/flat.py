@@ -125,7 +125,7 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> n
     """A polynomial over random values of the code points, from differences of its running sum."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _power_tables(1 << max(20, (len(codes) - 1).bit_length()))
+    up, down = _power_tables(1 << max(18, (len(codes) - 1).bit_length()))
     with np.errstate(over="ignore"):
         total = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum(_code_values()[codes] * up[: len(codes)], out=total[1:])

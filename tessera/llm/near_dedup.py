@@ -112,7 +112,7 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
             for s in shingle_sets(batch.column(1).to_pylist(), width):
                 sets.append(s)
                 pending += len(s)
-                if pending > 300_000:
+                if pending > 100_000:
                     flush()
                     pending = 0
             flush()

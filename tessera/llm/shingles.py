@@ -20,7 +20,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def shingle_sets(texts: list[str | None], width: int = 3, chunk_bytes: int = 2_000_000) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | None], width: int = 3, chunk_bytes: int = 400_000) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text, in order."""
     begin = size = 0
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]

@@ -37,7 +37,8 @@ from tessera.llm.common import Scratch, text_of
 FIT_TOXIC, FIT_CLEAN = 6_000, 12_000
 THRESHOLD = 0.7
 BASE = 0.03
-#: Share of toxic documents among those with a beginning from which it can condemn a document by itself.
+#: Share of toxic documents among those with a beginning from which it can condemn a document by itself. Chosen on training rows
+#: alone: fitted on one half of them, 0.90 to 0.98 condemn the other half alike, below that precision falls.
 SURE = 0.95
 SHORTEST, LONGEST = 4, 7
 #: Whole words from this length on are evidence, though they have no beginning of their own.
@@ -58,7 +59,7 @@ _THRICE = re.compile(r"([^\W\d_])\1\1")
 _TWICE, _LETTER, _SIGN = re.compile(r"([^\W\d_])\1"), re.compile(r"[^\W\d_]"), re.compile(f"[{re.escape(''.join(LOOKS_LIKE))}]")
 _LATIN, _OTHER = re.compile("[a-z]"), re.compile(f"[{''.join(OTHER_SCRIPTS)}]")
 #: Pieces remembered by a worker, and the longest of them.
-REMEMBERED, REMEMBERED_CHARS = 50_000, 40
+REMEMBERED, REMEMBERED_CHARS = 200_000, 40
 
 
 @cache
@@ -103,12 +104,10 @@ class CharModel:
         p3 = (three + 5 * p2[None]) / (three.sum(2, keepdims=True) + 5)
         self.table = np.log(p3).tolist()
         self.memo: dict[str, str] = {}
-        self.pieces: dict[str, tuple[str, ...]] = {}
 
     def forget(self) -> None:
         """Give back what a task remembered; workers live on for other stages."""
         self.memo.clear()
-        self.pieces.clear()
 
     def decode(self, word: str) -> str:
         """The likeliest letters behind a disguised word: Viterbi over the last two letters."""
@@ -139,7 +138,7 @@ class CharModel:
             path = path[1]
         out = "".join(reversed(letters))
         if len(word) <= REMEMBERED_CHARS:
-            if len(self.memo) >= REMEMBERED:
+            if len(self.memo) >= REMEMBERED // 4:
                 self.memo.clear()
             self.memo[word] = out
         return out
@@ -164,32 +163,32 @@ def may_hide(piece: str) -> bool:
     return bool(_TWICE.search(piece) or (_LATIN.search(piece) and _OTHER.search(piece)) or (_SIGN.search(piece) and _LETTER.search(piece))) or looks_odd(piece)
 
 
-def piece_words(piece: str, model: CharModel) -> tuple[str, ...]:
+def piece_words(piece: str, model: CharModel) -> list[str]:
     """Words of at least WHOLE letters in a piece without spaces, and the one that it may hide."""
-    if (known := model.pieces.get(piece)) is not None:
-        return known
     words = [w for w in _WORD.findall(piece) if len(w) >= WHOLE]
     if may_hide(piece):
         found = model.decode(piece.strip(".,;:?\"')[]{}«»"))
         if len(found) >= WHOLE:
             words.append(found)
-    out = tuple(words)
-    if len(piece) <= REMEMBERED_CHARS:
-        if len(model.pieces) >= REMEMBERED:
-            model.pieces.clear()
-        model.pieces[piece] = out
-    return out
+    return words
+
+
+def _cleaned(text: str) -> str:
+    return unicodedata.normalize("NFKC", text).lower().replace("\u200b", "").replace("\u00ad", "")
+
+
+def spelled_words(text: str, model: CharModel) -> Iterator[str]:
+    """Words spelled letter by letter in a cleaned text: word edges are lost, so every beginning counts."""
+    for m in _SPELLED.finditer(text):
+        found = model.decode(m.group().replace(m.group(1), ""))
+        yield from (found[i : i + LONGEST] for i in range(max(1, len(found) - SHORTEST + 1)))
 
 
 def restored_words(text: str, model: CharModel) -> set[str]:
     """Distinct words of at least WHOLE letters, with those decoded from disguises."""
-    text = unicodedata.normalize("NFKC", text).lower().replace("\u200b", "").replace("\u00ad", "")
-    words: set[str] = set()
-    for piece in set(text.split()):
-        words.update(piece_words(piece, model))
-    for m in _SPELLED.finditer(text):  # word edges are lost: every beginning counts
-        found = model.decode(m.group().replace(m.group(1), ""))
-        words.update(found[i : i + LONGEST] for i in range(max(1, len(found) - SHORTEST + 1)))
+    text = _cleaned(text)
+    words = {w for piece in set(text.split()) for w in piece_words(piece, model)}
+    words.update(spelled_words(text, model))
     return words
 
 
@@ -201,11 +200,13 @@ def corpus_model(docs: DataFrame) -> CharModel:
     """Trigram counts over all texts: one row per trigram and task, summed in Spark to at most 27**3 rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tessera.llm.encode import chunks
+
         total = np.zeros(_SIZE**3, np.int64)
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for i in range(0, len(texts), 200):
-                total += count_trigrams(texts[i : i + 200])
+            for i, j in chunks(texts, 200_000):
+                total += count_trigrams(texts[i:j])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
 
@@ -278,19 +279,8 @@ def word_evidence(word: str, evidence: dict[str, float]) -> float:
     return best
 
 
-def score_words(words: set[str], evidence: dict[str, float], memo: dict[str, float] | None = None) -> float:
-    """The score of a document with these words; ``memo`` keeps the evidence of words seen before."""
-    memo, hits = {} if memo is None else memo, []
-    for w in words:
-        best = memo.get(w)
-        if best is None:
-            best = word_evidence(w, evidence)
-            if len(w) <= REMEMBERED_CHARS:
-                if len(memo) >= REMEMBERED:
-                    memo.clear()
-                memo[w] = best
-        if best:
-            hits.append(best)
+def combined(hits: list[float]) -> float:
+    """The score of a document with this evidence: its strongest, raised by further strong ones."""
     if not hits:
         return BASE
     top = max(hits)
@@ -298,6 +288,25 @@ def score_words(words: set[str], evidence: dict[str, float], memo: dict[str, flo
     return min(1.0, max(BASE, top + (1 - top) * (1 - 0.8 ** max(0, strong - 1))))
 
 
+def score_text(text: str, model: CharModel, evidence: dict[str, float], memo: dict[str, tuple]) -> float:
+    """The score of a text; ``memo`` keeps the evidence found in each piece (mostly none), so a piece is decoded once a task."""
+    text = _cleaned(text)
+    hits: dict[str, float] = {}
+    for piece in set(text.split()):
+        found = memo.get(piece)
+        if found is None:
+            found = tuple((w, best) for w in piece_words(piece, model) if (best := word_evidence(w, evidence)))
+            if len(piece) <= REMEMBERED_CHARS:
+                if len(memo) >= REMEMBERED:
+                    memo.clear()
+                memo[piece] = found
+        hits.update(found)
+    for w in spelled_words(text, model):
+        if best := word_evidence(w, evidence):
+            hits[w] = best
+    return combined(list(hits.values()))
+
+
 class Scorer:
     """A fitted scorer; small enough to broadcast: its size is bounded by the sample and the trigram table."""
 
@@ -311,9 +320,9 @@ class Scorer:
         @F.pandas_udf("double")
         def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             model, evidence = shared.value
-            memo: dict[str, float] = {}
+            memo: dict[str, tuple] = {}
             for texts in batches:
-                yield pd.Series([score_words(restored_words(t, model), evidence, memo) if t else BASE for t in texts], dtype=float)
+                yield pd.Series([score_text(t, model, evidence, memo) if t else BASE for t in texts], dtype=float)
             model.forget()
 
         return score(text)

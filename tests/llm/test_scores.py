@@ -127,3 +127,14 @@ def test_distrust_equals_plain_page_rank(spark):
     sure = [i for i in range(60) if abs(want[i] - 0.5) > 0.02]
     assert len(sure) > 50 and 5 < sum(want[i] > 0.5 for i in sure) < 55
     assert all(got[i]["verdict"] == ("block" if want[i] > 0.5 else "allow") for i in sure)
+
+
+def test_scores_of_a_task_equal_those_of_each_text_alone():
+    """What a task remembers changes nothing; a text's score is that of its restored words."""
+    model = toxicity.CharModel(toxicity.count_trigrams(["the idiot and the moron said stupid things to an ass"] * 50))
+    evidence = {"idio": 0.9, "moron": 0.8, "ass": 0.3, "stup": 0.95}
+    texts = ["an 1d10t", "an 1d10t and a m o r o n", "", "nothing here", "ass ass a$$ stuupid", "idiots, idiotic IDIOT", "x " * 1000 + "i-d-i-o-t"]
+    memo = {}
+    for t in texts * 2:
+        words = toxicity.restored_words(t, model)
+        assert toxicity.score_text(t, model, evidence, memo) == toxicity.combined([e for w in words if (e := toxicity.word_evidence(w, evidence))])
