@@ -17,7 +17,7 @@ def fold(s: Column) -> Column:
 
 
 def same_text(a: Column, b: Column) -> Column:
-    return F.lower(F.trim(a)) == F.lower(F.trim(b))
+    return fold(a) == fold(b)
 
 
 def holds(haystack: Column, needle: str) -> Column:

@@ -90,26 +90,11 @@ def turtle(entities: DataFrame, relations: DataFrame, base: str) -> DataFrame:
 
 
 def pages(records: DataFrame, size: int = 500) -> DataFrame:
-    """Column page (from 1) behind ``records`` (columns kind_no, ord): ``size`` records each, the last may have fewer.
+    """Column page (from 1) behind ``records`` (columns kind_no and ord of any type that sorts): ``size`` records each, the last may have fewer."""
+    from tessera.operators.numbering import numbered
 
-    Rows are numbered within ranges of their order and ranges are offset by the rows before them, so no
-    task sees more than its range.
-    """
-    from pyspark.sql import Window
-
-    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a range is fixed by bounds on the order itself, so that a task that runs again numbers alike
-    bounds = records.stat.approxQuantile("ord", [i / n for i in range(1, n)], 0.01)
-    cuts = sorted(set(bounds or []))
-    slot = F.lit(0)
-    for c in cuts:
-        slot = slot + (F.col("ord") > c).cast("int")
-    rows = records.withColumn("_slot", slot)
-    sizes = rows.groupBy("kind_no", "_slot").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("kind_no", "_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    at = F.row_number().over(Window.partitionBy("kind_no", "_slot").orderBy("ord"))
-    out = rows.withColumn("_at", at).join(before, ["kind_no", "_slot"])
-    return out.withColumn("page", F.floor((F.col("_before") + F.col("_at") - 1) / size).cast("long") + 1).drop("_slot", "_at", "_before")
+    out = numbered(records, ["kind_no", "ord"], "_number")
+    return out.withColumn("page", F.floor(F.col("_number") / size).cast("long") + 1).drop("_number")
 
 
 def page_defects(got: DataFrame) -> DataFrame:

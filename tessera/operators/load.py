@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,14 +25,15 @@ def chunk_defects(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("idx").agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("chunk_index_reused").alias("kind"), "idx")
 
 
-def vector_defects(vectors: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``chunk_vectored_twice``, ``vector_empty``, ``vector_without_chunk`` and ``vector_width`` (against the first vector)."""
-    twice = vectors.groupBy("chunk").count().filter("count > 1").select(F.lit("chunk_vectored_twice").alias("kind"), "chunk")
-    empty = vectors.filter("size(values) = 0").select(F.lit("vector_empty").alias("kind"), "chunk")
-    alone = vectors.join(chunks.select(F.col("idx").alias("chunk")), "chunk", "left_anti").select(F.lit("vector_without_chunk").alias("kind"), "chunk")
-    width = F.broadcast(vectors.agg(F.min_by(F.size("values"), "chunk").alias("_w")))
-    odd = vectors.filter("size(values) > 0").crossJoin(width).filter("size(values) <> _w").select(F.lit("vector_width").alias("kind"), "chunk")
-    return twice.unionByName(empty).unionByName(alone).unionByName(odd)
+def vector_defects(vectors: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """``chunk_vectored_twice``, ``vector_empty``, ``vector_without_chunk`` (where the graph has chunks) and ``vector_width`` (against the first vector)."""
+    out = vectors.groupBy("chunk").count().filter("count > 1").select(F.lit("chunk_vectored_twice").alias("kind"), "chunk")
+    out = out.unionByName(vectors.filter("size(values) = 0").select(F.lit("vector_empty").alias("kind"), "chunk"))
+    if chunks is not None:
+        out = out.unionByName(vectors.join(chunks.select(F.col("idx").alias("chunk")), "chunk", "left_anti").select(F.lit("vector_without_chunk").alias("kind"), "chunk"))
+    first = "ord" if "ord" in vectors.columns else "chunk"
+    width = F.broadcast(vectors.agg(F.min_by(F.size("values"), first).alias("_w")))
+    return out.unionByName(vectors.filter("size(values) > 0").crossJoin(width).filter("size(values) <> _w").select(F.lit("vector_width").alias("kind"), "chunk"))
 
 
 def citation_defects(records: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -50,56 +54,134 @@ def paired(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def digest(records: dict[str, DataFrame]) -> str:
-    """Content name of a graph, independent of order: SHA-256 of the sorted record hashes' running hash.
+    """Content name of a graph, independent of order and of repeats' places.
 
-    Each record is one JSON line with its kind; hashes are grouped by prefix so that the driver
-    receives 4096 sums at most.
+    Each record is one JSON line with its kind. A line's SHA-256 is read as eight 32-bit words, and each word is summed
+    over all lines as an exact decimal: partial sums are small, and one row reaches the driver at every size. The
+    name is the SHA-256 of the sums and the number of lines.
     """
     import hashlib
 
     lines = None
     for kind, df in sorted(records.items()):
-        one = df.select(F.sha2(F.concat(framed(F.lit(kind)), framed(F.to_json(F.struct(*sorted(df.columns))))), 256).alias("h"))
+        one = df.select(F.sha2(F.concat(framed(F.lit(kind)), framed(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}))), 256).alias("h"))
         lines = one if lines is None else lines.unionByName(one)
-    parts = lines.groupBy(F.substring("h", 1, 3).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "").cast("binary"), 256).alias("s"))
-    return hashlib.sha256("".join(r["p"] + r["s"] for r in sorted(parts.collect(), key=lambda r: r["p"])).encode()).hexdigest()
+    words = [F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")).alias(f"w{i}") for i in range(8)]
+    row = lines.agg(F.count("*").alias("n"), *words).first()
+    return hashlib.sha256(",".join(str(v or 0) for v in row).encode()).hexdigest()
 
 
 class Held(Exception):
-    """A load that its checks refuse."""
+    """A load that the store refuses."""
+
+
+@dataclass(frozen=True)
+class Loaded:
+    """What became of a load: ``written`` or ``converged``, under which name, and how many repeated entity records were folded."""
+
+    status: str
+    load_id: str
+    digest: str
+    corroborated: int
+
+
+_LOADS = "load_id string, digest string, version string, state string, dimension int, model string, parts array<string>, at timestamp, seq long"
 
 
 class Store:
-    """Parquet folders per kind and load; the row in ``loads`` is written last and makes a load visible."""
+    """Parquet folders per kind, load and version, and a log of loads that is only ever appended to.
+
+    A load writes its records to folders of a new version; the log row that names the version is written last and makes it
+    visible, so readers see the old or the new graph, whole. Other loads are never touched. Replaced and deleted versions
+    stay until ``sweep``.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def loads(self) -> DataFrame:
+    def _log(self) -> DataFrame:
         from pyspark.errors import AnalysisException
 
         try:
-            return self.spark.read.parquet(f"{self.root}/loads")
+            return self.spark.read.schema(_LOADS).parquet(f"{self.root}/loads")
         except AnalysisException:
-            return self.spark.createDataFrame([], "load_id string, digest string, state string")
+            return self.spark.createDataFrame([], _LOADS)
+
+    def _say(self, load_id: str, state: str, **values) -> None:
+        newest = self._log().agg(F.max("seq").alias("seq")).first()["seq"] or 0
+        row = {"digest": None, "version": None, "dimension": 0, "model": "", "parts": [], **values}
+        rows = self.spark.createDataFrame([(load_id, row["digest"], row["version"], state, row["dimension"], row["model"], row["parts"], None, newest + 1)], _LOADS)
+        rows.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.root}/loads")
+
+    def loads(self) -> DataFrame:
+        """One row per load that is there: load_id, digest, version, state, dimension, model, parts, at."""
+        newest = self._log().groupBy("load_id").agg(F.max_by(F.struct("digest", "version", "state", "dimension", "model", "parts", "at"), "seq").alias("r"))
+        return newest.select("load_id", "r.*").filter("state <> 'deleted'")
+
+    def load(self, load_id: str, records: dict[str, DataFrame], replace: bool = False) -> Loaded:
+        """Store a graph under a name, or under one made of its content where the name is empty.
+
+        Defects that lose data refuse it (``preflight.refuse``), all named. The same content is not written again,
+        whatever its name. Another graph under the name, or vectors of another width or model than the store holds, refuse it
+        too, unless ``replace`` says that this load is to be exchanged.
+        """
+        from tessera.operators import preflight
 
-    def load(self, load_id: str, records: dict[str, DataFrame], replace: bool = False) -> str:
-        """``converged`` where the same content is already there, else ``written``."""
-        if "entities" in records and entity_defects(records["entities"]).filter("severity = 'refuse'").limit(1).count():
-            raise Held("an entity id is used for two entities")
+        preflight.refuse(records)
         name = digest(records)
-        have = [r["digest"] for r in self.loads().filter(F.col("load_id") == load_id).collect()]
-        if name in have:
-            return "converged"
+        load_id = load_id or f"ld_{name[:24]}"
+        folded = records["entities"].agg((F.count("*") - F.count_distinct("id")).alias("n")).first()["n"]
+        same = self.loads().filter((F.col("digest") == name) & (F.col("state") == "complete")).agg(F.min("load_id").alias("load_id")).first()["load_id"]
+        if same:
+            return Loaded("converged", same, name, folded)
+        have = self.loads().filter((F.col("load_id") == load_id) & (F.col("state") == "complete")).limit(1).count()
         if have and not replace:
             raise Held(f"{load_id} holds a different graph")
-        for kind, df in records.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/{kind}/load_id={load_id}")
-        row = self.spark.createDataFrame([(load_id, name, "complete")], "load_id string, digest string, state string")
-        row.write.mode("overwrite" if replace and have else "append").parquet(f"{self.root}/loads")
-        return "written"
-
-    def read(self, kind: str) -> DataFrame:
-        """Records of complete loads; the load is a partition, so a filter on it prunes files."""
-        done = self.loads().filter("state = 'complete'").select("load_id")
-        return self.spark.read.option("basePath", f"{self.root}/{kind}").parquet(f"{self.root}/{kind}").join(F.broadcast(done), "load_id", "left_semi")
+        dimension, model = self._bind(records.get("vectors"), load_id)
+        version = uuid.uuid4().hex
+        parts = {k: v for k, v in records.items() if k != "entities"} | {"entities": corroborated(records["entities"])}
+        for kind, df in parts.items():
+            df.write.parquet(f"{self.root}/{kind}/load_id={load_id}/version={version}")
+        self._say(load_id, "complete", digest=name, version=version, dimension=dimension, model=model, parts=sorted(parts))
+        return Loaded("written", load_id, name, folded)
+
+    def _bind(self, vectors: DataFrame | None, load_id: str) -> tuple[int, str]:
+        """Width and model of a load's vectors; they must be those of the store's other loads."""
+        if vectors is None:
+            return 0, ""
+        model = F.min("model") if "model" in vectors.columns else F.lit("")
+        mine = vectors.agg(F.max(F.size("values")).alias("width"), model.alias("model")).first()
+        if mine["width"] is None:
+            return 0, ""
+        other = self.loads().filter((F.col("load_id") != load_id) & (F.col("dimension") > 0)).limit(1).collect()
+        if other and (other[0]["dimension"], other[0]["model"]) != (mine["width"], mine["model"] or ""):
+            raise Held(f"vectors are {mine['width']} wide by {mine['model']!r}, the store holds {other[0]['dimension']} by {other[0]['model']!r}")
+        return mine["width"], mine["model"] or ""
+
+    def delete(self, load_id: str) -> bool:
+        """Make a load invisible; False if it is not there."""
+        there = self.loads().filter(F.col("load_id") == load_id).limit(1).count() > 0
+        if there:
+            self._say(load_id, "deleted")
+        return there
+
+    def sweep(self) -> int:
+        """Remove the folders of versions that no load names any more; returns how many."""
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.root).getFileSystem(context._jsc.hadoopConfiguration())
+        named = {(r["load_id"], r["version"]) for r in self.loads().select("load_id", "version").toLocalIterator()}
+        gone = 0
+        for s in fs.globStatus(path(f"{self.root}/*/load_id=*/version=*")) or []:
+            at = s.getPath()
+            if (at.getParent().getName().removeprefix("load_id="), at.getName().removeprefix("version=")) not in named:
+                fs.delete(at, True)
+                gone += 1
+        return gone
+
+    def read(self, kind: str, load_id: str | None = None) -> DataFrame:
+        """Records of complete loads (or of one) with their load_id; load and version are partitions, so files of others are not read."""
+        rows = self.spark.read.option("basePath", f"{self.root}/{kind}").parquet(f"{self.root}/{kind}/load_id={load_id or '*'}/version=*")
+        done = self.loads().filter("state = 'complete'").select(F.col("load_id").alias("_load"), F.col("version").alias("_version"))
+        rows = rows.withColumn("load_id", F.col("load_id").cast("string"))
+        return rows.join(F.broadcast(done), (F.col("load_id") == F.col("_load")) & (F.col("version") == F.col("_version")), "left_semi").drop("version")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import cosine, euclid, holds, inner
+from tessera.operators.cut import cut, few
+from tessera.sources.tabular import DETERMINISTIC
 
 
 def find(entities: DataFrame, name: str, limit: int) -> DataFrame:
@@ -32,13 +34,43 @@ def describe(entities: DataFrame, node: str) -> DataFrame:
     return entities.filter(F.col("id") == node).select("id", "type", "name", "attributes", "prov")
 
 
+def first_names(entities: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, name of the first record of each of the ``ids`` (column id); an empty name counts as none.
+
+    Entities are reduced to those ids before they are aggregated, by a broadcast where the ids are few.
+    """
+    order = F.col("ord") if "ord" in entities.columns else F.struct("prov.source", "prov.chunk", "type", "name")
+    own = entities.join(few(ids.select("id").distinct()), "id", "left_semi")
+    return own.groupBy("id").agg(F.min_by("name", order).alias("name")).filter("name <> ''")
+
+
+def touching(relations: DataFrame, node: str) -> DataFrame:
+    return relations.filter((F.col("from_id") == node) | (F.col("to_id") == node))
+
+
 def claims(entities: DataFrame, relations: DataFrame, node: str) -> DataFrame:
     """Every edge that touches a node, once, with the ends' names (their ids where unnamed) and its source."""
-    edges = relations.filter((F.col("from_id") == node) | (F.col("to_id") == node))
-    names = entities.groupBy("id").agg(F.first("name").alias("name"))
+    return _claimed(entities, touching(relations, node), [F.col("prov.source").alias("source"), F.col("prov.chunk").alias("chunk"), F.col("prov.producer").alias("producer")])
+
+
+def assertions(entities: DataFrame, relations: DataFrame, node: str) -> DataFrame:
+    """Claims with all of their provenance, one for each assertion."""
+    return _claimed(entities, touching(relations, node), [F.col("prov")])
+
+
+def _claimed(entities: DataFrame, edges: DataFrame, columns: list[Column]) -> DataFrame:
+    ids = edges.select(F.explode(F.array("from_id", "to_id")).alias("id"))
+    names = first_names(entities, ids)
     out = edges.join(names.select(F.col("id").alias("from_id"), F.col("name").alias("from_name")), "from_id", "left")
     out = out.join(names.select(F.col("id").alias("to_id"), F.col("name").alias("to_name")), "to_id", "left")
-    return out.select(F.coalesce("from_name", "from_id").alias("subject"), "type", F.coalesce("to_name", "to_id").alias("object"), "from_id", "to_id", F.col("prov.source").alias("source"), F.col("prov.chunk").alias("chunk"), F.col("prov.producer").alias("producer")).distinct()
+    return out.select(F.coalesce("from_name", "from_id").alias("subject"), "type", F.coalesce("to_name", "to_id").alias("object"), "from_id", "to_id", *columns).distinct()
+
+
+def rendered(claims: DataFrame) -> DataFrame:
+    """Claims with ``text``: ``A -[T]-> B (stated or inferred, producer) [source#chunk]``; a record without a chunk names its source only."""
+    stated = F.when(F.col("producer").isin(*DETERMINISTIC), "stated").otherwise("inferred")
+    place = F.concat("source", F.when(F.col("chunk") >= 0, F.concat(F.lit("#"), "chunk")).otherwise(F.lit("")))
+    return claims.withColumn("text", F.concat("subject", F.lit(" -["), "type", F.lit("]-> "), "object", F.lit(" ("), stated, F.lit(", "), "producer", F.lit(") ["), place, F.lit("]")))
 
 
 def contributions(entities: DataFrame, relations: DataFrame, node: str) -> DataFrame:
@@ -71,21 +103,54 @@ def vector_search(vectors: DataFrame, query: list[float], k: int, distance: str
     return q.filter(F.size(vector) == len(query)).select("idx", measure.alias("distance")).orderBy("distance", "idx").limit(k)
 
 
+def seeds_of(records: DataFrame, hits: DataFrame) -> DataFrame:
+    """id: entities that were read from the chunks of search hits (source, idx)."""
+    cited = records.select("id", F.col("prov.source").alias("source"), F.col("prov.chunk").alias("idx"))
+    return cited.join(few(hits.select("source", "idx").distinct()), ["source", "idx"], "left_semi").select("id").distinct()
+
+
 def around(seeds: DataFrame, relations: DataFrame, depth: int) -> DataFrame:
     """id, hop: nodes within ``depth`` edges of the seeds (column id), either direction, at their least hop.
 
-    One join per hop against edges kept by both ends; seen nodes leave by an anti join.
+    Each hop's frontier is written, and sent to the edges where it is small, so edges don't shuffle; seen nodes leave by an anti join.
     """
-    both = relations.select("from_id", "to_id").unionByName(relations.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))).distinct()
-    seen = seeds.select("id", F.lit(0).alias("hop")).distinct()
-    frontier = seen
+    seen = frontier = cut(seeds.select("id", F.lit(0).alias("hop")).distinct())
+    ends = relations.select("from_id", "to_id")
     for hop in range(1, depth + 1):
-        reached = frontier.select(F.col("id").alias("from_id")).join(both, "from_id").select(F.col("to_id").alias("id")).distinct()
-        frontier = reached.join(seen, "id", "left_anti").withColumn("hop", F.lit(hop))
+        here = few(frontier.select("id"))
+        out = ends.join(here, F.col("from_id") == F.col("id"), "left_semi").select(F.col("to_id").alias("id"))
+        back = ends.join(here, F.col("to_id") == F.col("id"), "left_semi").select(F.col("from_id").alias("id"))
+        frontier = cut(out.unionByName(back).distinct().join(seen, "id", "left_anti").select("id", F.lit(hop).alias("hop")))
         seen = seen.unionByName(frontier)
     return seen
 
 
+def subgraph(nodes: DataFrame, entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities of ``nodes`` (id) and the edges that touch one of them."""
+    ids = few(nodes.select("id").distinct())
+    edges = relations.join(ids.select(F.col("id").alias("_a")), F.col("from_id") == F.col("_a"), "left")
+    edges = edges.join(ids.select(F.col("id").alias("_b")), F.col("to_id") == F.col("_b"), "left").filter("_a is not null or _b is not null")
+    return entities.join(ids, "id", "left_semi"), edges.select(*relations.columns)
+
+
+class NoLoad(LookupError):
+    """The store has no such load."""
+
+
+def whole(store, load_id: str) -> tuple[DataFrame, DataFrame]:
+    """Entities and relations of one load; raises NoLoad."""
+    if not store.loads().filter((F.col("load_id") == load_id) & (F.col("state") == "complete")).limit(1).count():
+        raise NoLoad(load_id)
+    return store.read("entities", load_id), store.read("relations", load_id)
+
+
+def index_policy(rows: int) -> tuple[str, int]:
+    """How vectors should be searched: ``exact`` below 10,000 rows, else ``lists`` and how many (a thousandth, the root above a million)."""
+    if rows < 10_000:
+        return "exact", 0
+    return "lists", max(1, rows // 1000 if rows <= 1_000_000 else int(rows**0.5))
+
+
 def record_filter(rows: DataFrame, **wanted) -> DataFrame:
     """Conjunction of equalities, or memberships for lists, on columns or provenance fields."""
     for name, value in wanted.items():

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.cut import cut
 from tessera.operators.merge import merge_entities
 from tessera.operators.verify import deterministic
 
@@ -43,29 +42,26 @@ def reject(entities: DataFrame, relations: DataFrame, removed: DataFrame) -> tup
     return entities.join(gone, "id", "left_anti"), kept.select(*relations.columns)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by ``checkpoint()``; a folder of our own only where the session names none."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
-
-
 def survivors(merges: DataFrame) -> DataFrame:
     """(id, survivor) of ``merges`` (id, into), followed to the end; raises MergeCycle.
 
     Pointers double in length every round, so a chain of n merges takes about log2 n joins.
     """
-    at = _cut(merges.select("id", F.col("into").alias("survivor")).distinct())
+    at = cut(merges.select("id", F.col("into").alias("survivor")).distinct())
     n = at.count()
     if at.select("id").distinct().count() != n or at.filter("id = survivor").limit(1).count():
         raise MergeCycle("an entity is merged into itself or into two others")
+    # rows that have reached their end are left as they are
+    done, moving = None, at
     for _ in range(n.bit_length() + 1):
         ahead = at.select(F.col("id").alias("survivor"), F.col("survivor").alias("next"))
-        at = _cut(at.join(ahead, "survivor", "left").select("id", F.coalesce("next", "survivor").alias("survivor"), F.col("next").isNotNull().alias("moved")))
-        if not at.filter("moved").limit(1).count():
-            return at.select("id", "survivor")
-        at = at.select("id", "survivor")
+        step = cut(moving.join(ahead, "survivor", "left").select("id", F.coalesce("next", "survivor").alias("survivor"), F.col("next").isNotNull().alias("moved")))
+        ended = step.filter("not moved").select("id", "survivor")
+        done = ended if done is None else done.unionByName(ended)
+        moving = step.filter("moved").select("id", "survivor")
+        if not moving.limit(1).count():
+            return done
+        at = done.unionByName(moving)
     raise MergeCycle("merges form a circle")
 
 

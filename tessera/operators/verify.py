@@ -7,7 +7,7 @@ hand, so they are broadcast; everything else joins or aggregates on its keys.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import affixes, fold, fold_key
@@ -69,12 +69,13 @@ def not_allowed(ends: DataFrame, vocabulary: DataFrame, declared: DataFrame) ->
 def value_conflicts(claims: DataFrame, keys: list[str], kind: str) -> DataFrame:
     """Each distinct later value (folded) that differs from the first claim of its key, reported once.
 
-    ``claims`` has the keys, ``value`` and ``ord``. Two aggregations on the keys, no self join of rows.
+    ``claims`` has the keys, ``value`` and ``ord``. Aggregations on the keys and a join of what is left: no window holds a
+    hot key, and no rows are joined to each other.
     """
     each = claims.withColumn("_v", fold_key(F.col("value"))).groupBy(*keys, "_v").agg(F.min("ord").alias("ord"), F.min_by("value", "ord").alias("value"))
-    w = Window.partitionBy(*keys).orderBy("ord")
-    out = each.withColumn("left_value", F.first("value").over(w)).withColumn("_n", F.row_number().over(w)).filter("_n > 1")
-    return out.select(F.lit(kind).alias("kind"), *keys, "left_value", F.col("value").alias("right_value"), "ord")
+    first = each.groupBy(*keys).agg(F.min_by(F.struct("value", "_v"), "ord").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    out = each.join(first, keys).filter(F.col("_v") != F.col("_first._v"))
+    return out.select(F.lit(kind).alias("kind"), *keys, F.col("_first.value").alias("left_value"), F.col("value").alias("right_value"), "ord")
 
 
 def attribute_claims(entities: DataFrame) -> DataFrame:
@@ -92,34 +93,50 @@ def parallel_keys(relations: DataFrame) -> DataFrame:
     return rows.join(many, pair, "left").withColumn("edge_key", F.when(F.col("_n") > 1, F.col("key")).otherwise(F.lit(""))).drop("_n")
 
 
-def direction_conflicts(relations: DataFrame, two_way_types: list[str] = ()) -> DataFrame:
+def direction_conflicts(relations: DataFrame, two_way_types: list[str] = (), one_way_types: list[str] | None = None) -> DataFrame:
     """``relation_direction`` and ``contradiction`` of edges that run both ways between one pair.
 
-    Four slots per group, the first record of each direction and standing. Both slots of one standing
-    make a direction conflict, slots of different standing a contradiction; the one completed
-    earliest is reported, once per group and kind.
+    Only types that run one way are asked about: those of ``one_way_types`` (declared and not both ways) where given, else all
+    but ``two_way_types``. Four slots per group hold the first record of each direction and standing. Both slots of one standing
+    make a direction conflict, whose right side is the later one; slots of different standing a contradiction, whose left side is
+    the stated one. The one completed earliest is reported, once per group and kind.
     """
-    rows = parallel_keys(relations).filter(F.col("_lo") != F.col("_hi")).filter(~fold(F.col("type")).isin(*[t.lower() for t in two_way_types]) if two_way_types else F.lit(True))
+    name = fold(F.col("type"))
+    asked = name.isin(*[t.lower() for t in one_way_types]) if one_way_types is not None else ~name.isin(*[t.lower() for t in two_way_types]) if two_way_types else F.lit(True)
+    rows = parallel_keys(relations).filter(F.col("_lo") != F.col("_hi")).filter(asked)
     up, sure = F.col("from_id") == F.col("_lo"), deterministic()
-    slot = lambda c: F.min(F.when(c, F.col("ord")))
+    said = F.struct("ord", "from_id", "to_id", F.col("prov.producer").alias("producer"))
+    slot = lambda c: F.min_by(F.when(c, said), F.when(c, F.col("ord")))
     g = rows.groupBy("_lo", "_hi", "type", "edge_key").agg(slot(up & sure).alias("us"), slot(up & ~sure).alias("ui"), slot(~up & sure).alias("ds"), slot(~up & ~sure).alias("di"))
 
-    def earliest(*pairs: tuple[str, str]) -> Column:
-        both = [F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.greatest(a, b)) for a, b in pairs]
-        return F.least(*both)
+    def pair(kind: str, a: str, b: str) -> Column:
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        swap = (F.col(f"{a}.ord") > F.col(f"{b}.ord")) if kind == "relation_direction" else F.lit(False)
+        left, right = F.when(swap, F.col(b)).otherwise(F.col(a)), F.when(swap, F.col(a)).otherwise(F.col(b))
+        return F.when(both, F.struct(F.greatest(f"{a}.ord", f"{b}.ord").alias("ord"), F.lit(kind).alias("kind"), left["from_id"].alias("left_from"), left["to_id"].alias("left_to"), right["from_id"].alias("right_from"), right["to_id"].alias("right_to")))
 
-    same, other = earliest(("us", "ds"), ("ui", "di")), earliest(("us", "di"), ("ui", "ds"))
-    out = g.select(F.col("_lo").alias("low"), F.col("_hi").alias("high"), "type", "edge_key", F.explode(F.array(F.struct(F.lit("relation_direction").alias("kind"), same.alias("ord")), F.struct(F.lit("contradiction").alias("kind"), other.alias("ord")))).alias("c"))
-    return out.filter("c.ord is not null").select("c.kind", "low", "high", "type", "edge_key", "c.ord")
+    same = F.least(pair("relation_direction", "us", "ds"), pair("relation_direction", "ui", "di"))
+    other = F.least(pair("contradiction", "us", "di"), pair("contradiction", "ds", "ui"))
+    out = g.select(F.col("_lo").alias("low"), F.col("_hi").alias("high"), "type", "edge_key", F.explode(F.array(same, other)).alias("c"))
+    return out.filter("c is not null").select("c.kind", "low", "high", "type", "edge_key", "c.left_from", "c.left_to", "c.right_from", "c.right_to", "c.ord")
 
 
 def cardinality_conflicts(relations: DataFrame, at_most_one_in: list[str], at_most_one_out: list[str]) -> DataFrame:
     """Each further distinct other end of a node that may have one edge of the type only."""
-    outs = relations.filter(F.col("type").isin(*at_most_one_out)).select(F.col("from_id").alias("node"), "type", F.lit("out").alias("side"), F.col("to_id").alias("value"), "ord")
-    ins = relations.filter(F.col("type").isin(*at_most_one_in)).select(F.col("to_id").alias("node"), "type", F.lit("in").alias("side"), F.col("from_id").alias("value"), "ord")
-    each = outs.unionByName(ins).groupBy("node", "type", "side", "value").agg(F.min("ord").alias("ord"))
-    w = Window.partitionBy("node", "type", "side").orderBy("ord", "value")
-    return each.withColumn("left_value", F.first("value").over(w)).withColumn("_n", F.row_number().over(w)).filter("_n > 1").select(F.lit("cardinality").alias("kind"), "node", "type", "side", "left_value", F.col("value").alias("right_value"))
+    return cardinality_of(relations.withColumns({"at_most_one_in": F.col("type").isin(*at_most_one_in), "at_most_one_out": F.col("type").isin(*at_most_one_out)}))
+
+
+def cardinality_of(ruled: DataFrame) -> DataFrame:
+    """The same for relations that carry their type's at_most_one_in and at_most_one_out.
+
+    The first end of a node is found by aggregation and joined to the distinct others, so no window holds a hub.
+    """
+    sides = F.array(F.when(F.col("at_most_one_out"), F.struct(F.lit("out").alias("side"), F.col("from_id").alias("node"), F.col("to_id").alias("value"))), F.when(F.col("at_most_one_in"), F.struct(F.lit("in").alias("side"), F.col("to_id").alias("node"), F.col("from_id").alias("value"))))
+    each = ruled.select("type", "ord", F.explode(F.array_compact(sides)).alias("s")).groupBy("s.node", "type", "s.side", "s.value").agg(F.min("ord").alias("ord"))
+    keys = ["node", "type", "side"]
+    first = each.groupBy(*keys).agg(F.min_by("value", F.struct("ord", "value")).alias("left_value"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    out = each.join(first, keys).filter(F.col("value") != F.col("left_value"))
+    return out.select(F.lit("cardinality").alias("kind"), *keys, "left_value", F.col("value").alias("right_value"), "ord")
 
 
 def first_holders(entities: DataFrame) -> DataFrame:
@@ -139,13 +156,14 @@ def alias_duplicates(entities: DataFrame) -> DataFrame:
 
 
 def affix_duplicates(entities: DataFrame) -> DataFrame:
-    """``name_affix``: word beginnings or endings of a name that are another first holder's whole name.
+    """``name_affix``: word beginnings or endings of an entity's name that are a first holder's whole name.
 
-    Affixes are exploded and joined by equality; names are never compared in pairs.
+    Affixes are made once a name and joined by equality; names are never compared in pairs.
     """
     held = first_holders(entities)
-    longer = held.select("_t", F.col("held.id").alias("right_id"), F.explode(affixes(F.col("_n"))).alias("_n"))
-    return longer.join(held, ["_t", "_n"]).filter("held.id <> right_id").select(F.col("held.id").alias("left_id"), "right_id", F.lit("name_affix").alias("signal")).distinct()
+    stems = held.select("_t", F.col("_n").alias("_whole"), F.explode(affixes(F.col("_n"))).alias("_n")).join(held, ["_t", "_n"]).select("_t", F.col("_whole").alias("_n"), "held")
+    rows = entities.filter("name <> ''").select("id", fold_key(F.col("type")).alias("_t"), fold_key(F.col("name")).alias("_n"))
+    return rows.join(stems, ["_t", "_n"]).filter("held.id <> id").select(F.col("held.id").alias("left_id"), F.col("id").alias("right_id"), F.lit("name_affix").alias("signal")).distinct()
 
 
 def type_proposals(violations: DataFrame) -> DataFrame:

@@ -8,17 +8,16 @@ batches without a shuffle; each text's chunk indices count from 0.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_TOKENS, OVERLAP_DIVISOR = 1000, 10
-SCHEMA = "source string, idx int, text string, strategy string, heading string, start_byte int, end_byte int"
+SCHEMA = "source string, idx int, text string, strategy string, heading string, start_byte long, end_byte long"
 _HEADING = re.compile(r"(?m)^ {0,3}#{1,6}[ \t]+(?P<mark>[^\n]*?)[ \t#]*$|(?is:<h([1-6])\b[^>]*>(?P<tag>.*?)</h\2\s*>)")
 _BLANK = re.compile(r"\n[ \t\r]*\n[ \t\r\n]*")
 _SENTENCE = re.compile(r"(?:[.!?…]+[\"'”’)\]]*(?=\s|\Z)|[。！？]+[”’」』）]*)")
@@ -47,21 +46,32 @@ class Options:
 
 
 class Measured:
-    """A text with the running sum of its quarter tokens."""
+    """A text with the running sums of its quarter tokens and UTF-8 bytes (eight bytes a sign each; none for ASCII)."""
 
     def __init__(self, text: str) -> None:
         self.text = text
-        self.sums = [0, *accumulate(1 if c < "\x80" else 4 for c in text)]
+        self.sums = self.bytes = None
+        if not text.isascii():
+            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            self.sums = np.concatenate([[0], np.cumsum(np.where(codes < 0x80, 1, 4))])
+            self.bytes = np.concatenate([[0], np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))])
 
     def quarters(self, span: Span) -> int:
-        return self.sums[span[1]] - self.sums[span[0]]
+        return span[1] - span[0] if self.sums is None else int(self.sums[span[1]] - self.sums[span[0]])
+
+    def byte(self, at: int) -> int:
+        return at if self.bytes is None else int(self.bytes[at])
 
     def forward(self, start: int, quarters: int) -> int:
         """The last position that keeps start..position within the budget, at least one sign on."""
-        return max(start + 1, bisect_right(self.sums, self.sums[start] + quarters) - 1) if start < len(self.text) else start
+        if start >= len(self.text):
+            return start
+        if self.sums is None:
+            return max(start + 1, min(len(self.text), start + quarters))
+        return max(start + 1, int(np.searchsorted(self.sums, self.sums[start] + quarters, side="right")) - 1)
 
     def back(self, end: int, quarters: int) -> int:
-        return bisect_left(self.sums, self.sums[end] - quarters)
+        return max(0, end - quarters) if self.sums is None else int(np.searchsorted(self.sums, self.sums[end] - quarters))
 
 
 def _in_word(c: str) -> bool:
@@ -141,11 +151,11 @@ def packed(m: Measured, units: list[Span], o: Options) -> list[Span]:
     return [s if not i else (max(out[i - 1][0] + 1, min(s[0], m.back(s[0], 4 * o.overlap_tokens))), s[1]) for i, s in enumerate(out)]
 
 
-def split(text: str, o: Options) -> list[tuple[str, str, Span]]:
+def split(text: str, o: Options, measured: Measured | None = None) -> list[tuple[str, str, Span]]:
     """(strategy, heading, span) of every chunk; a blank text has none."""
     if not text.strip():
         return []
-    m, everything = Measured(text), (0, len(text))
+    m, everything = measured or Measured(text), (0, len(text))
     strategy = o.strategy
     if strategy == "auto":
         strategy = "heading" if _HEADING.search(text) else "paragraph" if len(paragraphs(text, everything)) > 1 else "fixed"
@@ -176,11 +186,11 @@ def chunks(df: DataFrame, options: Options, source: str = "source", text: str =
         for batch in batches:
             rows = []
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sizes = [0, *accumulate(len(c.encode("utf-8", "surrogatepass")) for c in t)] if t and not t.isascii() else None
-                for i, (strategy, heading, (a, b)) in enumerate(split(t or "", options)):
-                    rows.append((name, i, t[a:b], strategy, heading, sizes[a] if sizes else a, sizes[b] if sizes else b))
+                m = Measured(t or "")
+                for i, (strategy, heading, (a, b)) in enumerate(split(t or "", options, m)):
+                    rows.append((name, i, t[a:b], strategy, heading, m.byte(a), m.byte(b)))
             columns = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+            kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return df.select(F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)

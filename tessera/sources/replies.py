@@ -10,6 +10,7 @@ A null text is unread. Entities without a type or name and relations without a t
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,14 +34,23 @@ class Extracted:
     unread: DataFrame
 
 
+_MARKS = re.compile(r'[{}"\\]')
+
+
 def _objects(text: str) -> Iterator[str]:
     """Balanced brace spans in order of their beginning; braces inside double-quoted strings do not count."""
     ends: dict[int, int] = {}
     opened: list[int] = []
-    quoted = escaped = False
-    for i, c in enumerate(text):
+    quoted = False
+    passed = -2
+    for m in _MARKS.finditer(text):
+        i, c = m.start(), m.group()
         if quoted:
-            quoted, escaped = escaped or c != '"', not escaped and c == "\\"
+            escaped = passed == i - 1  # behind a backslash that is not itself escaped
+            if c == "\\" and not escaped:
+                passed = i
+            elif c == '"' and not escaped:
+                quoted = False
         elif c == '"' and opened:
             quoted = True
         elif c == "{":
@@ -57,7 +67,6 @@ def _objects(text: str) -> Iterator[str]:
 def decoded(text: str | None) -> str | None:
     """JSON text of the reply's object, or None."""
     import json
-    import re
 
     for part in _objects(text or ""):
         commas = re.sub(r",(\s*[}\]])", r"\1", part)
