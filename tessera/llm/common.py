@@ -39,6 +39,18 @@ def ensure_importable(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+def give_back() -> None:
+    """At the end of a task, return its worker's free memory to the system: the worker lives on for other stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where it is unset, a temporary one of our own if all runs on this machine."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, fresh, text_of
+from tessera.llm.common import Scratch, fresh, give_back, text_of
 from tessera.llm.skew import Members, components, keyed_join
 
 SIGNATURE, BATCH = 100, 20
@@ -117,6 +117,7 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
                     pending = 0
             flush()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out["n"], pa.int64()), pa.array(out["node"], pa.int64()), pa.array(out["sig"], pa.binary())], names=["doc_id", "mark", "n", "node", "sig"])
+        give_back()
 
     return docs.withColumn("mark", _mark(F.col("doc_id"), F.col("text"))).mapInArrow(scan, "doc_id long, mark long, n long, node long, sig binary")
 
@@ -192,6 +193,7 @@ def _candidate_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
             for i in range(0, len(texts), 200):
                 sets = [s for s in shingle_sets(texts[i : i + 200], width) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+        give_back()
 
     # the filter is asked inside the scan, so a task has one Python worker
     some = docs.select("text", *wanted.place(F.col("doc_id"))).mapInArrow(scan, "node long, shingles binary")
@@ -235,6 +237,7 @@ def _leftover(spread: DataFrame, leaders: DataFrame, own: DataFrame, sets: DataF
                                 joined[x] = y
                                 found.append((a["node"][i], b["node"][j]))
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+        give_back()
 
     blocks_of = F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("blocks")
     rows = keyed_join(spread.select("bucket", "node", "root"), leaders.select("bucket", F.col("leader.root").alias("main"), blocks_of), "bucket")

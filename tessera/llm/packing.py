@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, text_of
+from tessera.llm.common import Scratch, give_back, text_of
 
 SEQUENCE = 1024
 #: Partitions whose counts are summed before the driver sees them, and the most counts that are broadcast (else they are joined by shuffle).
@@ -80,6 +80,7 @@ def pack_documents(df: DataFrame, vocabulary: str, *, longest: int = SEQUENCE, e
                     seen[b] += len(at)
                 yield pa.RecordBatch.from_arrays([ids.slice(begin, len(counts)).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(sums, pa.int64()), pa.array(counts[doc]), pa.array(np.full(len(doc), part, np.int64)), pa.array(place)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "place"])
                 begin += len(counts)
+        give_back()
 
     rows = df.select(df[doc_id].cast("long").alias("doc_id"), text_of(df, text).alias("text")).mapInArrow(pieces, SCHEMA)
     scratch = Scratch(spark, "packing")

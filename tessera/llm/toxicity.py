@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, text_of
+from tessera.llm.common import Scratch, give_back, text_of
 
 FIT_TOXIC, FIT_CLEAN = 6_000, 12_000
 THRESHOLD = 0.7
@@ -207,6 +207,7 @@ def corpus_model(docs: DataFrame) -> CharModel:
             texts = batch.column(0).to_pylist()
             for i, j in chunks(texts, 200_000):
                 total += count_trigrams(texts[i:j])
+        give_back()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
 
@@ -324,6 +325,8 @@ class Scorer:
             for texts in batches:
                 yield pd.Series([score_text(t, model, evidence, memo) if t else BASE for t in texts], dtype=float)
             model.forget()
+            memo.clear()
+            give_back()
 
         return score(text)
 
