@@ -138,3 +138,22 @@ def gather(flat: np.ndarray, offsets: np.ndarray, lengths: np.ndarray) -> np.nda
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     return flat[np.repeat(offsets - (ends - lengths), lengths) + np.arange(total)]
+
+
+def deletion_hashes(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, place, hash) of each of the items that stand end to end in ``codes``: whole (place -1) and without each of its code points.
+
+    A prefix sum and a suffix sum, the latter moved back by one place, make the hash of a deletion.
+    """
+    up, down = _power_tables(1 << max(18, len(codes).bit_length()))
+    starts = np.cumsum(lengths) - lengths
+    item = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.arange(len(codes))
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(_code_values()[codes] * up[: len(codes)], out=total[1:])
+        whole = (total[starts + lengths] - total[starts]) * down[starts]
+        begin, end = starts[item], (starts + lengths)[item]
+        less = ((total[at] - total[begin]) + (total[end] - total[at + 1]) * down[1]) * down[begin]
+        hashes = np.concatenate([mix(whole ^ (lengths.astype(np.uint64) * _M3)), mix(less ^ ((lengths[item] - 1).astype(np.uint64) * _M3))])
+    return np.concatenate([np.arange(len(lengths)), item]), np.concatenate([np.full(len(lengths), -1), at - starts[item]]), hashes
