@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import check, merge, preflight
+from tessera.operators import check, merge
 from tessera.operators.cut import cut
 from tessera.operators.embed import worth
 from tessera.operators.numbering import numbered
@@ -122,7 +122,5 @@ def counted(result: Run) -> DataFrame:
 
 
 def stored(result: Run, store, load_id: str = "", replace: bool = False):
-    """Store a run's graph, with the counts that say what it is; preflight refuses what would lose data."""
-    graph = {k: v for k, v in result.graph.items()}
-    preflight.refuse(graph)
-    return store.load(load_id, {**graph, "counts": counted(result)}, replace)
+    """Store a run's graph, with the counts that say what it is; the store's preflight refuses what would lose data."""
+    return store.load(load_id, {**result.graph, "counts": counted(result)}, replace)

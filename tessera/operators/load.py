@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import datetime
+import json
+import time
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.functions.text import framed, same_text
+from tessera.operators.cut import few
+from tessera.operators.txlog import Conflict, Log
 
 
 def entity_defects(entities: DataFrame) -> DataFrame:
@@ -85,103 +91,197 @@ class Loaded:
     corroborated: int
 
 
-_LOADS = "load_id string, digest string, version string, state string, dimension int, model string, parts array<string>, at timestamp, seq long"
+#: Seconds after which the files of a load that was never finished may be removed.
+ABANDONED = 86_400
+_ENTRY = "load_id string, digest string, version string, state string, dimension int, model string, parts map<string,string>, rows map<string,long>, at string"
+_PROV = "struct<source:string,chunk:int,producer:string,model:string,ontology:string,chunking:string,confidence:double,reviewed_by:string,rule_set:string,ruled_by:string,by:string,at:string>"
+#: Columns of the kinds of records, for kinds that no load has yet.
+RECORDS = {
+    "entities": f"id string, type string, name string, attributes string, aliases array<string>, prov {_PROV}, ord long, others long",
+    "relations": f"from_id string, type string, to_id string, key string, attributes string, prov {_PROV}, ord long",
+    "chunks": "idx int, text string, source string, strategy string, heading string, start_byte long, end_byte long",
+    "vectors": "chunk int, values array<float>, model string, ord long",
+    "violations": "kind string, subject string, detail string, ord long",
+    "conflicts": "kind string, subject string, left_value string, right_value string, ord long",
+    "duplicates": "signal string, subject string, detail string, left_id string, right_id string, left_name string, right_name string",
+    "guesses": "about string, read_as string, alternatives array<string>, why string",
+    "unread": "source string, locator string, reason string",
+    "supersessions": "retired string, by string, at string, note string",
+    "rule_sets": "name string, rule string",
+}
 
 
 class Store:
-    """Parquet folders per kind, load and version, and a log of loads that is only ever appended to.
+    """Parquet folders per kind and version, and a transaction log that says which version each load has.
 
-    A load writes its records to folders of a new version; the log row that names the version is written last and makes it
-    visible, so readers see the old or the new graph, whole. Other loads are never touched. Replaced and deleted versions
-    stay until ``sweep``.
+    A load first logs its intent, writes its records to folders of a new version, checks and digests what was written, and then commits the
+    version under its name; the commit makes it visible, so readers see the old or the new graph, whole. Plans of the records run once. Of two
+    writers at once, one that meets the other's change of the same name, content or vector width decides anew. Names stand in the log only,
+    so any text is a name. Replaced and deleted versions, and those of loads that died, stay until ``sweep``.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
+        self.log = Log(spark, root)
 
-    def _log(self) -> DataFrame:
-        from pyspark.errors import AnalysisException
-
-        try:
-            return self.spark.read.schema(_LOADS).parquet(f"{self.root}/loads")
-        except AnalysisException:
-            return self.spark.createDataFrame([], _LOADS)
-
-    def _say(self, load_id: str, state: str, **values) -> None:
-        newest = self._log().agg(F.max("seq").alias("seq")).first()["seq"] or 0
-        row = {"digest": None, "version": None, "dimension": 0, "model": "", "parts": [], **values}
-        rows = self.spark.createDataFrame([(load_id, row["digest"], row["version"], state, row["dimension"], row["model"], row["parts"], None, newest + 1)], _LOADS)
-        rows.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.root}/loads")
+    def _entries(self, version: int | None = None) -> DataFrame:
+        rows = self.log.state(version).filter(F.col("key").startswith("load/"))
+        return rows.select(F.from_json("value", _ENTRY).alias("r"), F.col("version").alias("number")).select("r.*", "number")
 
     def loads(self) -> DataFrame:
-        """One row per load that is there: load_id, digest, version, state, dimension, model, parts, at."""
-        newest = self._log().groupBy("load_id").agg(F.max_by(F.struct("digest", "version", "state", "dimension", "model", "parts", "at"), "seq").alias("r"))
-        return newest.select("load_id", "r.*").filter("state <> 'deleted'")
+        """One row per load that is there: load_id, digest, version, state, dimension, model, parts, rows, at, number (of its commit)."""
+        return self._entries().withColumns({"parts": F.array_sort(F.map_keys("parts")), "at": F.col("at").cast("timestamp")})
+
+    def history(self) -> DataFrame:
+        """number, load_id, done (``begun``, ``written``, ``deleted`` or ``given up``) and rows by kind of everything that happened to loads, as far back as the log goes."""
+        rows = self.log.history().filter(F.col("key").startswith("load/") | F.col("key").startswith("writing/"))
+        entry, writing = F.from_json("value", _ENTRY), F.col("key").startswith("writing/")
+        told = rows.withColumn("e", entry).withColumn("first", F.first("e.load_id").over(Window.partitionBy("key").orderBy("version")))
+        finished = F.col("value").isNull() & writing
+        done = F.when(writing, "begun").when(F.col("value").isNull(), "deleted").otherwise("written")
+        # a writer's own commit ends its intent too: only an end without a load in the same commit is one given up
+        committed = told.filter(~writing).select("version").distinct().withColumn("_c", F.lit(True))
+        told = told.join(committed, "version", "left").filter(~(finished & F.coalesce("_c", F.lit(False))))
+        return told.select(F.col("version").alias("number"), F.coalesce("e.load_id", "first").alias("load_id"), F.when(finished, "given up").otherwise(done).alias("done"), "e.rows")
+
+    def _path(self, kind: str, version: str) -> str:
+        return f"{self.root}/{kind}/{version}"
 
     def load(self, load_id: str, records: dict[str, DataFrame], replace: bool = False) -> Loaded:
         """Store a graph under a name, or under one made of its content where the name is empty.
 
-        Defects that lose data refuse it (``preflight.refuse``), all named. The same content is not written again,
+        Defects that lose data refuse it (``preflight.refuse``), all named. The same content is not kept twice,
         whatever its name. Another graph under the name, or vectors of another width or model than the store holds, refuse it
         too, unless ``replace`` says that this load is to be exchanged.
         """
         from tessera.operators import preflight
 
-        preflight.refuse(records)
-        name = digest(records)
-        load_id = load_id or f"ld_{name[:24]}"
-        folded = records["entities"].agg((F.count("*") - F.count_distinct("id")).alias("n")).first()["n"]
-        same = self.loads().filter((F.col("digest") == name) & (F.col("state") == "complete")).agg(F.min("load_id").alias("load_id")).first()["load_id"]
-        if same:
-            return Loaded("converged", same, name, folded)
-        have = self.loads().filter((F.col("load_id") == load_id) & (F.col("state") == "complete")).limit(1).count()
-        if have and not replace:
-            raise Held(f"{load_id} holds a different graph")
-        dimension, model = self._bind(records.get("vectors"), load_id)
         version = uuid.uuid4().hex
-        parts = {k: v for k, v in records.items() if k != "entities"} | {"entities": corroborated(records["entities"])}
-        for kind, df in parts.items():
-            df.write.parquet(f"{self.root}/{kind}/load_id={load_id}/version={version}")
-        self._say(load_id, "complete", digest=name, version=version, dimension=dimension, model=model, parts=sorted(parts))
+        intent = f"writing/{version}"
+        self.log.commit({intent: json.dumps({"load_id": load_id, "at": time.time()})})
+        try:
+            written, rows = {}, {}
+            for kind, df in records.items():
+                df.write.parquet(self._path("staged" if kind == "entities" else kind, version))
+                written[kind] = self.spark.read.schema(df.schema).parquet(self._path("staged" if kind == "entities" else kind, version))
+            preflight.refuse(written)
+            name = digest(written)
+            load_id = load_id or f"ld_{name[:24]}"
+            first = corroborated(written["entities"])
+            first.write.parquet(self._path("entities", version))
+            self.log.folder.remove(f"staged/{version}")
+            parts = {k: df.schema.json() for k, df in written.items()} | {"entities": first.schema.json()}
+            kept = {k: self.spark.read.schema(StructType.fromJson(json.loads(v))).parquet(self._path(k, version)) for k, v in parts.items()}
+            rows = {k: df.count() for k, df in kept.items()}
+            folded = kept["entities"].agg(F.sum("others").alias("n")).first()["n"] or 0
+            width = self._width(kept.get("vectors"))
+            while True:
+                try:
+                    return self._finish(load_id, name, version, replace, parts, rows, folded, width)
+                except Conflict:
+                    continue
+        except BaseException:
+            self._give_up(version, [*records, "staged"])
+            raise
+
+    def _finish(self, load_id: str, name: str, version: str, replace: bool, parts: dict, rows: dict, folded: int, width: tuple[int, str]) -> Loaded:
+        """Decide on the newest snapshot whether the written version becomes the load, and commit that."""
+        seen = self.log.version()
+        mine, content, intent = f"load/{load_id}", f"content/{name}", f"writing/{version}"
+        state = {r["key"]: r["value"] for r in self.log.state(seen).filter(F.col("key").isin(mine, content, intent)).collect()}
+        if intent not in state:
+            raise Held("this load was swept as abandoned")
+        if content in state:
+            self._give_up(version, list(parts))
+            return Loaded("converged", json.loads(state[content])["load_id"], name, folded)
+        if mine in state and not replace:
+            raise Held(f"{load_id} holds a different graph")
+        dimension, model = width
+        changes = {content: json.dumps({"load_id": load_id}), intent: None}
+        if dimension:
+            changes["vectors"] = json.dumps({"dimension": dimension, "model": model})
+            other = self._entries(seen).filter((F.col("load_id") != load_id) & (F.col("dimension") > 0)).limit(1).collect()
+            if other and (other[0]["dimension"], other[0]["model"]) != width:
+                raise Held(f"vectors are {dimension} wide by {model!r}, the store holds {other[0]['dimension']} by {other[0]['model']!r}")
+        if mine in state:
+            changes[f"content/{json.loads(state[mine])['digest']}"] = None
+        at = datetime.datetime.now(datetime.UTC).isoformat()
+        changes[mine] = json.dumps({"load_id": load_id, "digest": name, "version": version, "state": "complete", "dimension": dimension, "model": model, "parts": parts, "rows": rows, "at": at})
+        self.log.commit(changes, seen)
         return Loaded("written", load_id, name, folded)
 
-    def _bind(self, vectors: DataFrame | None, load_id: str) -> tuple[int, str]:
-        """Width and model of a load's vectors; they must be those of the store's other loads."""
+    def _give_up(self, version: str, kinds: list[str]) -> None:
+        self.log.commit({f"writing/{version}": None})
+        for kind in kinds:
+            self.log.folder.remove(f"{kind}/{version}")
+
+    @staticmethod
+    def _width(vectors: DataFrame | None) -> tuple[int, str]:
+        """Width and model of a load's vectors."""
         if vectors is None:
             return 0, ""
         model = F.min("model") if "model" in vectors.columns else F.lit("")
-        mine = vectors.agg(F.max(F.size("values")).alias("width"), model.alias("model")).first()
-        if mine["width"] is None:
-            return 0, ""
-        other = self.loads().filter((F.col("load_id") != load_id) & (F.col("dimension") > 0)).limit(1).collect()
-        if other and (other[0]["dimension"], other[0]["model"]) != (mine["width"], mine["model"] or ""):
-            raise Held(f"vectors are {mine['width']} wide by {mine['model']!r}, the store holds {other[0]['dimension']} by {other[0]['model']!r}")
-        return mine["width"], mine["model"] or ""
+        row = vectors.agg(F.max(F.size("values")).alias("width"), model.alias("model")).first()
+        return (0, "") if row["width"] is None else (row["width"], row["model"] or "")
 
     def delete(self, load_id: str) -> bool:
         """Make a load invisible; False if it is not there."""
-        there = self.loads().filter(F.col("load_id") == load_id).limit(1).count() > 0
-        if there:
-            self._say(load_id, "deleted")
-        return there
-
-    def sweep(self) -> int:
-        """Remove the folders of versions that no load names any more; returns how many."""
-        context = self.spark.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path
-        fs = path(self.root).getFileSystem(context._jsc.hadoopConfiguration())
-        named = {(r["load_id"], r["version"]) for r in self.loads().select("load_id", "version").toLocalIterator()}
-        gone = 0
-        for s in fs.globStatus(path(f"{self.root}/*/load_id=*/version=*")) or []:
-            at = s.getPath()
-            if (at.getParent().getName().removeprefix("load_id="), at.getName().removeprefix("version=")) not in named:
-                fs.delete(at, True)
-                gone += 1
-        return gone
+        while True:
+            seen = self.log.version()
+            there = self.log.state(seen).filter(F.col("key") == f"load/{load_id}").collect()
+            if not there:
+                return False
+            try:
+                self.log.commit({f"load/{load_id}": None, f"content/{json.loads(there[0]['value'])['digest']}": None}, seen)
+                return True
+            except Conflict:
+                continue
+
+    def sweep(self, abandoned: float = ABANDONED) -> int:
+        """Remove the folders of versions that no load names and no writer is at work on; returns how many.
+
+        A writer whose intent is older than ``abandoned`` seconds loses it first, so it can't commit any more. Folders are listed before the log is read, and
+        an intent is logged before any folder is made: whatever a writer has begun by then is known.
+        """
+        found = [(kind, v) for kind in self.log.folder.names() if kind != "log" for v in self.log.folder.names(kind)]
+        seen = self.log.version()
+        writing = self.log.state(seen).filter(F.col("key").startswith("writing/")).collect()
+        late = {r["key"]: None for r in writing if json.loads(r["value"])["at"] <= time.time() - abandoned}
+        if late:
+            try:
+                seen = self.log.commit(late, seen)
+            except Conflict:
+                return self.sweep(abandoned)
+        busy = {r["key"].removeprefix("writing/") for r in writing if r["key"] not in late}
+        named = {r["version"] for r in self._entries(seen).select("version").toLocalIterator()} | busy
+        gone = [(kind, v) for kind, v in found if v not in named]
+        for kind, v in gone:
+            self.log.folder.remove(f"{kind}/{v}")
+        return len(gone)
 
     def read(self, kind: str, load_id: str | None = None) -> DataFrame:
-        """Records of complete loads (or of one) with their load_id; load and version are partitions, so files of others are not read."""
-        rows = self.spark.read.option("basePath", f"{self.root}/{kind}").parquet(f"{self.root}/{kind}/load_id={load_id or '*'}/version=*")
-        done = self.loads().filter("state = 'complete'").select(F.col("load_id").alias("_load"), F.col("version").alias("_version"))
-        rows = rows.withColumn("load_id", F.col("load_id").cast("string"))
-        return rows.join(F.broadcast(done), (F.col("load_id") == F.col("_load")) & (F.col("version") == F.col("_version")), "left_semi").drop("version")
+        """Records of complete loads (or of one) with their load_id; only their own folders are listed and read.
+
+        Loads with other columns are united by name. A kind that no load has is an empty table.
+        """
+        rows = self._entries().select("load_id", "version", F.col("parts")[kind].alias("part"))
+        rows = rows.filter("part is not null")
+        loads = (rows.filter(F.col("load_id") == load_id) if load_id is not None else rows).collect()
+        if not loads:
+            like = rows.limit(1).collect()
+            empty = self.spark.createDataFrame([], StructType.fromJson(json.loads(like[0]["part"]))) if like else self.spark.createDataFrame([], RECORDS.get(kind, "load_id string"))
+            return empty.withColumn("load_id", F.lit(None).cast("string"))
+        names = {l["version"]: l["load_id"] for l in loads}
+        out = None
+        for part in sorted({l["part"] for l in loads}):
+            versions = sorted(l["version"] for l in loads if l["part"] == part)
+            schema = StructType.fromJson(json.loads(part))
+            got = self.spark.read.schema(schema).parquet(*[self._path(kind, v) for v in versions])
+            if len(versions) == 1:
+                got = got.withColumn("load_id", F.lit(names[versions[0]]))
+            else:
+                version = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+                table = self.spark.createDataFrame([(v, names[v]) for v in versions], "_version string, load_id string")
+                got = got.select("*", version.alias("_version")).join(few(table), "_version").drop("_version")
+            out = got if out is None else out.unionByName(got, allowMissingColumns=True)
+        return out

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tessera.plans import checks, graph, ingest, workflow  # noqa: F401
+from tessera.plans import checks, graph, ingest, stores, workflow  # noqa: F401
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
