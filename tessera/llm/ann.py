@@ -13,8 +13,9 @@ scale and the length of that part, so neither a common offset nor uneven norms c
 which keeps the groups of popular (long) vectors small.
 
 Search: each distinct query vector begins with its own list and the ``LONGEST`` longest vectors, expands
-the nearest unexpanded nodes of its beam in each hop by joins to the graph, and is done when the nearer half of
-its beam is expanded; hops go on while any query has an open node. Found nodes are scored in double
+the nearest unexpanded nodes of its beam (up to a quarter of it) in each hop by joins to the graph, which is bucketed by node so that only beams shuffle, and is done when
+the nearer half of its beam is expanded; hops go on while any query has an open node. ``CHECKED`` queries are compared with all vectors first, in one
+scan, and searched with a beam that is widened by half until they have found ``TARGET`` of their nearest; the others take that width: no size or kind of table keeps a narrow beam that loses too much. Found nodes are scored in double
 precision on the original vectors and widened to all ids of a node that can matter.
 
 Left out: null vectors, those with null or non-finite components, zero vectors and vectors of another
@@ -27,19 +28,22 @@ far while lists are made. An empty table gives no rows. Other columns are ignore
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, partitions
 from tessera.llm.skew import keyed_join
 
 TREES, LEAF, KEEP, SAMPLE = 5, 100, 40, 16
-BEAM, EXPAND, LONGEST = 96, 16, 48
+BEAM, LONGEST = 96, 48
+#: Queries whose nearest are also found by comparing them with every vector, the share of these that the search must reach, and the widest beam.
+CHECKED, TARGET, WIDEST = 256, 0.96, 4096
 #: Share of list entries changed by a round below which NN-descent has converged.
 STILL = 0.01
 #: Offers that a task merges at once.
@@ -348,11 +352,22 @@ def build_graph(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, Coder]
             return graph.select("node", "point", "near", "sim"), coder
 
 
-def _turn(beam: np.ndarray, score: np.ndarray, done: np.ndarray, k: int) -> tuple:
-    """The BEAM nearest, with those to expand now marked as done."""
-    at = np.lexsort((beam, -score))[: max(BEAM, 3 * k)]
+@contextmanager
+def _by_node(graph: DataFrame, scratch: Scratch) -> Iterator[DataFrame]:
+    """The graph written once in buckets by node, as many as a shuffle has partitions: joins on node move only their other side."""
+    spark, name, n = graph.sparkSession, f"ann_{uuid.uuid4().hex}", partitions(graph.sparkSession)
+    graph.repartition(n, "node").write.bucketBy(n, "node").sortBy("node").option("path", scratch.path("by-node")).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def _turn(beam: np.ndarray, score: np.ndarray, done: np.ndarray, width: int) -> tuple:
+    """The nearest, twice as many as are to be expanded, with those to expand now marked as done."""
+    at = np.lexsort((beam, -score))[: 2 * width]
     beam, score, done = beam[at], score[at], done[at].copy()
-    go = np.flatnonzero(~done[: max(k + 4, BEAM // 2)])[:EXPAND]
+    go = np.flatnonzero(~done[:width])[: width // 2]
     done[go] = True
     return beam, score, done, beam[go]
 
@@ -362,51 +377,105 @@ def _states(nodes: list, points: pa.Array, found: list[tuple]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), points, *beams], names=["node", "point", "beam", "score", "done", "go"])
 
 
+def exact_nodes(checked: DataFrame, vectors: DataFrame, coder: Coder, k: int) -> DataFrame:
+    """query, node: the ``k`` nearest of each query node of ``checked`` (node, vec; at most CHECKED rows), by comparison with all vectors."""
+    rows = checked.toArrow()
+    mine, x = rows["node"].to_numpy(), coder.scaled(rows["vec"].combine_chunks()) if rows.num_rows else None
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, score = np.zeros((len(mine), 0), np.int64), np.zeros((len(mine), 0))
+        for batch in batches:
+            if len(batch):
+                nodes = batch["node"].to_numpy()
+                sims = x @ coder.scaled(batch["vec"]).T
+                sims[mine[:, None] == nodes[None, :]] = -np.inf
+                score = np.concatenate([score, sims], 1)
+                node = np.concatenate([node, np.broadcast_to(nodes, sims.shape)], 1)
+                most = min(k, score.shape[1])
+                at = np.argpartition(-score, most - 1, axis=1)[:, :most]
+                node, score = np.take_along_axis(node, at, 1), np.take_along_axis(score, at, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(mine, node.shape[1])), pa.array(node.ravel()), pa.array(score.ravel())], names=["query", "node", "score"])
+
+    found = vectors.select("node", "vec").mapInArrow(compare, "query long, node long, score double").filter("score > double('-infinity')")
+    best = found.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "node"))), 1, k).alias("b"))
+    return best.select("query", F.explode("b.node").alias("node"))
+
+
 def search(queries: DataFrame, graph: DataFrame, coder: Coder, vectors: DataFrame, scratch: Scratch, k: int) -> DataFrame:
-    """query, node: nodes found near each query node (column node of ``queries``, distinct)."""
+    """query, node: nodes found near each query node (column node of ``queries``, distinct).
+
+    The checked queries alone are searched with wider and wider beams until they have found TARGET of their nearest; then all
+    are searched with that width. So recall doesn't fall as tables grow, and no query is searched twice but those few.
+    """
     # lists of long vectors lead to those of large inner product; a constant number of them
     size = F.aggregate(F.transform("vec", lambda x: (x.cast("double") / coder.largest) ** 2), F.lit(0.0), lambda s, x: s + x)
     longest = vectors.orderBy(F.desc(size), "node").limit(LONGEST).select("node").join(graph.select("node", "point"), "node").toArrow()
     hubs = longest["node"].to_numpy()
     hub_points = coder.points(longest["point"].combine_chunks()) if len(hubs) else None
 
-    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                sims, found = coder.points(batch["point"]) @ hub_points.T, []
-                for node, near, sim, far in zip(batch["node"].to_pylist(), batch["near"].to_pylist(), batch["sim"].to_pylist(), sims, strict=True):
-                    beam = np.array([*near, *hubs], np.int64)
-                    _, first = np.unique(beam, return_index=True)
-                    first = first[beam[first] != node]
-                    score = np.concatenate([np.array(sim, np.float32), far]).astype(np.float32)
-                    found.append(_turn(beam[first], score[first], np.zeros(len(first), bool), k))
+    def begin(width: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if len(batch):
+                    sims, found = coder.points(batch["point"]) @ hub_points.T, []
+                    for node, near, sim, far in zip(batch["node"].to_pylist(), batch["near"].to_pylist(), batch["sim"].to_pylist(), sims, strict=True):
+                        beam = np.array([*near, *hubs], np.int64)
+                        _, first = np.unique(beam, return_index=True)
+                        first = first[beam[first] != node]
+                        score = np.concatenate([np.array(sim, np.float32), far]).astype(np.float32)
+                        found.append(_turn(beam[first], score[first], np.zeros(len(first), bool), width))
+                    yield _states(batch["node"].to_pylist(), batch["point"], found)
+
+        return run
+
+    def go_on(width: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = []
+                for i, point in enumerate(batch["point"]):
+                    beam, score, done = (batch[c][i].values.to_numpy(zero_copy_only=False) for c in ("beam", "score", "done"))
+                    met = batch["met"][i] if "met" in batch.schema.names else None
+                    if met is None:  # a wider beam: what was to be expanded still is
+                        done = done & ~np.isin(beam, batch["go"][i].values.to_numpy())
+                    elif met.is_valid and len(met.values):
+                        sims = coder.points(met.values.field(1)) @ coder.points(pa.array([point.as_py()]))[0]
+                        beam, score = np.concatenate([beam, met.values.field(0).to_numpy()]), np.concatenate([score, sims.astype(np.float32)])
+                        done = np.concatenate([done, np.zeros(len(sims), bool)])
+                    found.append(_turn(beam, score, done, width))
                 yield _states(batch["node"].to_pylist(), batch["point"], found)
 
-    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for i, point in enumerate(batch["point"]):
-                beam, score, done = (batch[c][i].values.to_numpy(zero_copy_only=False) for c in ("beam", "score", "done"))
-                met = batch["met"][i]
-                if met.is_valid and len(met.values):
-                    sims = coder.points(met.values.field(1)) @ coder.points(pa.array([point.as_py()]))[0]
-                    beam, score = np.concatenate([beam, met.values.field(0).to_numpy()]), np.concatenate([score, sims.astype(np.float32)])
-                    done = np.concatenate([done, np.zeros(len(sims), bool)])
-                found.append(_turn(beam, score, done, k))
-            yield _states(batch["node"].to_pylist(), batch["point"], found)
-
-    begun = graph.join(queries.select("node"), "node", "left_semi")
-    state, hop = scratch.table(begun.mapInArrow(begin, _STATE), "search-0"), 0
-    while state.filter("size(go) > 0").limit(1).count():
-        go = state.select(F.col("node").alias("query"), F.explode("go").alias("node"))
-        near = go.join(graph.select("node", "near"), "node").groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-        new = near.join(state.select(F.col("node").alias("query"), "beam"), "query").select("query", F.explode(F.array_except("near", F.concat("beam", F.array("query")))).alias("node"))
-        met = new.join(graph.select("node", "point"), "node").groupBy(F.col("query").alias("node")).agg(F.collect_list(F.struct("node", "point")).alias("met"))
-        hop += 1
-        state = scratch.table(state.join(met, "node", "left").mapInArrow(go_on, _STATE), f"search-{hop}")
-        scratch.drop(f"search-{hop - 1}")
-    found = F.concat(F.slice("beam", 1, max(2 * k + 8, BEAM // 2)), F.array("node"))
-    return state.select(F.col("node").alias("query"), F.explode(found).alias("node"))
+        return run
+
+    def settled(state: DataFrame, name: str, width: int, open_: int = 0) -> DataFrame:
+        """States after hops until at most ``open_`` queries have an open node."""
+        hop = 0
+        state = scratch.table(state, f"{name}-0")
+        while state.filter("size(go) > 0").limit(open_ + 1).count() > open_:
+            go = state.select(F.col("node").alias("query"), F.explode("go").alias("node"))
+            near = go.join(graph.select("node", "near"), "node").groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+            new = near.join(state.select(F.col("node").alias("query"), "beam"), "query").select("query", F.explode(F.array_except("near", F.concat("beam", F.array("query")))).alias("node"))
+            met = new.join(graph.select("node", "point"), "node").groupBy(F.col("query").alias("node")).agg(F.collect_list(F.struct("node", "point")).alias("met"))
+            hop += 1
+            state = scratch.table(state.join(met, "node", "left").mapInArrow(go_on(width), _STATE), f"{name}-{hop}")
+            scratch.drop(f"{name}-{hop - 1}")
+        return state
+
+    def found(state: DataFrame, width: int) -> DataFrame:
+        return state.select(F.col("node").alias("query"), F.explode(F.slice("beam", 1, max(2 * k + 8, width))).alias("node"))
+
+    width = max(BEAM // 2, k + 4)
+    few = scratch.table(queries.select("node").orderBy(F.xxhash64("node"), "node").limit(CHECKED), "checked")
+    truth = scratch.table(exact_nodes(vectors.join(F.broadcast(few), "node", "left_semi"), vectors, coder, k), "truth")
+    wanted = truth.count()
+    state = settled(graph.join(F.broadcast(few), "node", "left_semi").mapInArrow(begin(width), _STATE), f"check-{width}", width, CHECKED // 8)
+    while truth.join(found(state, width), ["query", "node"]).count() < TARGET * wanted and width < WIDEST:
+        width = width * 3 // 2
+        state = settled(state.mapInArrow(go_on(width), _STATE), f"check-{width}", width, CHECKED // 8)
+    if queries.limit(CHECKED + 1).count() <= CHECKED:
+        state = settled(state, "search", width)
+    else:
+        state = settled(graph.join(queries.select("node"), "node", "left_semi").mapInArrow(begin(width), _STATE), "search", width)
+    return found(state, width).unionByName(state.select(F.col("node").alias("query"), "node"))
 
 
 def nearest(df: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -415,7 +484,8 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id",
     ids, vectors = distinct_vectors(df, vec_id, vector, scratch)
     asked = scratch.table(ids.filter(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("node").alias("node")), "asked")
     graph, coder = build_graph(vectors, scratch)
-    found = scratch.table(search(asked.select("node").distinct(), graph, coder, vectors, scratch, k), "found")
+    with _by_node(graph, scratch) as graph:
+        found = scratch.table(search(asked.select("node").distinct(), graph, coder, vectors, scratch, k), "found")
     dot = F.aggregate(F.zip_with("query_vec", "vec", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     scored = found.join(vectors, "node").join(vectors.select(F.col("node").alias("query"), F.col("vec").alias("query_vec")), "query").select("query", "node", dot.alias("score"))
     # of each node only the k + 1 smallest ids can be among a query's k nearest; salted, then merged
