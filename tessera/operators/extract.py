@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import check, merge
+from tessera.operators.budget import ask_within
 from tessera.operators.cut import cut
 from tessera.operators.embed import worth
 from tessera.operators.numbering import numbered
@@ -82,18 +83,24 @@ class Run:
     accounts: DataFrame
 
 
-def run(chunks: DataFrame, model: Model, name: str, told: str, *, vocabulary: check.Vocabulary | None = None, standing: DataFrame | None = None, calls: int | None = None) -> Run:
-    """Ask, read, merge and check ``chunks`` (source, idx, text)."""
+def run(chunks: DataFrame, model: Model, name: str, told: str, *, vocabulary: check.Vocabulary | None = None, standing: DataFrame | None = None, calls: int | None = None, budget: int | None = None) -> Run:
+    """Ask, read, merge and check ``chunks`` (source, idx, text), within a number of calls or a budget of tokens (``budget.ask_within``)."""
     rows = worth(chunks).withColumn("address", answer_address(F.lit(told), F.lit(name), F.lit(vocabulary.ontology if vocabulary else ""), F.lit(PROMPT), F.col("text")))
     spark = chunks.sparkSession
     old = standing if standing is not None else spark.createDataFrame([], "address string, text string, stored_at timestamp")
     known, open_ = cached(rows.select("address").distinct(), old)
     open_, over = within_budget(open_, calls, ["address"])
     texts = rows.groupBy("address").agg(F.first("text").alias("text"))
-    fresh = cut(asked(prompts(open_.join(texts, "address"), told), model, name))  # calls are made once, however often their replies are read
+    wanted = prompts(open_.join(texts, "address"), told)
+    if budget is None:
+        fresh = cut(asked(wanted, model, name))  # calls are made once, however often their replies are read
+    else:
+        spent = ask_within(wanted, lambda rows: asked(rows, model, name), budget)
+        fresh = spent.answers.withColumn("failed", F.lit(None).cast("string"))
+        over = spent.left.join(open_.select("address"), "address", "left_semi").unionByName(over.select("address", F.lit("the budget is spent").alias("reason")))
     replies = known.select("address", F.lit(name).alias("model"), "text").unionByName(fresh.filter("failed is null").select("address", "model", "text"))
     read = read_replies(rows.select("source", F.col("idx").alias("chunk"), "address").join(replies, "address").select("source", "chunk", "model", "text"))
-    lost = fresh.filter("failed is not null").select("address", F.col("failed").alias("reason")).unionByName(over.select("address", F.lit("the budget is spent").alias("reason")))
+    lost = fresh.filter("failed is not null").select("address", F.col("failed").alias("reason")).unionByName(over if "reason" in over.columns else over.select("address", F.lit("the budget is spent").alias("reason")))
     unread = read.unread.unionByName(rows.join(lost, "address").select("source", F.concat(F.lit("chunk "), "idx").alias("locator"), "reason"))
     entities, clashes = merge.merge_entities(read.entities)
     entities = cut(entities.join(read.entities.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("aliases")))).alias("aliases")), "id"))

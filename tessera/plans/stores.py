@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import leases, load
+from tessera.functions.text import token_estimate
+from tessera.operators import budget, leases, load, messages
 from tessera.operators.cut import cut
-from tessera.plans.graph import all_entities, all_relations, query
+from tessera.plans.graph import all_entities, all_relations, query, table
 from tessera.plans.workflow import _JOBS, _NOW, _jobs
 
 
@@ -39,8 +40,35 @@ SELECT j.job_id::VARCHAR AS job_id, CASE WHEN r <= 80 THEN 'RUNNING' ELSE state
 FROM {_JOBS} j LEFT JOIN free ON free.job_id = j.job_id""")
 def job_claim_committed(spark, d):
     """All jobs after two workers have claimed forty each through one log."""
-    table = leases.Leases(spark, folder(spark, "leases"))
-    table.add(_jobs(spark, d))
+    held = leases.Leases(spark, folder(spark, "leases"))
+    held.add(_jobs(spark, d))
     for holder in ("a", "b"):
-        table.claim(holder, F.lit(_NOW).cast("timestamp"), 30, 40)
-    return table.table().select("job_id", "state", "fence", "holder")
+        held.claim(holder, F.lit(_NOW).cast("timestamp"), 30, 40)
+    return held.table().select("job_id", "state", "fence", "holder")
+
+
+def _mail(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, customers and orders as records of a result, in order."""
+    docs = table(spark, d, "documents").select(F.lit(1).alias("kind_no"), F.col("doc_id").alias("ord"), F.octet_length("text").alias("size"))
+    people = table(spark, d, "customer").select(F.lit(2).alias("kind_no"), F.col("c_custkey").alias("ord"), F.octet_length(F.concat("c_name", "c_mktsegment")).alias("size"))
+    orders = table(spark, d, "orders").select(F.lit(3).alias("kind_no"), F.col("o_orderkey").alias("ord"), F.octet_length(F.concat("o_orderstatus", "o_orderpriority")).alias("size"))
+    return docs.unionByName(people).unionByName(orders)
+
+
+_MAIL = """(SELECT *, row_number() OVER (ORDER BY kind_no, ord) AS r, sum(size) OVER (ORDER BY kind_no, ord) AS upto FROM (SELECT 1 AS kind_no, doc_id AS ord, coalesce(octet_length(encode(text)), 0) AS size FROM documents
+UNION ALL SELECT 2, c_custkey, octet_length(encode(c_name || c_mktsegment)) FROM customer UNION ALL SELECT 3, o_orderkey, octet_length(encode(o_orderstatus || o_orderpriority)) FROM orders))"""
+
+
+@query(f"""WITH RECURSIVE m AS {_MAIL}, s AS (SELECT 1::BIGINT AS page, 0::HUGEINT AS sent UNION ALL SELECT page + 1, (SELECT max(upto) FROM m WHERE upto <= sent + 262144) FROM s WHERE (SELECT max(upto) FROM m) > sent + 262144)
+SELECT kind_no, ord, page FROM m ASOF JOIN s ON m.upto > s.sent""")
+def export_byte_pages(spark, d):
+    """Every record's message of at most 256 KiB."""
+    return messages.byte_pages(_mail(spark, d), ["kind_no", "ord"], F.col("size"), 1 << 18).select("kind_no", "ord", "page")
+
+
+@query("""SELECT doc_id, CAST(sum(cost) OVER (ORDER BY doc_id) AS BIGINT) AS total, sum(cost) OVER (ORDER BY doc_id) <= (SELECT sum(cost) / 3 FROM t) AS admitted FROM t""".replace(" FROM t", " FROM (SELECT doc_id, CAST(ceil((length(coalesce(text, '')) + 3 * length(regexp_replace(coalesce(text, ''), '[\\x00-\\x7F]', '', 'g'))) / 4.0) AS BIGINT) AS cost FROM documents) t"))
+def extract_budget(spark, d):
+    """Documents that fit in a third of all tokens, in order of their ids, with the running sum."""
+    docs = table(spark, d, "documents").select("doc_id", token_estimate(F.coalesce("text", F.lit(""))).alias("cost"))
+    third = docs.agg((F.sum("cost") / 3).cast("long").alias("n")).first()["n"]
+    return budget.running_total(budget.admit(docs, third, ["doc_id"], F.col("cost")), ["doc_id"], F.col("cost")).select("doc_id", "total", "admitted")
