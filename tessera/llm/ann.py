@@ -13,7 +13,7 @@ scale and the length of that part, so neither a common offset nor uneven norms c
 which keeps the groups of popular (long) vectors small.
 
 Search: each distinct query vector begins with its own list and the ``LONGEST`` longest vectors, expands
-the nearest unexpanded nodes of its beam (up to a quarter of it) in each hop by joins to the graph, which is bucketed by node so that only beams shuffle, and is done when
+the nearest unexpanded nodes of its beam (an eighth of it) in each hop by joins to the graph, which is bucketed by node so that only beams shuffle, and is done when
 the nearer half of its beam is expanded; hops go on while any query has an open node. ``CHECKED`` queries are compared with all vectors first, in one
 scan, and searched with a beam that is widened by half until they have found ``TARGET`` of their nearest; the others take that width: no size or kind of table keeps a narrow beam that loses too much. Found nodes are scored in double
 precision on the original vectors and widened to all ids of a node that can matter.
@@ -43,7 +43,7 @@ from tessera.llm.skew import keyed_join
 TREES, LEAF, KEEP, SAMPLE = 5, 100, 40, 16
 BEAM, LONGEST = 96, 48
 #: Queries whose nearest are also found by comparing them with every vector, the share of these that the search must reach, and the widest beam.
-CHECKED, TARGET, WIDEST = 256, 0.96, 4096
+CHECKED, TARGET, WIDEST = 256, 0.95, 4096
 #: Share of list entries changed by a round below which NN-descent has converged.
 STILL = 0.01
 #: Offers that a task merges at once.
@@ -367,7 +367,7 @@ def _turn(beam: np.ndarray, score: np.ndarray, done: np.ndarray, width: int) ->
     """The nearest, twice as many as are to be expanded, with those to expand now marked as done."""
     at = np.lexsort((beam, -score))[: 2 * width]
     beam, score, done = beam[at], score[at], done[at].copy()
-    go = np.flatnonzero(~done[:width])[: width // 2]
+    go = np.flatnonzero(~done[:width])[: max(16, width // 4)]
     done[go] = True
     return beam, score, done, beam[go]
 

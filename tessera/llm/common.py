@@ -16,16 +16,17 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of one Arrow batch; a longer row is a batch by itself.
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+#: Rows and bytes of one Arrow batch; a longer row is a batch by itself. Shuffle files go when the action that made them ends, not when the
+#: driver happens to collect its garbage: what later steps read is written as tables.
+SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 _own_folder: dict[str, str] = {}
 
 
 def ensure_importable(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver found it, and bound Arrow batches by bytes.
+    """Let Python workers import this package wherever the driver found it, bound Arrow batches by bytes, and drop shuffle files early.
 
-    Results are lazy and Spark reads the two limits when they are planned, so they are set for the session, but only
+    Results are lazy and Spark reads these settings when they are planned, so they are set for the session, but only
     where its user left them unset.
     """
     root = str(Path(__file__).resolve().parents[2])
@@ -34,7 +35,7 @@ def ensure_importable(spark: SparkSession) -> None:
     if root not in have:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, env.get("PYTHONPATH", "").split(os.pathsep))])
     own = spark.conf.getAll
-    for key, value in ARROW.items():
+    for key, value in SETTINGS.items():
         if key not in own:
             spark.conf.set(key, value)
 
