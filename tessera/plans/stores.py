@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import token_estimate
-from tessera.operators import budget, leases, load, messages
+from tessera.operators import budget, leases, lists, load, messages, sink
 from tessera.operators.cut import cut
 from tessera.plans.graph import all_entities, all_relations, query, table
 from tessera.plans.workflow import _JOBS, _NOW, _jobs
@@ -72,3 +72,22 @@ def extract_budget(spark, d):
     docs = table(spark, d, "documents").select("doc_id", token_estimate(F.coalesce("text", F.lit(""))).alias("cost"))
     third = docs.agg((F.sum("cost") / 3).cast("long").alias("n")).first()["n"]
     return budget.running_total(budget.admit(docs, third, ["doc_id"], F.col("cost")), ["doc_id"], F.col("cost")).select("doc_id", "total", "admitted")
+
+
+@query("""WITH q AS (SELECT embedding e FROM embeddings WHERE vec_id = 7), s AS (SELECT vec_id AS idx, list_cosine_similarity(embedding::DOUBLE[], (SELECT e FROM q)::DOUBLE[]) c FROM embeddings)
+SELECT idx, round(1 - c, 6) AS distance FROM s ORDER BY c DESC, idx LIMIT 10""")
+def recall_search_lists(spark, d):
+    """The ten nearest by an inverted file of 16 lists, read until no other list can hold a nearer one."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("values"))
+    index = lists.VectorLists.build(rows, folder(spark, "lists"), lists=16)
+    return index.search(list(rows.filter("idx = 7").first()["values"]), 10).withColumn("distance", F.round("distance", 6))
+
+
+@query("SELECT 'order:' || o_orderkey AS from_id, 'customer:' || o_custkey AS to_id FROM orders WHERE 'customer:' || o_custkey = 'customer:7' UNION ALL SELECT 'customer:' || c_custkey, c_name FROM customer WHERE 'customer:' || c_custkey >= 'customer:9'")
+def sink_round_trip(spark, d):
+    """A graph through a sink of bounded batches; two questions are answered by conditions that its files answer first."""
+    store = sink.FilesSink(spark, folder(spark, "sink"))
+    parts = {"entities": _ordered(all_entities(spark, d, ("customer",))), "relations": all_relations(spark, d, ("orders",))}
+    sink.load_graph(store, "job", parts)
+    edges = store.read("relations", "job", ("to_id", "==", "customer:7")).select("from_id", "to_id")
+    return edges.unionByName(store.read("entities", "job", ("id", ">=", "customer:9")).select(F.col("id").alias("from_id"), F.col("name").alias("to_id")))
