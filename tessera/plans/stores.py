@@ -12,6 +12,7 @@ from tessera.operators import budget, leases, lists, load, messages, sink
 from tessera.operators.cut import cut
 from tessera.plans.graph import all_entities, all_relations, query, table
 from tessera.plans.workflow import _JOBS, _NOW, _jobs
+from tessera.streaming import hub
 
 
 def folder(spark: SparkSession, what: str) -> str:
@@ -91,3 +92,13 @@ def sink_round_trip(spark, d):
     sink.load_graph(store, "job", parts)
     edges = store.read("relations", "job", ("to_id", "==", "customer:7")).select("from_id", "to_id")
     return edges.unionByName(store.read("entities", "job", ("id", ">=", "customer:9")).select(F.col("id").alias("from_id"), F.col("name").alias("to_id")))
+
+
+@query("""WITH w AS (SELECT user_id AS job, 'user ' || event_id % 3 AS watcher FROM events WHERE event_type = 'view' GROUP BY ALL),
+p AS (SELECT user_id AS job, max(event_id) AS seq, arg_max(event_type, event_id) AS stage, CAST(max(floor(value)) AS BIGINT) AS calls FROM events WHERE event_type NOT IN ('purchase', 'view') GROUP BY user_id)
+SELECT job::VARCHAR AS job_id, watcher, 'progress' AS kind, seq, stage, calls, NULL AS payload FROM w JOIN p USING (job) UNION ALL SELECT w.job::VARCHAR, watcher, 'conflict', event_id, NULL, NULL, props FROM w JOIN events e ON e.user_id = w.job AND event_type = 'purchase'""")
+def job_deliveries(spark, d):
+    """What everyone who watches a job has seen at its end."""
+    kind = F.when(F.col("event_type") == "purchase", "conflict").when(F.col("event_type") == "view", "watch").otherwise("progress")
+    rows = table(spark, d, "events").select(F.col("user_id").alias("job_id"), kind.alias("kind"), F.col("event_id").alias("seq"), F.concat(F.lit("user "), F.col("event_id") % 3).alias("watcher"), F.col("event_type").alias("stage"), F.floor("value").alias("calls"), F.lit(None).cast("string").alias("counts"), F.col("props").alias("payload"))
+    return hub.delivered(rows).select("job_id", "watcher", "kind", "seq", "stage", "calls", "payload")
