@@ -43,11 +43,13 @@ from tessera.llm.skew import keyed_join
 TREES, LEAF, KEEP, SAMPLE = 5, 100, 40, 16
 BEAM, LONGEST = 96, 48
 #: Queries whose nearest are also found by comparing them with every vector, the share of these that the search must reach, and the widest beam.
-CHECKED, TARGET, WIDEST = 256, 0.95, 4096
+CHECKED, TARGET, WIDEST = 256, 0.95, 1024
 #: Share of list entries changed by a round below which NN-descent has converged.
 STILL = 0.01
-#: Offers that a task merges at once.
-BUFFER = 300_000
+#: Offers that a task merges at once, and merged ones that it holds before they leave it.
+BUFFER, HELD = 600_000, 2_000_000
+#: Rows of one Arrow batch of offers.
+SENT = 10_000
 _OFFERS = "node long, near array<long>, sim array<float>"
 _GRAPH = "node long, point binary, near array<long>, sim array<float>, new array<boolean>, gained int"
 _STATE = "node long, point binary, beam array<long>, score array<float>, done array<boolean>, go array<long>"
@@ -130,21 +132,32 @@ class _Offers:
     """Offers of one task, merged to at most KEEP per node before they leave it."""
 
     def __init__(self) -> None:
-        self.parts, self.size = [], 0
+        self.parts, self.size, self.held = [], 0, 0
 
     def add(self, node: np.ndarray, near: np.ndarray, sim: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.parts.append((node, near, sim.astype(np.float32)))
         self.size += len(node)
-        if self.size > BUFFER:
-            yield from self.flush()
+        if self.size - self.held > BUFFER:
+            self._merge()
+            if self.held > HELD:
+                yield from self.flush()
+
+    def _merge(self) -> None:
+        node, near, sim = (np.concatenate(p) for p in zip(*self.parts, strict=True))
+        order, at = _nearest_of_each(node, near, sim)
+        self.parts = [(at, near[order], sim[order])]
+        self.size = self.held = len(order)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.size:
-            node, near, sim = (np.concatenate(p) for p in zip(*self.parts, strict=True))
-            order, at = _nearest_of_each(node, near, sim)
+            self._merge()
+            at, near, sim = self.parts[0]
             nodes, sizes = np.unique(at, return_counts=True)
-            self.parts, self.size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), _lists(near[order], sizes), _lists(sim[order], sizes)], names=["node", "near", "sim"])
+            self.parts, self.size, self.held = [], 0, 0
+            ends = np.cumsum(sizes)
+            for i in range(0, len(nodes), SENT):
+                rows = slice(ends[i] - sizes[i], ends[min(i + SENT, len(nodes)) - 1])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + SENT]), _lists(near[rows], sizes[i : i + SENT]), _lists(sim[rows], sizes[i : i + SENT])], names=["node", "near", "sim"])
 
 
 def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,8 +390,8 @@ def _states(nodes: list, points: pa.Array, found: list[tuple]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), points, *beams], names=["node", "point", "beam", "score", "done", "go"])
 
 
-def exact_nodes(checked: DataFrame, vectors: DataFrame, coder: Coder, k: int) -> DataFrame:
-    """query, node: the ``k`` nearest of each query node of ``checked`` (node, vec; at most CHECKED rows), by comparison with all vectors."""
+def exact_least(checked: DataFrame, vectors: DataFrame, coder: Coder, k: int) -> DataFrame:
+    """query, wanted, least: how many nearest (``k`` at most) each query node of ``checked`` (node, vec; at most CHECKED rows) has, and the score of the last, by comparison with all vectors."""
     rows = checked.toArrow()
     mine, x = rows["node"].to_numpy(), coder.scaled(rows["vec"].combine_chunks()) if rows.num_rows else None
 
@@ -398,7 +411,7 @@ def exact_nodes(checked: DataFrame, vectors: DataFrame, coder: Coder, k: int) ->
 
     found = vectors.select("node", "vec").mapInArrow(compare, "query long, node long, score double").filter("score > double('-infinity')")
     best = found.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "node"))), 1, k).alias("b"))
-    return best.select("query", F.explode("b.node").alias("node"))
+    return best.select("query", F.size("b").alias("wanted"), (-F.element_at("b.far", -1)).alias("least"))
 
 
 def search(queries: DataFrame, graph: DataFrame, coder: Coder, vectors: DataFrame, scratch: Scratch, k: int) -> DataFrame:
@@ -465,10 +478,18 @@ def search(queries: DataFrame, graph: DataFrame, coder: Coder, vectors: DataFram
 
     width = max(BEAM // 2, k + 4)
     few = scratch.table(queries.select("node").orderBy(F.xxhash64("node"), "node").limit(CHECKED), "checked")
-    truth = scratch.table(exact_nodes(vectors.join(F.broadcast(few), "node", "left_semi"), vectors, coder, k), "truth")
-    wanted = truth.count()
+    asked = scratch.table(vectors.join(F.broadcast(few), "node", "left_semi").select("node", "vec"), "asked-vectors")
+    truth = scratch.table(exact_least(asked, vectors, coder, k), "truth")
+    wanted = truth.agg(F.sum("wanted")).first()[0] or 0
+
+    def hits(state: DataFrame, width: int) -> int:
+        """Nearest that the checked queries have found: as near as the last of the true ones, so ties count whichever is found."""
+        score = F.aggregate(F.zip_with("query_vec", "vec", lambda x, y: x.cast("double") / coder.largest * (y.cast("double") / coder.largest)), F.lit(0.0), lambda s, x: s + x)
+        pairs = found(state, width).join(vectors, "node").join(asked.select(F.col("node").alias("query"), F.col("vec").alias("query_vec")), "query").select("query", score.alias("score"))
+        near = pairs.join(truth, "query").filter(F.col("score") >= F.col("least") - 1e-12).groupBy("query").agg(F.least(F.count("*"), F.first("wanted")).alias("n"))
+        return near.agg(F.sum("n")).first()[0] or 0
     state = settled(graph.join(F.broadcast(few), "node", "left_semi").mapInArrow(begin(width), _STATE), f"check-{width}", width, CHECKED // 8)
-    while truth.join(found(state, width), ["query", "node"]).count() < TARGET * wanted and width < WIDEST:
+    while hits(state, width) < TARGET * wanted and width < WIDEST:
         width = width * 3 // 2
         state = settled(state.mapInArrow(go_on(width), _STATE), f"check-{width}", width, CHECKED // 8)
     if queries.limit(CHECKED + 1).count() <= CHECKED:
