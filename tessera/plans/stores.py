@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from tessera.functions.text import token_estimate
 from tessera.operators import budget, leases, lists, load, messages, sink
 from tessera.operators.cut import cut
+from tessera.operators.folder import import_folder
+from tessera.operators.txlog import Folder
 from tessera.plans.graph import all_entities, all_relations, query, table
 from tessera.plans.workflow import _JOBS, _NOW, _jobs
 from tessera.streaming import hub
@@ -102,3 +105,26 @@ def job_deliveries(spark, d):
     kind = F.when(F.col("event_type") == "purchase", "conflict").when(F.col("event_type") == "view", "watch").otherwise("progress")
     rows = table(spark, d, "events").select(F.col("user_id").alias("job_id"), kind.alias("kind"), F.col("event_id").alias("seq"), F.concat(F.lit("user "), F.col("event_id") % 3).alias("watcher"), F.col("event_type").alias("stage"), F.floor("value").alias("calls"), F.lit(None).cast("string").alias("counts"), F.col("props").alias("payload"))
     return hub.delivered(rows).select("job_id", "watcher", "kind", "seq", "stage", "calls", "payload")
+
+
+@query("""SELECT 'entity' AS what, 'customer:' || c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT 'entity', 'nation:' || c_nationkey, c_nationkey::VARCHAR FROM customer GROUP BY c_nationkey
+UNION ALL SELECT 'relation', 'customer:' || c_custkey, 'nation:' || c_nationkey FROM customer
+UNION ALL SELECT 'entity', 'table:region_' || r_regionkey, 'region_' || r_regionkey FROM region UNION ALL SELECT 'entity', 'n' || n_nationkey, n_name FROM nation UNION ALL SELECT 'relation', 'n' || n_nationkey, 'n' || (n_nationkey + 1) % 25 FROM nation
+UNION ALL SELECT 'chunk', CAST(row_number() OVER (ORDER BY item_id::VARCHAR) - 1 AS VARCHAR), trim(text) FROM benchmark WHERE length(text) < 1500""")
+def pipeline_files(spark, d):
+    """A folder of tables, dumps, graph documents and texts, written from the given tables and imported as one load."""
+    root = folder(spark, "files")
+    table(spark, d, "customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation_key")).write.option("header", True).csv(f"{root}/in/customers")
+    files = Folder(spark, f"{root}/in")
+    for r in table(spark, d, "region").collect():  # five and twenty-five rows at every size
+        files.create(f"dumps/{r['r_regionkey']}.sql", f"CREATE TABLE region_{r['r_regionkey']} (id INT PRIMARY KEY, name TEXT);")
+    for n in table(spark, d, "nation").collect():
+        near = f"n{(n['n_nationkey'] + 1) % 25}"
+        files.create(f"graphs/{n['n_nationkey']}.json", json.dumps({"nodes": [{"id": f"n{n['n_nationkey']}", "type": "Nation", "name": n["n_name"]}], "edges": [{"source": f"n{n['n_nationkey']}", "target": near, "type": "NEXT_TO"}]}))
+    texts = table(spark, d, "benchmark").filter("length(text) < 1500").select(F.concat(F.lit("item "), "item_id").alias("item"), "text")
+    texts.repartition("item").write.partitionBy("item").text(f"{root}/in/texts")
+    store = load.Store(spark, f"{root}/store")
+    import_folder(spark, store, "all", f"{root}/in/customers", f"{root}/in/dumps", f"{root}/in/graphs", f"{root}/in/texts/*", targets=["Nation"])
+    nodes = store.read("entities", "all").select(F.lit("entity").alias("what"), "id", "name")
+    edges = store.read("relations", "all").select(F.lit("relation").alias("what"), F.col("from_id").alias("id"), F.col("to_id").alias("name"))
+    return nodes.unionByName(edges).unionByName(store.read("chunks", "all").select(F.lit("chunk").alias("what"), F.col("idx").cast("string").alias("id"), F.trim(F.regexp_replace("text", "\n+$", "")).alias("name")))

@@ -49,7 +49,7 @@ def sniff(lines: list[str]) -> str:
     return fits[0] if fits else ","
 
 
-def _head(spark: SparkSession, path: str) -> list[str]:
+def _head(spark: SparkSession, path: str | list[str]) -> list[str]:
     lines, size = [], 0
     for row in spark.read.text(path).limit(SNIFF_RECORDS * 10).collect():
         size += len(row.value.encode()) + 1
@@ -70,13 +70,13 @@ def header(cells: list[str]) -> list[str]:
     return names
 
 
-def scan(spark: SparkSession, path: str, sep: str | None = None, multiline: bool = False) -> Delimited:
-    """Rows of the file at ``path`` (named columns, and ``ord``), and its violations (kind, subject, detail).
+def scan(spark: SparkSession, path: str | list[str], sep: str | None = None, multiline: bool = False) -> Delimited:
+    """Rows of the file at ``path``, or of several files with one header (named columns, and ``ord``), and its violations (kind, subject, detail).
 
     ``malformed_row``: another number of cells than the header has; the row is left out.
     ``unnamed_column``: a blank name in the header; the column is left out. ``ord`` follows the order in the file.
     """
-    lines = _head(spark, path)
+    lines = _head(spark, path if isinstance(path, str) else path[:1])
     if not any(line.strip() for line in lines):
         raise HeaderError("the file has no header")
     sep = sniff(lines) if sep is None else sep

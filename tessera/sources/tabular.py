@@ -42,7 +42,7 @@ def entity_id(entity_type: str, key: Column) -> Column:
     return F.concat(F.lit(f"{entity_type.lower()}:"), F.trim(key.cast("string")))
 
 
-def provenance(source: str, producer: str = "tabular") -> Column:
+def provenance(source: str | Column, producer: str = "tabular") -> Column:
     return F.struct(F.lit(source).alias("source"), F.lit(-1).alias("chunk"), F.lit(producer).alias("producer"))
 
 
@@ -67,7 +67,7 @@ def checked_rows(df: DataFrame, mapping: Mapping, order: list[str]) -> TableRead
     return TableRead(real.filter("_at = 1").drop("_id", "_print", "_at", "_first"), missing.unionByName(twice))
 
 
-def entities(rows: DataFrame, mapping: Mapping, source: str) -> DataFrame:
+def entities(rows: DataFrame, mapping: Mapping, source: str | Column) -> DataFrame:
     """id, type, name, attributes (JSON of the mapped columns, by name), prov."""
     name = F.col(mapping.name_column).cast("string") if mapping.name_column else F.trim(F.col(mapping.id_column).cast("string"))
     made = [F.col(c).cast("string").alias(a) for c, a in sorted(mapping.attributes.items(), key=lambda x: x[1])]
@@ -75,11 +75,11 @@ def entities(rows: DataFrame, mapping: Mapping, source: str) -> DataFrame:
     return rows.select(entity_id(mapping.entity_type, F.col(mapping.id_column)).alias("id"), F.lit(mapping.entity_type).alias("type"), F.coalesce(name, F.lit("")).alias("name"), attributes.alias("attributes"), provenance(source).alias("prov"))
 
 
-def relations(rows: DataFrame, mapping: Mapping, source: str) -> DataFrame:
+def relations(rows: DataFrame, mapping: Mapping, source: str | Column) -> DataFrame:
     """One edge per mapped relation column and non-empty cell: an unpivot, not a join."""
     each = [F.struct(F.lit(r.relation_type).alias("type"), F.lit(r.target_type).alias("target_type"), F.trim(F.col(r.column).cast("string")).alias("cell")) for r in mapping.relations]
-    out = rows.select(entity_id(mapping.entity_type, F.col(mapping.id_column)).alias("from_id"), F.explode(F.array(*each)).alias("r")).filter("r.cell <> ''")
-    return out.select("from_id", F.col("r.type").alias("type"), F.concat(F.lower("r.target_type"), F.lit(":"), "r.cell").alias("to_id"), F.lit("").alias("key"), F.col("r.target_type").alias("target_type"), F.col("r.cell").alias("cell"), provenance(source).alias("prov"))
+    out = rows.select(entity_id(mapping.entity_type, F.col(mapping.id_column)).alias("from_id"), provenance(source).alias("prov"), F.explode(F.array(*each)).alias("r")).filter("r.cell <> ''")
+    return out.select("from_id", F.col("r.type").alias("type"), F.concat(F.lower("r.target_type"), F.lit(":"), "r.cell").alias("to_id"), F.lit("").alias("key"), F.col("r.target_type").alias("target_type"), F.col("r.cell").alias("cell"), "prov")
 
 
 def referenced(edges: DataFrame, own: DataFrame, source: str) -> DataFrame:
