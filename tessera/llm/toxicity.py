@@ -57,6 +57,7 @@ _SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:([ .\-_*])[^\W_])(?:\1[^\W_])+(?![^\
 _INSIDE, _BEFORE, _AFTER = re.compile(r"[0-9@$!|+(€£¡*._\-]"), re.compile(r"[0-9@$!|+€£¡*]"), re.compile(r"[0-9@$]")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 _TWICE, _LETTER, _SIGN = re.compile(r"([^\W\d_])\1"), re.compile(r"[^\W\d_]"), re.compile(f"[{re.escape(''.join(LOOKS_LIKE))}]")
+_RUN, _STANDS_FOR = re.compile(r"(.)\1+"), re.compile(f"[{re.escape(''.join(LOOKS_LIKE))}{''.join(OTHER_SCRIPTS)}]")
 _LATIN, _OTHER = re.compile("[a-z]"), re.compile(f"[{''.join(OTHER_SCRIPTS)}]")
 #: Pieces remembered by a worker, and the longest of them.
 REMEMBERED, REMEMBERED_CHARS = 200_000, 40
@@ -163,10 +164,26 @@ def may_hide(piece: str) -> bool:
     return bool(_TWICE.search(piece) or (_LATIN.search(piece) and _OTHER.search(piece)) or (_SIGN.search(piece) and _LETTER.search(piece))) or looks_odd(piece)
 
 
-def piece_words(piece: str, model: CharModel) -> list[str]:
-    """Words of at least WHOLE letters in a piece without spaces, and the one that it may hide."""
+def squeezed(word: str) -> str:
+    """A word with each run of one letter as a single one."""
+    return _RUN.sub(r"\1", word)
+
+
+def may_reach(piece: str, reach: set[str]) -> bool:
+    """Whether any decoding of a piece may give evidence; ``reach`` has the evidence squeezed.
+
+    Without signs or letters that stand for others, decoding only drops signs and repeats, so what it gives squeezes to the same letters as the piece.
+    """
+    if _STANDS_FOR.search(piece):
+        return True
+    bare = squeezed("".join(c for c in piece.translate(_plain()) if c in _LETTERS))
+    return bare in reach or any(bare[:n] in reach for n in range(1, LONGEST + 1))
+
+
+def piece_words(piece: str, model: CharModel, reach: set[str] | None = None) -> list[str]:
+    """Words of at least WHOLE letters in a piece without spaces, and the one that it may hide (of interest only if ``reach`` may be met)."""
     words = [w for w in _WORD.findall(piece) if len(w) >= WHOLE]
-    if may_hide(piece):
+    if may_hide(piece) and (reach is None or may_reach(piece, reach)):
         found = model.decode(piece.strip(".,;:?\"')[]{}«»"))
         if len(found) >= WHOLE:
             words.append(found)
@@ -289,14 +306,14 @@ def combined(hits: list[float]) -> float:
     return min(1.0, max(BASE, top + (1 - top) * (1 - 0.8 ** max(0, strong - 1))))
 
 
-def score_text(text: str, model: CharModel, evidence: dict[str, float], memo: dict[str, tuple]) -> float:
-    """The score of a text; ``memo`` keeps the evidence found in each piece (mostly none), so a piece is decoded once a task."""
+def score_text(text: str, model: CharModel, evidence: dict[str, float], memo: dict[str, tuple], reach: set[str] | None = None) -> float:
+    """The score of a text; ``reach`` (the evidence squeezed) spares decodings that can't give any, ``memo`` keeps the evidence found in each piece (mostly none), so a piece is decoded once a task."""
     text = _cleaned(text)
     hits: dict[str, float] = {}
     for piece in set(text.split()):
         found = memo.get(piece)
         if found is None:
-            found = tuple((w, best) for w in piece_words(piece, model) if (best := word_evidence(w, evidence)))
+            found = tuple((w, best) for w in piece_words(piece, model, reach) if (best := word_evidence(w, evidence)))
             if len(piece) <= REMEMBERED_CHARS:
                 if len(memo) >= REMEMBERED:
                     memo.clear()
@@ -322,8 +339,9 @@ class Scorer:
         def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             model, evidence = shared.value
             memo: dict[str, tuple] = {}
+            reach = {squeezed(w) for w in evidence}
             for texts in batches:
-                yield pd.Series([score_text(t, model, evidence, memo) if t else BASE for t in texts], dtype=float)
+                yield pd.Series([score_text(t, model, evidence, memo, reach) if t else BASE for t in texts], dtype=float)
             model.forget()
             memo.clear()
             give_back()
