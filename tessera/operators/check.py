@@ -200,8 +200,8 @@ def counts(entities: DataFrame, relations: DataFrame, violations: DataFrame, con
     return out
 
 
-def _conflict(rows: DataFrame, subject: Column, left: Column, right: Column) -> DataFrame:
-    return rows.select("kind", subject.alias("subject"), left.cast("string").alias("left_value"), right.cast("string").alias("right_value"), "ord")
+def _conflict(rows: DataFrame, owner: str, subject: Column, left: Column, right: Column) -> DataFrame:
+    return rows.select("kind", subject.alias("subject"), left.cast("string").alias("left_value"), right.cast("string").alias("right_value"), "ord", F.col(owner).alias("owner"))
 
 
 def edge_subject(low: str, kind: str, high: str, key: str, arrow: Column) -> Column:
@@ -215,23 +215,36 @@ def conflicts(entities: DataFrame, relations: DataFrame, relation_types: DataFra
 
     Direction is a question only for types that are declared and run one way; cardinality only for types that say so.
     """
-    named = _conflict(entity_type_conflicts(entities), F.col("id"), F.col("left_value"), F.col("right_value"))
+    return owned_conflicts(entities, relations, relation_types).drop("owner")
+
+
+def owned_conflicts(entities: DataFrame, relations: DataFrame, relation_types: DataFrame | None = None) -> DataFrame:
+    """``conflicts`` with ``owner``: the node whose own records and relations are all that the conflict depends on.
+
+    That is the entity itself, the lesser end of a pair, or the node with too many ends. Where ``relations`` have an
+    ``owner`` (each relation once for each of its ends), an owner's conflicts come from its rows alone.
+    """
+    columns = [c for c in relations.columns if c != "owner"]
+    dealt = "owner" in relations.columns
+    pairs = (relations.filter(F.col("owner") == F.least("from_id", "to_id")) if dealt else relations).select(*columns)
+    named = _conflict(entity_type_conflicts(entities), "id", F.col("id"), F.col("left_value"), F.col("right_value"))
     fields_ = verify.value_conflicts(verify.attribute_claims(entities), ["id", "attr"], "entity_attributes")
-    claims = edge_claims(relations)
+    claims = edge_claims(pairs)
     about = F.concat(edge_subject("low", "type", "high", "edge_key", F.col("up")), F.lit("."), "attr")
-    out = named.unionByName(_conflict(fields_, F.concat("id", F.lit("."), "attr"), F.col("left_value"), F.col("right_value")))
+    out = named.unionByName(_conflict(fields_, "id", F.concat("id", F.lit("."), "attr"), F.col("left_value"), F.col("right_value")))
     for part in (relation_attribute_conflicts(claims), relation_attribute_contradictions(claims)):
-        out = out.unionByName(_conflict(part, about, F.col("left_value"), F.col("right_value")))
+        out = out.unionByName(_conflict(part, "low", about, F.col("left_value"), F.col("right_value")))
     if relation_types is None:
         return out
-    folded = relations.withColumn("_f", fold(F.col("type")))
     rules = F.broadcast(relation_types.select(fold(F.col("name")).alias("_f"), "both_ways", "at_most_one_in", "at_most_one_out"))
-    ruled = folded.join(rules, "_f")
-    ways = verify.direction_conflicts(ruled.filter("not both_ways").select(*relations.columns))
+    ways = verify.direction_conflicts(pairs.withColumn("_f", fold(F.col("type"))).join(rules, "_f").filter("not both_ways").select(*columns))
     label = F.concat(F.col("low"), F.lit(" -["), "type", F.when(F.col("edge_key") != "", F.concat(F.lit("#"), "edge_key")).otherwise(F.lit("")), F.lit("]- "), "high")
-    out = out.unionByName(_conflict(ways, label, F.concat_ws(" -> ", "left_from", "left_to"), F.concat_ws(" -> ", "right_from", "right_to")))
+    out = out.unionByName(_conflict(ways, "low", label, F.concat_ws(" -> ", "left_from", "left_to"), F.concat_ws(" -> ", "right_from", "right_to")))
+    ruled = relations.withColumn("_f", fold(F.col("type"))).join(rules, "_f")
+    if dealt:
+        ruled = ruled.withColumns({"at_most_one_out": F.col("at_most_one_out") & (F.col("owner") == F.col("from_id")), "at_most_one_in": F.col("at_most_one_in") & (F.col("owner") == F.col("to_id"))})
     many = verify.cardinality_of(ruled.filter("at_most_one_in or at_most_one_out"))
-    return out.unionByName(_conflict(many, F.concat_ws(" ", "node", "type", "side"), F.col("left_value"), F.col("right_value")))
+    return out.unionByName(_conflict(many, "node", F.concat_ws(" ", "node", "type", "side"), F.col("left_value"), F.col("right_value")))
 
 
 def check(entities: DataFrame, relations: DataFrame, vocabulary: Vocabulary | None = None) -> Report:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import token_estimate
-from tessera.operators import budget, leases, lists, load, messages, sink
+from tessera.operators import budget, check, leases, lists, load, messages, recheck, review, sink
 from tessera.operators.cut import cut
 from tessera.operators.folder import import_folder
 from tessera.operators.txlog import Folder
@@ -128,3 +128,17 @@ def pipeline_files(spark, d):
     nodes = store.read("entities", "all").select(F.lit("entity").alias("what"), "id", "name")
     edges = store.read("relations", "all").select(F.lit("relation").alias("what"), F.col("from_id").alias("id"), F.col("to_id").alias("name"))
     return nodes.unionByName(edges).unionByName(store.read("chunks", "all").select(F.lit("chunk").alias("what"), F.col("idx").cast("string").alias("id"), F.trim(F.regexp_replace("text", "\n+$", "")).alias("name")))
+
+
+@query("""SELECT 'cardinality' AS kind, 'customer:' || a.c_custkey || ' LOCATED_IN out' AS subject, 'nation:' || a.c_nationkey AS left_value, 'nation:' || b.c_nationkey AS right_value
+FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1 WHERE b.c_custkey % 10 = 2 AND a.c_nationkey <> b.c_nationkey""")
+def recheck_after_merges(spark, d):
+    """Conflicts that merging each tenth customer into the one before it makes: somebody is then in two nations."""
+    rules = spark.createDataFrame([("LOCATED_IN", [], [], False, False, True)], "name string, from_types array<string>, to_types array<string>, both_ways boolean, at_most_one_in boolean, at_most_one_out boolean")
+    vocabulary = check.Vocabulary(spark.createDataFrame([], "name string, attributes array<string>"), rules, "business")
+    kept = recheck.Checked(spark, folder(spark, "checked"), vocabulary)
+    kept.start(all_entities(spark, d).withColumn("ord", F.col("id")), all_relations(spark, d).withColumns({"attributes": F.lit("{}"), "ord": F.concat_ws(" ", "from_id", "to_id")}))
+    merges = table(spark, d, "customer").filter("c_custkey % 10 = 2").select(F.concat(F.lit("customer:"), "c_custkey").alias("id"), F.concat(F.lit("customer:"), F.col("c_custkey") - 1).alias("into"))
+    named = merges.select("id").unionByName(merges.select(F.col("into").alias("id")))
+    done = kept.recheck(named, lambda nodes, edges: review.merge_into(nodes, edges, merges))
+    return done.opened.select("kind", "subject", "left_value", "right_value")
