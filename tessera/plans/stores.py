@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import token_estimate
-from tessera.operators import budget, check, leases, lists, load, messages, recheck, review, sink
+from tessera.operators import answers, budget, check, leases, lists, load, messages, recheck, review, sink
 from tessera.operators.cut import cut
 from tessera.operators.folder import import_folder
 from tessera.operators.txlog import Folder
@@ -142,3 +142,11 @@ def recheck_after_merges(spark, d):
     named = merges.select("id").unionByName(merges.select(F.col("into").alias("id")))
     done = kept.recheck(named, lambda nodes, edges: review.merge_into(nodes, edges, merges))
     return done.opened.select("kind", "subject", "left_value", "right_value")
+
+
+@query("""SELECT doc_id FROM (SELECT doc_id, sum(octet_length(encode(coalesce(text, '')))) OVER (ORDER BY doc_id % 97 DESC, lpad(doc_id::VARCHAR, 12, '0')) AS n, sum(octet_length(encode(coalesce(text, '')))) OVER () AS total FROM documents) WHERE n > total // 3""")
+def cache_evicted(spark, d):
+    """Of answers as long as the documents, used at few moments, those that go when a third of all bytes is kept."""
+    rows = table(spark, d, "documents").select("doc_id", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("address"), (F.col("doc_id") % 97).alias("used_at"), F.octet_length("text").alias("bytes"))
+    most = rows.agg(F.sum("bytes")).first()[0] or 0
+    return rows.join(answers.fitting(rows, most // 3).select("doc_id"), "doc_id", "left_anti").select("doc_id")
