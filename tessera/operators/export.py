@@ -30,7 +30,7 @@ def stored_edges(relations: DataFrame, store: str) -> tuple[DataFrame, DataFrame
     """
     rows = relations.withColumn("document", F.col("prov.source"))
     keys = EDGE_KEYS[store]
-    whole = F.sha2(F.to_json(F.struct("key", "attributes", "prov")), 256)
+    whole = F.unhex(F.sha2(F.to_json(F.struct("key", "attributes", "prov")), 256))  # 32 bytes in every task's table of keys, not 64
     rest = [c for c in relations.columns if c not in keys]
     # distinct assertions are reduced before edges are, so a hub's repeats never meet in one task
     once = rows.withColumn("_h", whole).groupBy(*dict.fromkeys([*keys, "_h"])).agg(F.min_by(F.struct(*rest), "ord").alias("r"), F.min("ord").alias("_o"))

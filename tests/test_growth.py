@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tessera.operators import check
+from tessera.operators import check, export
 
 PROV = "struct('s' AS source, 'model' AS producer) AS prov"
 
@@ -23,3 +23,10 @@ def test_types_of_proposals_are_distinct_before_they_are_compared(spark):
     # one type of most rows would take them all to one task
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Join LeftOuter, \(type#\d+ = _u#\d+\)", plan)
+
+
+def test_keys_of_assertions_are_bytes(spark):
+    kept, lost = export.stored_edges(_edges(spark), "triple")
+    assert kept.count() == 50
+    assert {r["merged"] for r in lost.collect()} == {2}
+    assert "unhex(sha2(" in lost._jdf.queryExecution().optimizedPlan().toString()
