@@ -2,8 +2,8 @@
 
 Records have ``attributes`` (a JSON object) and ``ord``, a total order; the first record stays and
 its gaps are filled from later ones. Values are compared and kept as JSON text, so ``1`` and ``"1"``
-differ. Null or unreadable attributes count as none. Everything is partial aggregation on the keys;
-no list of a group's records is ever built.
+differ. Null or unreadable attributes count as none. Entities, of which each has many records, are partial aggregation on
+the keys; relations, of which most have one, meet once by their ends. No list of a group's records is ever built.
 """
 
 from __future__ import annotations
@@ -38,6 +38,23 @@ def _folded(records: DataFrame, keys: list[str], keep: list[str]) -> tuple[DataF
     return out, values.join(kept, [*keys, "attr"])
 
 
+def _met(records: DataFrame, ids: list[str], keys: list[str], keep: list[str]) -> DataFrame:
+    """First record of each key with filled attributes.
+
+    Rows meet once, by ``ids`` (a part of the key), and are sorted there once for both aggregations, so what a task holds is bounded by a
+    partition and spills; a record travels with the first of its attributes.
+    """
+    parsed = F.from_json("attributes", "map<string,variant>")
+    rows = records.select(*keys, "ord", F.struct("ord", *keep).alias("_record"), F.posexplode_outer(parsed).alias("_at", "attr", "raw"))
+    record = F.when(F.coalesce("_at", F.lit(0)) == 0, F.col("_record"))
+    rows = rows.select(*keys, "ord", "attr", F.to_json("raw").alias("value"), record.alias("_record")).repartition(*ids)
+    first = F.min_by("_record", "_record.ord").alias("_record")
+    each = rows.groupBy(*keys, "attr").agg(F.min_by("value", "ord").alias("value"), first)
+    pairs = F.collect_list(F.when(F.col("attr").isNotNull(), F.struct("attr", "value")))
+    out = each.groupBy(*keys).agg(first, pairs.alias("_pairs"))
+    return out.select(*keys, "_record.*", F.when(F.size("_pairs") > 0, _as_object(F.col("_pairs"))).otherwise("{}").alias("attributes"))
+
+
 def merge_entities(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Merged entities (id, type, name, attributes, prov, ord) and ``entity_attributes`` conflicts.
 
@@ -50,7 +67,7 @@ def merge_entities(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def merge_relations(records: DataFrame) -> DataFrame:
     """One relation per (from, folded type, to): the first, with gaps filled; differing values are no conflict."""
-    out, _ = _folded(records.withColumn("_type", fold(F.col("type"))), ["from_id", "_type", "to_id"], ["type", "key", "prov"])
+    out = _met(records.withColumn("_type", fold(F.col("type"))), ["from_id", "to_id"], ["from_id", "_type", "to_id"], ["type", "key", "prov"])
     return out.select("from_id", "type", "to_id", "key", "attributes", "prov", "ord")
 
 

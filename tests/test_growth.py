@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tessera.operators import check, export
+from tessera.operators import check, export, merge
 
 PROV = "struct('s' AS source, 'model' AS producer) AS prov"
 
@@ -30,3 +30,9 @@ def test_keys_of_assertions_are_bytes(spark):
     assert kept.count() == 50
     assert {r["merged"] for r in lost.collect()} == {2}
     assert "unhex(sha2(" in lost._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_relations_meet_once(spark):
+    out = merge.merge_relations(_edges(spark))
+    assert {(r["from_id"], r["attributes"], r["ord"]) for r in out.collect()} == {(f"a{i}", f'{{"n":{i % 3}}}', i) for i in range(50)}
+    assert len(re.findall(r"Exchange hashpartitioning", out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1])) == 1
