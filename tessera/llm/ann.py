@@ -13,8 +13,9 @@ scale and the length of that part, so neither a common offset nor uneven norms c
 which keeps the groups of popular (long) vectors small.
 
 Search: each distinct query vector begins with its own list and the ``LONGEST`` longest vectors, expands
-the nearest unexpanded nodes of its beam (an eighth of it) in each hop by joins to the graph, which is bucketed by node so that only beams shuffle, and is done when
-the nearer half of its beam is expanded; hops go on while any query has an open node. ``CHECKED`` queries are compared with all vectors first, in one
+the nearest unexpanded nodes of its beam (an eighth of it) in each hop by one join to the graph, and is done when
+the nearer half of its beam is expanded; the graph is bucketed by node and holds the points of each list beside it, so a hop makes one row for each expanded node, scores
+its list there and sends back only what beats the end of the query's beam; hops go on while any query has an open node. ``CHECKED`` queries are compared with all vectors first, in one
 scan, and searched with a beam that is widened by half until they have found ``TARGET`` of their nearest; the others take that width: no size or kind of table keeps a narrow beam that loses too much. Found nodes are scored in double
 precision on the original vectors and widened to all ids of a node that can matter.
 
@@ -99,7 +100,8 @@ class Coder:
 
     def points(self, coded: pa.Array) -> np.ndarray:
         """What is left without the mean direction, and the part along it as the last component: inner products are kept."""
-        raw = np.frombuffer(b"".join(coded.to_pylist()), np.uint8).reshape(len(coded), 8 + self.width)
+        fixed = coded.cast(pa.binary(8 + self.width))
+        raw = np.frombuffer(fixed.buffers()[1] if len(fixed) else b"", np.uint8)[fixed.offset * (8 + self.width) :][: len(fixed) * (8 + self.width)].reshape(len(fixed), 8 + self.width)
         head = raw[:, :8].copy().view("<f4")
         return np.concatenate([raw[:, 8:].view(np.int8) * head[:, :1], head[:, 1:]], 1)
 
@@ -367,9 +369,14 @@ def build_graph(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, Coder]
 
 @contextmanager
 def _by_node(graph: DataFrame, scratch: Scratch) -> Iterator[DataFrame]:
-    """The graph written once in buckets by node, as many as a shuffle has partitions: joins on node move only their other side."""
+    """The graph written once in buckets by node, as many as a shuffle has partitions: joins on node move only their other side.
+
+    ``around`` are the points of the nodes in ``near``, in its order.
+    """
     spark, name, n = graph.sparkSession, f"ann_{uuid.uuid4().hex}", partitions(graph.sparkSession)
-    graph.repartition(n, "node").write.bucketBy(n, "node").sortBy("node").option("path", scratch.path("by-node")).saveAsTable(name)
+    each = graph.select(F.col("node").alias("of"), F.posexplode("near").alias("at", "node"))
+    met = keyed_join(each, graph.select("node", "point"), "node").groupBy(F.col("of").alias("node")).agg(F.array_sort(F.collect_list(F.struct("at", "point"))).alias("met"))
+    graph.join(met, "node", "left").select("node", "point", "near", "sim", F.col("met.point").alias("around")).repartition(n, "node").write.bucketBy(n, "node").sortBy("node").option("path", scratch.path("by-node")).saveAsTable(name)
     try:
         yield spark.table(name)
     finally:
@@ -390,6 +397,26 @@ def _states(nodes: list, points: pa.Array, found: list[tuple]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), points, *beams], names=["node", "point", "beam", "score", "done", "go"])
 
 
+def _expanded(state: DataFrame, graph: DataFrame, coder: Coder, width: int) -> DataFrame:
+    """node, met (array of near, sim): for each query node with nodes to expand, what of their lists can still enter its beam of ``2 * width``."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch["near"].value_lengths().to_numpy()
+            if not sizes.sum():
+                continue
+            row, near = np.repeat(np.arange(len(sizes)), sizes), batch["near"].flatten().to_numpy()
+            sims = np.einsum("ij,ij->i", coder.points(batch["around"].flatten()), coder.points(batch["point"])[row]).astype(np.float32)
+            good = np.flatnonzero((sims >= batch["least"].to_numpy()[row]) & (near != batch["query"].to_numpy()[row]))
+            rows, sizes = np.unique(row[good], return_counts=True)
+            yield pa.RecordBatch.from_arrays([batch["query"].take(pa.array(rows)), _lists(near[good], sizes), _lists(sims[good], sizes)], names=["node", "near", "sim"])
+
+    least = F.when(F.size("score") >= 2 * width, F.element_at("score", -1)).otherwise(F.lit(float("-inf"))).cast("float")
+    go = state.select(F.col("node").alias("query"), "point", least.alias("least"), F.explode("go").alias("node"))
+    lists = go.join(graph.select("node", "near", "around"), "node").select("query", "point", "least", "near", "around")
+    return lists.mapInArrow(score, _OFFERS).groupBy("node").agg(F.collect_list(F.struct("near", "sim")).alias("met"))
+
+
 def exact_least(checked: DataFrame, vectors: DataFrame, coder: Coder, k: int) -> DataFrame:
     """query, wanted, least: how many nearest (``k`` at most) each query node of ``checked`` (node, vec; at most CHECKED rows) has, and the score of the last, by comparison with all vectors."""
     rows = checked.toArrow()
@@ -445,15 +472,16 @@ def search(queries: DataFrame, graph: DataFrame, coder: Coder, vectors: DataFram
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = []
-                for i, point in enumerate(batch["point"]):
+                for i, node in enumerate(batch["node"].to_pylist()):
                     beam, score, done = (batch[c][i].values.to_numpy(zero_copy_only=False) for c in ("beam", "score", "done"))
                     met = batch["met"][i] if "met" in batch.schema.names else None
                     if met is None:  # a wider beam: what was to be expanded still is
                         done = done & ~np.isin(beam, batch["go"][i].values.to_numpy())
-                    elif met.is_valid and len(met.values):
-                        sims = coder.points(met.values.field(1)) @ coder.points(pa.array([point.as_py()]))[0]
-                        beam, score = np.concatenate([beam, met.values.field(0).to_numpy()]), np.concatenate([score, sims.astype(np.float32)])
-                        done = np.concatenate([done, np.zeros(len(sims), bool)])
+                    elif met.is_valid:
+                        near, first = np.unique(met.values.field(0).flatten().to_numpy(), return_index=True)
+                        first = first[~np.isin(near, np.append(beam, node))]
+                        beam, score = (np.concatenate([own, met.values.field(f).flatten().to_numpy()[first]]) for own, f in ((beam, 0), (score, 1)))
+                        done = np.concatenate([done, np.zeros(len(first), bool)])
                     found.append(_turn(beam, score, done, width))
                 yield _states(batch["node"].to_pylist(), batch["point"], found)
 
@@ -464,12 +492,8 @@ def search(queries: DataFrame, graph: DataFrame, coder: Coder, vectors: DataFram
         hop = 0
         state = scratch.table(state, f"{name}-0")
         while state.filter("size(go) > 0").limit(open_ + 1).count() > open_:
-            go = state.select(F.col("node").alias("query"), F.explode("go").alias("node"))
-            near = go.join(graph.select("node", "near"), "node").groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-            new = near.join(state.select(F.col("node").alias("query"), "beam"), "query").select("query", F.explode(F.array_except("near", F.concat("beam", F.array("query")))).alias("node"))
-            met = new.join(graph.select("node", "point"), "node").groupBy(F.col("query").alias("node")).agg(F.collect_list(F.struct("node", "point")).alias("met"))
             hop += 1
-            state = scratch.table(state.join(met, "node", "left").mapInArrow(go_on(width), _STATE), f"{name}-{hop}")
+            state = scratch.table(state.join(_expanded(state, graph, coder, width), "node", "left").mapInArrow(go_on(width), _STATE), f"{name}-{hop}")
             scratch.drop(f"{name}-{hop - 1}")
         return state
 

@@ -119,3 +119,32 @@ def test_a_crowd_of_equal_vectors(spark):
     same = [r for r in got if r["query_id"] == 0]
     assert [r["vec_id"] for r in sorted(same, key=lambda r: r["rank"])] == brute_force(np.arange(300), x, 0)
     assert len(got) == 15 * 20
+
+
+def test_a_hop_makes_a_row_for_an_expanded_node_not_for_a_candidate(spark, monkeypatch):
+    """What is sent back of a list is what can enter the beam, with its inner products; candidates are no rows."""
+    x = sample("normal", 600, 16)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    scratch, plans = Scratch(spark, "test"), []
+    _, vectors = ann.distinct_vectors(frame(spark, x), "vec_id", "embedding", scratch)
+    graph, coder = ann.build_graph(vectors, scratch)
+    table = Scratch.table
+
+    def noted(self, df, name):
+        if name.startswith("search-") and name != "search-0":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return table(self, df, name)
+
+    monkeypatch.setattr(Scratch, "table", noted)
+    with ann._by_node(graph, scratch) as graph:
+        asked = vectors.select("node").orderBy("node").limit(300)
+        ann.search(asked, graph, coder, vectors, scratch, 20).count()
+        assert plans and all(p.count("Generate explode") == 1 and "array_except" not in p for p in plans)
+        some = graph.orderBy("node").limit(2).collect()
+        state = spark.createDataFrame([(some[0]["node"], some[0]["point"], [0, 1], [0.5, 0.25], [True, True], [some[1]["node"]])], ann._STATE)
+        got = {n: s for part in ann._expanded(state, graph, coder, 1).first()["met"] for n, s in zip(part["near"], part["sim"], strict=True)}
+    at = {r["node"]: np.array(r["vec"]) for r in vectors.collect()}
+    near = [n for n in some[1]["near"] if n != some[0]["node"]]
+    want = {n: float(at[n] @ at[some[0]["node"]]) / coder.largest**2 for n in near}
+    assert all(s >= 0.25 and abs(s - want[n]) < 0.1 for n, s in got.items())
+    assert {n for n in near if want[n] > 0.35} <= set(got) < set(near)
