@@ -70,11 +70,13 @@ def value_conflicts(claims: DataFrame, keys: list[str], kind: str) -> DataFrame:
     """Each distinct later value (folded) that differs from the first claim of its key, reported once.
 
     ``claims`` has the keys, ``value`` and ``ord``. Aggregations on the keys and a join of what is left: no window holds a
-    hot key, and no rows are joined to each other.
+    hot key, and no rows are joined to each other. Distinct claims are dealt by key once, for the first ones and for the join.
     """
-    each = claims.withColumn("_v", fold_key(F.col("value"))).groupBy(*keys, "_v").agg(F.min("ord").alias("ord"), F.min_by("value", "ord").alias("value"))
+    named = claims.dropna(subset=keys).withColumn("_v", fold_key(F.col("value")))
+    each = named.groupBy(*keys, "_v").agg(F.min("ord").alias("ord"), F.min_by("value", "ord").alias("value")).repartition(*keys)
     first = each.groupBy(*keys).agg(F.min_by(F.struct("value", "_v"), "ord").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    out = each.join(first, keys).filter(F.col("_v") != F.col("_first._v"))
+    # a null comparison counts as equal; said so, it puts no filter of its own on one of the two sides, which are one shuffle
+    out = each.join(first, keys).filter(~F.coalesce(F.col("_v") == F.col("_first._v"), F.lit(True)))
     return out.select(F.lit(kind).alias("kind"), *keys, F.col("_first.value").alias("left_value"), F.col("value").alias("right_value"), "ord")
 
 

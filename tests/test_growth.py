@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tessera.operators import check, export, merge
+from tessera.operators import check, export, merge, verify
 
 PROV = "struct('s' AS source, 'model' AS producer) AS prov"
 
@@ -36,3 +36,17 @@ def test_relations_meet_once(spark):
     out = merge.merge_relations(_edges(spark))
     assert {(r["from_id"], r["attributes"], r["ord"]) for r in out.collect()} == {(f"a{i}", f'{{"n":{i % 3}}}', i) for i in range(50)}
     assert len(re.findall(r"Exchange hashpartitioning", out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1])) == 1
+
+
+def test_claims_are_dealt_by_key_once(spark):
+    claims = spark.sql("SELECT concat('a', id % 50) AS id, 'x' AS attr, concat('V', id % 100) AS value, id AS ord FROM range(200) UNION ALL SELECT 'a0', 'x', NULL, 900L UNION ALL SELECT NULL, 'x', 'V', 901L")
+    plain = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = verify.value_conflicts(claims, ["id", "attr"], "k")
+        assert {(r["id"], r["left_value"], r["right_value"], r["ord"]) for r in out.collect()} == {(f"a{i}", f"V{i}", f"V{i + 50}", i + 50) for i in range(50)}
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", plain)
+    # one shuffle by value, one by key; the second use of the latter is no shuffle
+    assert len(re.findall(r"(?<!Reused)Exchange hashpartitioning", plan)) - len(re.findall(r"ReusedExchange", plan)) <= 2, plan
